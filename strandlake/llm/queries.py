@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontaminate, langid, media, packing, simhash, toxicity
+from strandlake.llm import decontaminate, langid, lm_scoring, media, packing, simhash, toxicity
 from strandlake.llm.common import read_table
 
 
@@ -21,6 +21,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path())
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
