@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontaminate, langid, lm_scoring, media, packing, simhash, toxicity
+from strandlake.llm import decontaminate, langid, licenses, lm_scoring, media, packing, simhash, toxicity
 from strandlake.llm.common import read_table
 
 
@@ -31,6 +31,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(digests)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(read_table(spark, sf_dir, "documents"))
+    place = lambda k: F.try_element_at("places", F.lit(k)).cast("long")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), place(1).alias("first_word"), place(-1).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
