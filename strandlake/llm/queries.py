@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontaminate, langid, licenses, lm_scoring, media, packing, simhash, toxicity
+from strandlake.llm import decontaminate, langid, licenses, lm_scoring, media, packing, pii, simhash, toxicity
 from strandlake.llm.common import read_table
 
 
@@ -57,6 +57,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(read_table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.filter("base_spans", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base_spans")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
     found = globals()
     return {k: f for k, f in found.items() if k.startswith("op") and k[2].isdigit()}
