@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontaminate, langid, licenses, lm_scoring, media, packing, pii, simhash, toxicity
+from strandlake.llm import chat, decontaminate, langid, licenses, lm_scoring, media, packing, pii, simhash, toxicity
 from strandlake.llm.common import read_table
 
 
@@ -64,6 +64,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base_spans")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.format_chats(read_table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "position", F.col("role_pred").alias("role"), "rendered")
+
+
 def queries() -> dict:
     found = globals()
     return {k: f for k, f in found.items() if k.startswith("op") and k[2].isdigit()}
