@@ -31,9 +31,9 @@ def starts(first: Column, last: Column, step: int = 1) -> Column:
 
 
 def codons(seq: Column, frame: Column | int = 0) -> Column:
-    """Whole codons of seq from the frame's offset."""
+    """Whole codons of seq from the frame's offset, in one pass."""
     frame = F.lit(frame) if isinstance(frame, int) else frame
-    return F.transform(starts(frame, F.length(seq) - 3, 3), lambda i: F.substr(seq, i + 1, F.lit(3)))
+    return F.regexp_extract_all(F.substr(seq, frame + 1), F.lit("(?s).{3}"), F.lit(0))
 
 
 def translate_codons(seq: Column, frame: Column | int = 0) -> Column:
