@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandlake.functions import columns as C
+
 from strandlake.functions import refdata
 from strandlake.operators import composition, orfs, transforms, windows
 from strandlake.plans.registry import out, register
@@ -170,4 +170,3 @@ register(
     "tr_4_top_orfs", lambda t: out(orfs.top_orfs(orfs.find_orfs(t.dna, 30), 3), "seq_id", "frame", "start", "length", "rank"),
     f"SELECT seq_id, frame, start, length, rank FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY length DESC, frame, start) AS rank FROM {ORFS}) WHERE rank <= 3",
 )
-assert C
