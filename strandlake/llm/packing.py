@@ -133,7 +133,15 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of one sequence, number of such sequences)] using up the whole histogram."""
+    """[(lengths of one sequence, number of such sequences)] using up the whole histogram.
+
+    Few pieces may leave exact complements that spoil the rest, so best-fit alone is tried too and kept
+    where it needs fewer sequences.
+    """
+    return min((_plan(histogram, capacity, exact) for exact in (True, False)), key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(histogram: dict[int, int], capacity: int, exact: bool) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] += n
@@ -176,7 +184,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     for length in range(capacity, 0, -1):
         while left[length]:
             left[length] -= 1
-            found = complement(capacity - length, length)
+            found = complement(capacity - length, length) if exact else None
             left[length] += 1
             if found is None:
                 rest[length], left[length] = left[length], 0
