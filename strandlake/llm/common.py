@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that stored() wrote for the last pipeline stage, and whether one is being planned; see stage_tables.
+_of_stage: list[str] = []
+_planning = False
+
+#: Rows (of a few numbers) up to which a counted table is broadcast instead of shuffled.
+BROADCAST_ROWS = 300_000
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts the lineage.
 
@@ -58,9 +67,33 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _planning:
+        _of_stage.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """df, stored and counted, with a broadcast hint if it has BROADCAST_ROWS rows at most; for narrow rows."""
+    table = stored(df)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+@contextlib.contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """Around the planning of a pipeline stage: deletes the tables stored for the stage before, whose
+    result has been written and reread by now, and takes down those stored for this one."""
+    global _planning
+    for path in _of_stage:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _of_stage.clear()
+    _planning = True
+    try:
+        yield
+    finally:
+        _planning = False
+
+
 def remainder(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n (null ids: the empty text)."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

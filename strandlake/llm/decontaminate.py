@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import slices, stored, words_of
+from strandlake.llm.common import slices, small_or_shuffled, stored, words_of
 
 WINDOW = 13
 #: Distinct phrases of one pass over the index, and terms of a broadcast vocabulary.
@@ -211,4 +211,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     kept = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = contamination(kept.select(F.col("_row").alias("doc_id"), "text"), benchmark, window)
     bad = found.where("contaminated").select(F.col("doc_id").alias("_row"))
-    return kept.join(bad, "_row", "left_anti").select(*docs.columns)
+    return kept.join(small_or_shuffled(bad), "_row", "left_anti").select(*docs.columns)

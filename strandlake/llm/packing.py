@@ -19,11 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import slices, stored
+from strandlake.llm.common import slices, small_or_shuffled, stored
 
 CAPACITY = 2048
 #: Words remembered by one Python worker; when full it starts anew. Never changes a result.
@@ -205,13 +206,34 @@ def _plan(histogram: dict[int, int], capacity: int, exact: bool) -> list[tuple[t
     return patterns
 
 
+def _numbered(pieces: DataFrame, capacity: int) -> DataFrame:
+    """pieces plus _salt, the number of the partition, and _rank, counted from 0 within it and a length."""
+    at = pieces.columns.index("length")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("_salt", T.IntegerType()), T.StructField("_rank", T.LongType())])
+    names = schema.names
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            length = batch.column(at).to_numpy()
+            order = np.argsort(length, kind="stable")
+            sizes = np.bincount(length, minlength=capacity + 1)
+            rank = np.empty(len(length), np.int64)
+            rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            rank += seen[length]
+            seen += sizes
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([salt] * len(length), pa.int32()), pa.array(rank)], names=names)
+
+    return pieces.mapInArrow(number, schema)
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (with a column length, 1 to capacity) plus sequence_id and offset, whatever else they hold.
 
     Stores the pieces once; equal lengths are interchangeable, so ties need no order. An empty table
     gives an empty one. Columns named _salt or _rank are not allowed in the input.
     """
-    kept = stored(pieces.withColumn("_salt", F.spark_partition_id()))
+    kept = stored(_numbered(pieces, capacity))
     counts = kept.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     by_length = Window.partitionBy("length")
     before = counts.withColumn("_before", F.sum("_n").over(by_length.orderBy("_salt")) - F.col("_n")).drop("_n")
@@ -240,9 +262,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         at = np.searchsorted(keys, (length.to_numpy() << 44) + rank, side="right") - 1
         return pd.DataFrame({"sequence_id": base[at] + rank - first[at], "offset": offset[at]})
 
-    own = Window.partitionBy("length", "_salt").orderBy(*pieces.columns)
-    ranked = kept.withColumn("_rank", F.row_number().over(own).cast("long") - 1)
-    placed = ranked.join(before, ["length", "_salt"]).withColumn("_at", slot("length", F.col("_rank") + F.col("_before")))
+    placed = kept.join(small_or_shuffled(before), ["length", "_salt"]).withColumn("_at", slot("length", F.col("_rank") + F.col("_before")))
     return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import shared_dir, slices, stored, tokens_of
+from strandlake.llm.common import shared_dir, slices, small_or_shuffled, stored, tokens_of
 
 #: Fingerprints link at this many differing bits or fewer. The exact way for hot blocks relies on it.
 MAX_DISTANCE = 2
@@ -157,4 +157,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     first = rows.groupBy("fp", "component_id").agg(F.min(order).alias("best")).groupBy("component_id").agg(F.min("best").alias("best"))
     ours = first.select(F.col("component_id").alias("_component"), F.col("best._row").alias("_first"))
     extra = rows.join(ours, rows.component_id.eqNullSafe(ours["_component"]), "left").where(F.col("_first").isNull() | (F.col("_row") != F.col("_first")))
-    return kept.join(extra.select("_row"), "_row", "left_anti").select(*docs.columns)
+    return kept.join(small_or_shuffled(extra.select("_row")), "_row", "left_anti").select(*docs.columns)
