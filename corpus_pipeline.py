@@ -7,31 +7,48 @@ keeps its doc_id; n_chars follows the text.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, packing, pii, simhash, toxicity
-from strandlake.llm.common import read_table, shared_dir
+from strandlake.llm.common import read_table, shared_dir, stage_tables
 from strandlake.llm.queries import tokenizer_path
 
 
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose working tables last until the next stage begins: write its result before that."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_tables(spark):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score reaches the threshold go."""
     return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the row of the smallest doc_id stays."""
     return simhash.drop_near_duplicates(docs)
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of which a twentieth of the words or more lies in benchmark windows go."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become their kind in brackets; no row goes."""
     changed = pii.redact(docs)
@@ -40,6 +57,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return changed.select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids) with their sequence_id and offset."""
     return packing.best_fit_pack(docs, tokenizer_path())
@@ -61,7 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; every stage's result is written to the shared folder and reread."""
     docs = read_table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/strandlake/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+    for name, work in STAGES:
+        work(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
