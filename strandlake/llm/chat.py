@@ -16,8 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm.common import ascii_lower, stored
 
@@ -54,6 +56,32 @@ def without_marker(text: Column) -> Column:
     return F.when(marker_role(text) != "none", F.regexp_replace(text, _MARKER, "")).otherwise(text)
 
 
+def with_position(rows: DataFrame) -> DataFrame:
+    """rows (conv_id, turn, role, text) plus position within conv_id, a long conversation over many tasks.
+
+    Rows are sorted over range partitions and counted within each; what a conversation has in earlier
+    partitions is added."""
+    order = ["conv_id", "turn", "text", "role"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, current, k = TaskContext.get().partitionId(), object(), -1
+        for batch in batches:
+            numbers = []
+            for conv in batch.column("conv_id").to_pylist():
+                k = k + 1 if conv == current else 0
+                current = conv
+                numbers.append(k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(numbers), pa.int32()), pa.array(numbers, pa.int64())], names=[*batch.schema.names, "_part", "_k"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_k", T.LongType())])
+    counted = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(count, schema))
+    sizes = counted.groupBy("conv_id", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_part")) - F.col("_n")
+    starts = sizes.select(F.col("conv_id").alias("_c"), F.col("_part").alias("_p"), before.alias("_before"))
+    joined = counted.join(starts, counted.conv_id.eqNullSafe(starts["_c"]) & (counted["_part"] == starts["_p"]))
+    return joined.select(*rows.columns, (F.col("_k") + F.col("_before")).alias("position"))
+
+
 def line_features(rows: DataFrame) -> DataFrame:
     """rows (conv_id, turn, role, text) plus FEATURES (strings) and position, counted from 0 in order of
     turn within conv_id (null turns first, equal ones by text and role)."""
@@ -65,8 +93,7 @@ def line_features(rows: DataFrame) -> DataFrame:
         F.when(ascii_lower(text).rlike(r"^\W*(you are|act as|always|never|follow)\b"), "s").otherwise(""),
     )
     lines = F.least(F.lit(6), F.size(F.split(text, "\n"))).cast("string")
-    ordered = Window.partitionBy("conv_id").orderBy("turn", "text", "role")
-    placed = rows.withColumn("position", F.row_number().over(ordered).cast("long") - 1)
+    placed = with_position(rows)
     place = F.when(F.col("position") == 0, "first").when(F.col("position") == 1, "second").otherwise("later")
     return placed.withColumns({"marker": marker_role(F.col("text")), "size": size, "place": place, "form": form, "lines": lines})
 
@@ -90,8 +117,8 @@ def fit(featured: DataFrame, smoothing: float = 0.5) -> RoleModel:
     """Counts over every row with a role; roles never seen cannot be predicted. Without any role the
     model knows only `user`."""
     known = featured.where(F.col("role").isNotNull())
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("position"))
-    pairs = featured.withColumn("before", before).where(F.col("role").isNotNull())
+    last = featured.select(F.col("conv_id").alias("c"), (F.col("position") + 1).alias("p"), F.col("role").alias("before"))
+    pairs = known.join(last, known.conv_id.eqNullSafe(last.c) & (known.position == last.p), "left")
     steps = pairs.groupBy("before", "role").agg(F.count("*").alias("n"), F.count_if(F.col("position") == 0).alias("starts")).collect()
     roles = sorted({r.role for r in steps}) or ["user"]
     number = {r: i for i, r in enumerate(roles)}
