@@ -99,7 +99,7 @@ def remainder(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 2_500_000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into smaller ones of about max_bytes of text (a row is never cut)."""
     for batch in batches:
         lo, size = 0, 0

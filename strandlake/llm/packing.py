@@ -28,7 +28,7 @@ from strandlake.llm.common import slices, small_or_shuffled, stored
 
 CAPACITY = 2048
 #: Words remembered by one Python worker; when full it starts anew. Never changes a result.
-WORD_CACHE = 700_000
+WORD_CACHE = 500_000
 
 # Texts of these characters, without the tokenizer's special strings, can be cut at white space and
 # tokenised word by word; every other text goes through the tokenizer whole.

@@ -30,7 +30,7 @@ TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
 #: Words on either side of a match that its context window holds.
 CONTEXT = 4
-WORD_CACHE = 400_000
+WORD_CACHE = 120_000
 
 # Words that mark a mention of a term, and words that address the reader.
 REPORTING = frozenset(b"said says called calls wrote writes quote quoted quotes word words term terms means meaning phrase".split())
