@@ -35,9 +35,11 @@ def restriction_sites(seqs: DataFrame, enzymes: DataFrame) -> DataFrame:
         at = seqs.select("seq_id", s.alias("s"), F.explode(C.starts(F.lit(0), F.length(s) - 4)).alias("pos")).select("seq_id", "pos", "s", F.explode(sizes).alias("size"))
         words = at.select("seq_id", "pos", F.substr("s", F.col("pos") + 1, F.col("size")).alias("word"), "size")
         parts.append(words.join(F.broadcast(sites), ["word", "size"]).select("seq_id", "name", "site", "cut", "group", "pos"))
-    for r in hard:
-        own = seqs.select("seq_id", s.alias("sequence")).where(F.col("sequence").rlike(refdata.as_class(r.site)))
-        parts.append(own.select("seq_id", F.lit(r.name).alias("name"), F.lit(r.site).alias("site"), F.lit(r.cut).alias("cut"), F.lit(r.group).alias("group"), F.explode(C.match_offsets(F.col("sequence"), r.site)).alias("pos")))
+    if hard:
+        hit = lambda r: lambda i: F.struct(F.lit(r.name).alias("name"), F.lit(r.site).alias("site"), F.lit(r.cut).alias("cut"), F.lit(r.group).alias("group"), i.alias("pos"))
+        found = [F.when(F.col("s").rlike(refdata.as_class(r.site)), F.transform(C.match_offsets(F.col("s"), r.site), hit(r))) for r in hard]
+        every = F.flatten(F.array_compact(F.array(*found)))
+        parts.append(seqs.select("seq_id", s.alias("s")).select("seq_id", F.inline(every)))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
