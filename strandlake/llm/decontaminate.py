@@ -30,6 +30,8 @@ WINDOW = 13
 #: Distinct phrases of one pass over the index, and terms of a broadcast vocabulary.
 BLOCK_PHRASES = 50_000
 MAX_TERMS = 1_000_000
+#: Bytes of text of a segment of the index (a document is never cut).
+SEGMENT_BYTES = 8_000_000
 #: A document is contaminated if at least this share of its words is hit.
 MIN_SHARE = 20
 
@@ -74,7 +76,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None) -> DataFra
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SEGMENT_BYTES):
             words = [words_of(t) for t in batch.column(1).to_pylist()]
             n = np.fromiter(map(len, words), np.int64, len(words))
             total = int(n.sum())
