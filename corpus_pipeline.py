@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontaminate, packing, pii, simhash, toxicity
+from strandlake.llm import decontaminate, nearcopies, packing, pii, toxicity
 from strandlake.llm.common import read_table, shared_dir, stage_tables
 from strandlake.llm.queries import tokenizer_path
 
@@ -38,8 +38,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the row of the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near copies, by fingerprints or by five-word shingles, the row of the smallest doc_id stays."""
+    return nearcopies.drop_near_copies(docs)
 
 
 @stage
