@@ -127,6 +127,12 @@ register(
         SELECT seq_id, pos, substr(s, (pos + i + 1)::int, k::int) AS w FROM (SELECT seq_id, s, pos, k, unnest(range(0, {W} - k + 1)) AS i FROM (
         SELECT seq_id, s, pos, unnest([1, 2, 3]) AS k FROM (SELECT seq_id, sequence AS s, unnest(range(0, length(sequence) - {W} + 1)) AS pos FROM $short)))) GROUP BY ALL""",
 )
+register(
+    "wn_4_window_complexity_documents", lambda t: out(windows.window_complexity(t.dna, W)),
+    f"""SELECT seq_id, pos, round(count(DISTINCT w) * 1.0 / {W}, 6) AS value FROM (
+        SELECT seq_id, pos, substr(s, (pos + i + 1)::int, k::int) AS w FROM (SELECT seq_id, s, pos, k, unnest(range(0, {W} - k + 1)) AS i FROM (
+        SELECT seq_id, s, pos, unnest([1, 2, 3]) AS k FROM (SELECT seq_id, sequence AS s, unnest(range(0, length(sequence) - {W} + 1)) AS pos FROM $dna)))) GROUP BY ALL""",
+)
 _F = f"OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING)"
 register(
     "wn_5_window_cpg", lambda t: out(windows.window_cpg(t.dna, W)),

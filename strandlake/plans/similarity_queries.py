@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import align, trees
@@ -39,6 +40,13 @@ register(
     """SELECT grp, string_agg(c, '' ORDER BY i) AS consensus FROM (SELECT grp, i, c, row_number() OVER (PARTITION BY grp, i ORDER BY c = '-', n DESC, first) AS rk FROM (
         SELECT grp, i, c, count(*) AS n, min(seq_id) AS first FROM (SELECT grp, seq_id, i, substr(s, i::int, 1) AS c FROM (SELECT grp, seq_id, rpad(sequence, 80, '-') AS s, unnest(range(1, 81)) AS i FROM $short)) GROUP BY ALL)) WHERE rk = 1 GROUP BY grp""",
 )
+_LONGEST = lambda: F.max(F.length("sequence")).over(Window.partitionBy("grp"))
+register(
+    "al_4_consensus_longest", lambda t: out(align.consensus(t.short.withColumn("n", _LONGEST()).select("grp", "seq_id", F.rpad("sequence", F.col("n"), F.lit("-")).alias("aligned")))),
+    """SELECT grp, string_agg(c, '' ORDER BY i) AS consensus FROM (SELECT grp, i, c, row_number() OVER (PARTITION BY grp, i ORDER BY c = '-', n DESC, first) AS rk FROM (
+        SELECT grp, i, c, count(*) AS n, min(seq_id) AS first FROM (SELECT grp, seq_id, i, substr(s, i::int, 1) AS c FROM (SELECT grp, seq_id, rpad(sequence, m::int, '-') AS s, unnest(range(1, m + 1)) AS i FROM (
+        SELECT *, max(length(sequence)) OVER (PARTITION BY grp) AS m FROM $short))) GROUP BY ALL)) WHERE rk = 1 GROUP BY grp""",
+)
 register("al_5_star_alignment", lambda t: out(align.star_alignment(t.short, 0)))
 register("al_6_pairwise_distances", lambda t: out(align.pairwise_distances(t.short)))
 _KMER = "(SELECT DISTINCT seq_id, substr(sequence, (p + 1)::int, 11) AS kmer FROM (SELECT seq_id, sequence, unnest(range(0, length(sequence) - 10)) AS p FROM {}))"
@@ -50,6 +58,11 @@ register(
     f"""SELECT id_a, id_b, i, j, matches FROM (SELECT id_a, id_b, i, j, len(list_filter(range(1, 11), lambda k: substr(sa, (i + k)::int, 1) = substr(sb, (j + k)::int, 1))) AS matches FROM (
         SELECT *, unnest(range(0, length(sb) - 9)) AS j FROM (SELECT *, unnest(range(0, length(sa) - 9)) AS i FROM {PAIRS} WHERE id_b - id_a = 5))) WHERE matches >= 7""",
 )
+register(
+    "al_8_dot_plot_all_pairs", lambda t: out(align.dot_plot(_P(t))),
+    f"""SELECT id_a, id_b, i, j, matches FROM (SELECT id_a, id_b, i, j, len(list_filter(range(1, 11), lambda k: substr(sa, (i + k)::int, 1) = substr(sb, (j + k)::int, 1))) AS matches FROM (
+        SELECT *, unnest(range(0, length(sb) - 9)) AS j FROM (SELECT *, unnest(range(0, length(sa) - 9)) AS i FROM {PAIRS}))) WHERE matches >= 7""",
+)
 
 NEWICK = lambda t: t.nation.join(t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.round(F.abs(F.avg("s_acctbal")) / 10000, 4).alias("len")), "n_nationkey").groupBy(F.col("n_regionkey").cast("long").alias("tree_id")).agg(F.concat(F.lit("("), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "len"))), lambda x: F.concat(x["n_name"], F.lit(":"), F.format_string("%.4f", x["len"]))), ","), F.lit(");")).alias("newick"))
 _LEAVES = "(SELECT n_regionkey, n_nationkey, n_name, round(abs(avg(s_acctbal)) / 10000, 4) AS len FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL)"
