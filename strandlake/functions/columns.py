@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from strandlake.functions import refdata
 
 ACGT_LETTERS = "ATCGUatcgu"
-UNIPROT = r"[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2}"
 
 
 def count_of(seq: Column, letters: str) -> Column:
@@ -80,10 +79,3 @@ def detect_type(seq: Column) -> Column:
         .when((count_of(s, "U") > 0) & (count_of(s, "T") == 0), "rna").when(count_of(s, "ATCGN") > 0.85 * n, "dna")
         .when(count_of(s, "AUCGN") > 0.85 * n, "rna").otherwise("protein")
     )
-
-
-def match_offsets(seq: Column, site: str) -> Column:
-    """Starts of all, also overlapping, matches of a site with ambiguous bases."""
-    k = len(site)
-    pattern = f"^{refdata.as_class(site)}$"
-    return F.filter(starts(F.lit(0), F.length(seq) - k), lambda i: F.substr(seq, i + 1, F.lit(k)).rlike(pattern))

@@ -7,6 +7,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.functions.tables import local_table
+
 # Enzyme, site, cut, cut on the complement, overhang, group.
 _ENZYMES = """
 EcoRI GAATTC 1 5 5prime common
@@ -323,19 +325,15 @@ def lookup(mapping: dict, key: Column, default) -> Column:
 
 
 def enzymes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(enzyme_rows(), "name string, site string, cut int, cut_complement int, overhang string, group string")
+    return local_table(spark, enzyme_rows(), "name string, site string, cut int, cut_complement int, overhang string, group string")
 
 
 def usage_tables(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(usage_rows(), "organism string, codon string, aa string, per_thousand double, codon_order int")
+    return local_table(spark, usage_rows(), "organism string, codon string, aa string, per_thousand double, codon_order int")
 
 
 def feature_library(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(template_rows(), "name string, type string, color string, sequence string")
-
-
-def common_motifs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MOTIFS, "name string, pattern string")
+    return local_table(spark, template_rows(), "name string, type string, color string, sequence string")
 
 
 def as_class(site: str) -> str:

@@ -6,6 +6,7 @@ neighbour, then a running maximum for gaps along the row. Distinct pairs of text
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions import columns as C
 from strandlake.functions import refdata
+from strandlake.operators import chunks
 
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Cells of one pair's matrix; a larger pair is an error, never cut.
@@ -127,32 +128,36 @@ def pairwise_distances(seqs: DataFrame) -> DataFrame:
 def star_alignment(seqs: DataFrame, reference_id: int) -> DataFrame:
     """(seq_id, aligned): every sequence aligned to the reference, insertions of all merged.
 
-    Columns are keyed by (reference place, insertion number); a place gets as many insertion columns as its
-    longest insertion in any row."""
-    reference = seqs.where(F.col("seq_id") == reference_id).select(F.col("seq_id").alias("id_a"), F.col("sequence").alias("seq_a"))
-    pairs = F.broadcast(reference).crossJoin(seqs.select(F.col("seq_id").alias("id_b"), F.col("sequence").alias("seq_b")))
-    cells = align_pairs(pairs).select("id_b", F.posexplode(F.arrays_zip(F.split("aligned_a", "").alias("r"), F.split("aligned_b", "").alias("c"))).alias("at", "p")).select("id_b", "at", F.col("p.r").alias("r"), F.col("p.c").alias("c")).where("r <> ''")
-    order = Window.partitionBy("id_b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cells.withColumn("ref", F.sum((F.col("r") != "-").cast("int")).over(order))
-    k = F.row_number().over(Window.partitionBy("id_b", "ref").orderBy("at"))
-    keyed = placed.withColumn("k", k - F.when(F.col("ref") > 0, 1).otherwise(0))
-    columns = keyed.groupBy("ref", "k").agg(F.lit(1).alias("one")).drop("one")
-    grid = seqs.select(F.col("seq_id").alias("id_b")).crossJoin(F.broadcast(columns)).join(keyed.select("id_b", "ref", "k", "c"), ["id_b", "ref", "k"], "left")
-    cell = F.struct("ref", "k", F.coalesce("c", F.lit("-")).alias("c"))
-    return grid.groupBy(F.col("id_b").alias("seq_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(cell)), lambda x: x["c"]), "").alias("aligned"))
+    A place of the reference gets as many insertion columns as its longest insertion in any row."""
+    reference = seqs.where(F.col("seq_id") == reference_id).select(F.col("seq_id").alias("id_a"), F.col("sequence").alias("seq_a")).limit(1)
+    pairs = F.broadcast(reference).crossJoin(seqs.select(F.col("seq_id").alias("id_b"), F.col("sequence").alias("seq_b")))  # one row
+    # the gaps before the first letter of the reference, then each of its letters with the gaps after it
+    runs = F.concat(F.array(F.regexp_extract("aligned_a", "^-*", 0)), F.regexp_extract_all("aligned_a", F.lit("[^-]-*"), F.lit(0)))
+    each = align_pairs(pairs).select("id_b", "aligned_b", F.posexplode(F.transform(runs, F.length)).alias("ref", "size"))
+    end = F.sum("size").over(Window.partitionBy("id_b").orderBy("ref"))
+    parts = each.withColumn("part", F.substr("aligned_b", (end - F.col("size") + 1).cast("int"), F.col("size"))).select("id_b", "ref", "part")
+    widths = parts.groupBy("ref").agg(F.max(F.length("part")).alias("width"))
+    filled = parts.join(widths, "ref").select("id_b", F.struct("ref", F.rpad("part", F.col("width"), F.lit("-")).alias("part")).alias("cell"))
+    return filled.groupBy(F.col("id_b").alias("seq_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("cell")), lambda x: x["part"]), "").alias("aligned"))
 
 
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """Distinct (seq_id, kmer)."""
-    s = F.upper("sequence")
-    at = seqs.select("seq_id", s.alias("s"), F.explode(C.starts(F.lit(0), F.length(s) - k)).alias("p"))
-    return at.select("seq_id", F.substr("s", F.col("p") + 1, F.lit(k)).alias("kmer")).distinct()
+    return chunks.positioned_words(seqs, k).select("seq_id", F.col("word").alias("kmer")).distinct()
+
+
+#: Targets of one word that a task joins; those of a word that more share are dealt out by their ids.
+HOT_WORD = 1000
 
 
 def candidate_pairs(queries: DataFrame, targets: DataFrame, k: int = 11, min_shared: int = 2) -> DataFrame:
     """(id_a, id_b, shared): pairs of different ids that share min_shared words of k letters or more."""
-    q = kmers(queries, k).withColumnRenamed("seq_id", "id_a")
-    shared = q.join(kmers(targets, k).withColumnRenamed("seq_id", "id_b"), "kmer").where("id_a <> id_b")
+    q, t = kmers(queries, k).withColumnRenamed("seq_id", "id_a"), kmers(targets, k).withColumnRenamed("seq_id", "id_b")
+    hot = t.groupBy("kmer").agg(F.ceil(F.count("*") / HOT_WORD).cast("int").alias("deals")).where("deals > 1")
+    deals = F.coalesce("deals", F.lit(1))
+    dealt = t.join(hot, "kmer", "left").select("id_b", "kmer", F.pmod(F.xxhash64("id_b"), deals).cast("int").alias("deal"))
+    every = q.join(hot, "kmer", "left").select("id_a", "kmer", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
+    shared = every.join(dealt, ["kmer", "deal"]).where("id_a <> id_b")
     return shared.groupBy("id_a", "id_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
 
 
@@ -170,13 +175,22 @@ def search_similar(queries: DataFrame, targets: DataFrame, k: int = 11, min_shar
 def dot_plot(pairs: DataFrame, window: int = 10, threshold: float = 70.0) -> DataFrame:
     """(id_a, id_b, i, j, matches) of windows, on a grid of max(1, length // 300), with enough equal letters.
 
-    Every equal pair of letters adds to the windows that hold it on its diagonal."""
-    import math
-
-    a = pairs.select("id_a", "id_b", F.length("seq_a").alias("na"), F.length("seq_b").alias("nb"), F.upper("seq_b").alias("sb"), F.posexplode(F.split(F.upper("seq_a"), "")).alias("x", "c")).where("c <> ''")
-    b = pairs.select("id_a", "id_b", F.posexplode(F.split(F.upper("seq_b"), "")).alias("y", "c")).where("c <> ''")
-    met = a.drop("sb").join(b, ["id_a", "id_b", "c"])
-    at = met.select("id_a", "id_b", "na", "nb", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("k")).select("id_a", "id_b", "na", "nb", (F.col("x") - F.col("k")).alias("i"), (F.col("y") - F.col("k")).alias("j"))
-    step = lambda n: F.greatest(F.lit(1), F.floor(F.greatest("na", "nb") / 300).cast("int"))
-    own = at.where((F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") <= F.col("na") - window) & (F.col("j") <= F.col("nb") - window) & (F.col("i") % step("a") == 0) & (F.col("j") % step("b") == 0))
-    return own.groupBy("id_a", "id_b", "i", "j").agg(F.count("*").alias("matches")).where(F.col("matches") >= math.ceil(window * threshold / 100))
+    Two windows with few unequal letters agree in one of as many blocks and one more, so windows on the grid are
+    joined on those; a pair of windows is counted at the first block in which it agrees."""
+    least = math.ceil(window * threshold / 100)
+    blocks = min(window, window - least + 1)
+    edges = [window * b // blocks for b in range(blocks + 1)]
+    part = lambda w, b: F.substr(w, F.lit(edges[b] + 1), F.lit(edges[b + 1] - edges[b]))
+
+    def windows(side: str, at: str) -> DataFrame:
+        text = F.upper(f"seq_{side}")
+        step = F.greatest(F.lit(1), F.floor(F.length(text) / 300).cast("int"))
+        each = pairs.select("id_a", "id_b", step.alias("step"), F.posexplode(chunks.words_at(text, window)).alias(at, f"w{side}")).where(F.col(at) % F.col("step") == 0)
+        words = F.array(*[part(f"w{side}", b) for b in range(blocks)])
+        return each.select("id_a", "id_b", at, f"w{side}", F.posexplode(words).alias("block", "word"))
+
+    met = windows("a", "i").join(windows("b", "j"), ["id_a", "id_b", "block", "word"])
+    for b in range(blocks - 1):
+        met = met.where((F.col("block") <= b) | (part("wa", b) != part("wb", b)))
+    same = sum((F.substr("wa", F.lit(k), F.lit(1)) == F.substr("wb", F.lit(k), F.lit(1))).cast("int") for k in range(1, window + 1))
+    return met.select("id_a", "id_b", "i", "j", same.alias("matches")).where(F.col("matches") >= least)

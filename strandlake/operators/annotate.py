@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,20 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.functions import columns as C
+from strandlake.functions.sizes import broadcast_if_small
+from strandlake.operators import chunks
+
+#: Letters that a place and a template are joined on.
+KEY = 8
 
 
 def auto_annotate(seqs: DataFrame, library: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(seq_id, name, type, start, end, strand, color, source): exact, also overlapping, occurrences of the
-    library's templates on either strand, without keys that existing features have. library is small."""
+    library's templates on either strand, without keys that existing features have.
+
+    Places are joined with templates on the first letters, then compared whole within their chunk."""
     s = F.upper("sequence")
     nucleic = seqs.where(F.col("type") != "protein") if "type" in seqs.columns else seqs
     strands = nucleic.select("seq_id", F.inline(F.array(F.struct(F.lit("+").alias("strand"), s.alias("s")), F.struct(F.lit("-").alias("strand"), C.reverse_complement(s).alias("s")))))
-    templates = F.broadcast(library.select("name", "type", "color", F.upper(library["sequence"]).alias("template")))
-    held = strands.join(templates, F.contains("s", "template"))
+    sizes = library.agg(F.min(F.length("sequence")).alias("least"), F.max(F.length("sequence")).alias("most")).first()
+    key, longest = min(KEY, sizes.least or 1), sizes.most or 1
+    template = F.upper(library["sequence"])
+    templates = broadcast_if_small(library.where(template != "").select("name", "type", "color", template.alias("template"), F.left(template, F.lit(key)).alias("word")))
+    pieces = chunks.with_halo(strands.select(F.struct("seq_id", "strand", F.length("s").alias("n")).alias("seq_id"), F.col("s").alias("sequence")), chunks.CHUNK, longest - 1)
+    words = chunks.words_at(F.left("sequence", F.col("core") + (key - 1)), key)
+    met = pieces.select("seq_id.*", F.col("start").alias("first"), "sequence", F.posexplode(words).alias("k", "word")).join(templates, "word")
     size = F.length("template")
-    at = F.filter(C.starts(F.lit(0), F.length("s") - size), lambda i: F.substr("s", i + 1, size) == F.col("template"))
-    hits = held.select("*", F.explode(at).alias("at"))
-    start = F.when(F.col("strand") == "+", F.col("at")).otherwise(F.length("s") - F.col("at") - size)
+    hits = met.where(F.substr("sequence", F.col("k") + 1, size) == F.col("template")).withColumn("at", (F.col("first") + F.col("k")).cast("int"))
+    start = F.when(F.col("strand") == "+", F.col("at")).otherwise(F.col("n") - F.col("at") - size)
     found = hits.select("seq_id", "name", "type", start.alias("start"), (start + size).alias("end"), "strand", "color", F.lit("auto").alias("source")).dropDuplicates(["seq_id", "name", "start", "end", "strand"])
     return found if existing is None else found.join(existing, ["seq_id", "name", "start", "end", "strand"], "left_anti").select(found.columns)
 
@@ -40,20 +52,26 @@ def add_annotations(features: DataFrame, rows: DataFrame) -> DataFrame:
 def assign_tracks(features: DataFrame) -> DataFrame:
     """features (seq_id, start, end_pos, ...) plus track: the first whose last feature ends at or before.
 
-    Greedy in order of start, so a sequence's features are read in order by one task, a row at a time.
+    Greedy in order of start, so a sequence's features are read in order by one task; the ends of tracks in
+    use and the numbers of free ones are kept in heaps. Rows equal in seq_id and start go by their other columns.
     """
     at = features.columns
     schema = T.StructType([*features.schema.fields, T.StructField("track", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, ends = None, []
+        current, busy, free, used = None, [], [], 0
         for batch in batches:
             tracks = []
             for seq, start, end in zip(batch["seq_id"], batch["start"], batch["end_pos"], strict=True):
                 if seq != current:
-                    current, ends = seq, []
-                k = next((i for i, e in enumerate(ends) if e <= start), len(ends))
-                ends[k:k + 1] = [end]
+                    current, busy, free, used = seq, [], [], 0
+                while busy and busy[0][0] <= start:
+                    heappush(free, heappop(busy)[1])
+                if not free:
+                    heappush(free, used)
+                    used += 1
+                k = heappop(free)
+                heappush(busy, (end, k))
                 tracks.append(k)
             yield batch.assign(track=tracks)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
 from strandlake.functions import refdata
+from strandlake.functions.tables import local_table
 
 
 def _usage(organism: str) -> list[tuple]:
@@ -59,7 +60,7 @@ def codon_usage_table(seqs: DataFrame, organism: str = "ecoli") -> DataFrame:
     for _, _, aa, f, _ in _usage(organism):
         best[aa] = max(best.get(aa, 0.0), f)
     grid = [(aa, c, f, f == best[aa] and f > 0) for _, c, aa, f, _ in _usage(organism) if aa != "*"]
-    table = F.broadcast(seqs.sparkSession.createDataFrame(grid, "aa string, codon string, per_thousand double, is_optimal boolean"))
+    table = F.broadcast(local_table(seqs.sparkSession, grid, "aa string, codon string, per_thousand double, is_optimal boolean"))
     codons = seqs.select("seq_id", F.filter(C.codons(F.upper("sequence")), lambda c: ~F.contains(c, F.lit("N"))).alias("codons"))
     counts = codons.select("seq_id", F.explode("codons").alias("codon")).groupBy("seq_id", "codon").agg(F.count("*").alias("count"))
     totals = seqs.select("seq_id").join(counts.groupBy("seq_id").agg(F.sum("count").alias("total")), "seq_id", "left")

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.tables import local_table
+from strandlake.operators.structure import nearest
+
 
 def top_sites(scores: DataFrame, threshold: float = 0.5, top_n: int = 0) -> DataFrame:
     """Scores (grp, id, y_proba) at or over the threshold, best first, with rank and the group's total."""
@@ -49,42 +52,58 @@ def classification_metrics(scores: DataFrame, threshold: float | Column = 0.5, b
     })
 
 
-def _by_score(scores: DataFrame) -> DataFrame:
-    """(y_proba, pos, neg, tp, fp, P, N): counts at each distinct score and running totals from the top."""
+#: Ranges of scores that running totals are taken over side by side.
+RANGES = 200
+
+
+def by_score(scores: DataFrame) -> DataFrame:
+    """(y_proba, pos, neg, tp, fp, P, N): counts at each distinct score and running totals from the top.
+
+    Distinct scores are cut into ranges at quantiles; totals run within a range, and what the ranges above it
+    hold (a few numbers) is added, so no task sees all scores."""
     own = scores.groupBy("y_proba").agg(F.sum("y_true").cast("double").alias("pos"), F.sum(1 - F.col("y_true")).cast("double").alias("neg"))
-    down = Window.orderBy(F.desc("y_proba")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy()
-    return own.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "P": F.sum("pos").over(all_), "N": F.sum("neg").over(all_)})
+    bounds = own.agg(F.percentile_approx("y_proba", [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0]
+    ranged = own.withColumn("_range", F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds or []))]).cast("array<double>"), lambda b: b < F.col("y_proba"))), F.lit(0)))
+    sums = {r["_range"]: (r.pos, r.neg) for r in ranged.groupBy("_range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()}  # RANGES rows at most
+    above, tp, fp = [], 0.0, 0.0
+    for k in sorted(sums, reverse=True):
+        above.append((k, tp, fp))
+        tp, fp = tp + sums[k][0], fp + sums[k][1]
+    before = F.broadcast(local_table(scores.sparkSession, above, "_range int, _tp double, _fp double"))
+    down = Window.partitionBy("_range").orderBy(F.desc("y_proba")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(before, "_range").withColumns({"tp": F.sum("pos").over(down) + F.col("_tp"), "fp": F.sum("neg").over(down) + F.col("_fp"), "P": F.lit(tp), "N": F.lit(fp)})
+    return joined.drop("_range", "_tp", "_fp")
 
 
 def roc_curve(scores: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr) at each distinct score, with the origin (threshold null)."""
-    points = _by_score(scores).select(F.col("y_proba").alias("threshold"), _safe(F.col("fp"), F.col("N")).alias("fpr"), _safe(F.col("tp"), F.col("P")).alias("tpr"))
+    points = by_score(scores).select(F.col("y_proba").alias("threshold"), _safe(F.col("fp"), F.col("N")).alias("fpr"), _safe(F.col("tp"), F.col("P")).alias("tpr"))
     origin = scores.limit(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.union(origin)
 
 
-def roc_auc(scores: DataFrame) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order, ties half."""
-    c = _by_score(scores).withColumn("won", F.col("pos") * (F.col("N") - F.col("fp") + F.col("neg") / 2))
+def roc_auc(scores: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Share of (positive, negative) pairs in the right order, ties half. counts: by_score of the scores, if at hand."""
+    c = (by_score(scores) if counts is None else counts).withColumn("won", F.col("pos") * (F.col("N") - F.col("fp") + F.col("neg") / 2))
     return c.agg(_safe(F.sum("won"), F.max("P") * F.max("N")).alias("roc_auc"))
 
 
-def pr_curve(scores: DataFrame) -> DataFrame:
+def pr_curve(scores: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(threshold, precision, recall) at each distinct score, and the closing point (null, 1, 0)."""
-    points = _by_score(scores).select(F.col("y_proba").alias("threshold"), _safe(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _safe(F.col("tp"), F.col("P")).alias("recall"))
+    c = by_score(scores) if counts is None else counts
+    points = c.select(F.col("y_proba").alias("threshold"), _safe(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _safe(F.col("tp"), F.col("P")).alias("recall"))
     return points.union(scores.limit(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
 
 
-def average_precision(scores: DataFrame) -> DataFrame:
-    c = _by_score(scores)
+def average_precision(scores: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    c = by_score(scores) if counts is None else counts
     return c.agg(_safe(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("P")).alias("average_precision"))
 
 
-def best_threshold(scores: DataFrame) -> DataFrame:
+def best_threshold(scores: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The threshold of the greatest 2PR / (P + R + 1e-8), the smallest on ties."""
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-8)
-    own = pr_curve(scores).withColumn("f1", f1)
+    own = pr_curve(scores, counts).withColumn("f1", f1)
     return own.agg(F.coalesce(F.max_by("threshold", F.struct("f1", -F.coalesce("threshold", F.lit(0.5)))), F.lit(0.5)).alias("threshold"), F.max("f1").alias("f1"))
 
 
@@ -98,9 +117,8 @@ def topk_accuracy(scores: DataFrame, k: int = 10) -> DataFrame:
 def distance_to_center(predicted: DataFrame, true: DataFrame, threshold: float = 4.0) -> DataFrame:
     """Per structure the mean distance from a prediction to the nearest true place, and the share within the
     threshold; infinite and 0 if the structure lacks either."""
-    q = true.select("structure_id", *[F.col(c).alias(f"r_{c}") for c in "xyz"])
-    d = F.sqrt(sum(F.pow(F.col(c) - F.col(f"r_{c}"), F.lit(2.0)) for c in "xyz"))
-    near = predicted.join(q, "structure_id").groupBy("structure_id", "id").agg(F.min(d).alias("d"))
+    place = lambda rows, *name: rows.select("structure_id", *name, "x", "y", "z")
+    near = nearest(place(predicted, F.col("id").alias("idx")), place(true, F.xxhash64("x", "y", "z").alias("idx")), 1).groupBy("structure_id", "idx").agg(F.min("distance").alias("d"))
     found = near.groupBy("structure_id").agg(F.avg("d").alias("mean"), F.avg((F.col("d") <= threshold).cast("double")).alias("within"))
     every = predicted.select("structure_id").union(true.select("structure_id")).distinct()
     return every.join(found, "structure_id", "left").select("structure_id", F.coalesce("mean", F.lit(float("inf"))).alias("mean"), F.coalesce("within", F.lit(0.0)).alias("within"))
@@ -119,9 +137,10 @@ def cross_validation_summary(metrics: DataFrame) -> DataFrame:
 
 def evaluate(scores: DataFrame) -> DataFrame:
     """One row: best threshold, all metrics at it, ROC AUC and average precision."""
-    best = best_threshold(scores).select("threshold")
+    counts = by_score(scores)
+    best = best_threshold(scores, counts).select("threshold")
     at = scores.crossJoin(F.broadcast(best))
-    return classification_metrics(at, F.col("threshold"), "threshold").crossJoin(roc_auc(scores)).crossJoin(average_precision(scores))
+    return classification_metrics(at, F.col("threshold"), "threshold").crossJoin(roc_auc(scores, counts)).crossJoin(average_precision(scores, counts))
 
 
 def loss_report(logits: DataFrame, pos_weight: float = 5.0, alpha: float = 0.25, gamma: float = 2.0, smooth: float = 1.0, alpha_t: float = 0.3, beta_t: float = 0.7) -> DataFrame:

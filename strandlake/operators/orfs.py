@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
+from strandlake.operators import chunks
 
 STOPS = ("TAA", "TAG", "TGA")
 
@@ -13,16 +14,15 @@ STOPS = ("TAA", "TAG", "TGA")
 def find_orfs(seqs: DataFrame, min_length: int = 30) -> DataFrame:
     """(seq_id, frame, start, end, length, protein) of forward frames: from the first ATG after the last
     stop to the next stop, with it; open-ended ones are left out."""
-    s = F.upper("sequence")
-    at = seqs.select("seq_id", s.alias("s"), F.explode(C.starts(F.lit(0), F.length(s) - 3)).alias("pos"))
-    codons = at.select("seq_id", "pos", (F.col("pos") % 3).alias("f"), F.substr("s", F.col("pos") + 1, F.lit(3)).alias("codon")).where(F.col("codon").isin("ATG", *STOPS))
+    at = chunks.positioned_words(seqs, 3).where(F.col("word").isin("ATG", *STOPS))
+    codons = at.select("seq_id", "pos", (F.col("pos") % 3).alias("f"), F.col("word").alias("codon"))
     stop = F.col("codon").isin(*STOPS)
     before = Window.partitionBy("seq_id", "f").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     runs = codons.withColumn("run", F.coalesce(F.sum(stop.cast("int")).over(before), F.lit(0)))
     found = runs.groupBy("seq_id", "f", "run").agg(F.min(F.when(F.col("codon") == "ATG", F.col("pos"))).alias("start"), (F.max(F.when(stop, F.col("pos"))) + 3).alias("end"))
     long = found.where((F.col("start") < F.col("end") - 3) & (F.col("end") - F.col("start") >= min_length))
-    named = long.join(seqs.select("seq_id", s.alias("s")), "seq_id")
-    protein = C.translate_codons(F.substr("s", F.col("start") + 1, F.col("end") - F.col("start")))
+    named = chunks.cut_out(seqs, long, "text")
+    protein = C.translate_codons(F.col("text"))
     return named.select("seq_id", (F.col("f") + 1).alias("frame"), "start", "end", (F.col("end") - F.col("start")).alias("length"), protein.alias("protein"))
 
 

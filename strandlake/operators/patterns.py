@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
 from strandlake.functions import refdata
+from strandlake.functions.sizes import broadcast_if_small
+from strandlake.functions.tables import local_table
 
 
 def pattern_of(motif: str, mode: str = "exact") -> str:
@@ -29,7 +31,7 @@ def pattern_of(motif: str, mode: str = "exact") -> str:
 
 def motif_table(spark, motifs: list[tuple[str, str]], mode: str = "exact") -> DataFrame:
     """(motif, pattern) from (name, motif) pairs."""
-    return spark.createDataFrame([(name, pattern_of(m, mode)) for name, m in motifs], "motif string, pattern string")
+    return local_table(spark, [(name, pattern_of(m, mode)) for name, m in motifs], "motif string, pattern string")
 
 
 def find_motifs(seqs: DataFrame, motifs: DataFrame, both_strands: bool = True) -> DataFrame:
@@ -39,7 +41,7 @@ def find_motifs(seqs: DataFrame, motifs: DataFrame, both_strands: bool = True) -
     s = F.upper("sequence")
     nucleic = F.col("type") != "protein" if "type" in seqs.columns else F.lit(True)
     strands = F.array(F.struct(F.lit("+").alias("strand"), s.alias("s")), *([F.struct(F.lit("-").alias("strand"), F.when(nucleic, C.reverse_complement(s)).alias("s"))] if both_strands else []))
-    rows = seqs.select("seq_id", F.inline(strands)).crossJoin(F.broadcast(motifs)).where(F.expr("s rlike pattern"))
+    rows = seqs.select("seq_id", F.inline(strands)).crossJoin(broadcast_if_small(motifs)).where(F.expr("s rlike pattern"))
     found = rows.select("seq_id", "motif", "strand", F.length("s").alias("n"), F.regexp_extract_all("s", F.col("pattern"), F.lit(0)).alias("m"), F.transform(F.expr("split(s, pattern, -1)"), F.length).alias("gaps"))
     each = found.select("seq_id", "motif", "strand", "n", "gaps", F.posexplode("m").alias("k", "match"))
     so_far = Window.partitionBy("seq_id", "motif", "strand").orderBy("k")
@@ -65,7 +67,3 @@ def motif_density(hits: DataFrame, seqs: DataFrame, bins: int = 10) -> DataFrame
     """(motif, bin, count) by relative position in the sequence."""
     own = hits.join(seqs.select("seq_id", F.length("sequence").alias("_n")), "seq_id")
     return own.groupBy("motif", F.floor(F.col("pos") * bins / F.col("_n")).cast("int").alias("bin")).agg(F.count("*").alias("count"))
-
-
-def contains_any(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("|".join(patterns))

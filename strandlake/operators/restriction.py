@@ -7,43 +7,48 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions import columns as C
 from strandlake.functions import refdata
+from strandlake.functions.sizes import SMALL_ROWS
+from strandlake.functions.tables import local_table
+from strandlake.operators import chunks
 
-#: A site is searched as words if its ambiguous bases stand for this many at most.
+#: A site's leading letters are written out as words while its ambiguous bases stand for this many at most.
 MAX_WORDS = 64
+#: Letters that a place and a site are joined on.
+KEY = 4
 
 
 def site_words(site: str) -> list[str]:
+    """All words of the site's longest beginning that stands for MAX_WORDS words at most."""
+    n = 1
+    for k, c in enumerate(site):
+        n *= len(refdata.AMBIGUOUS.get(c, c))
+        if n > MAX_WORDS:
+            site = site[:k]
+            break
     return ["".join(p) for p in product(*(refdata.AMBIGUOUS.get(c, c) for c in site))]
 
 
 def restriction_sites(seqs: DataFrame, enzymes: DataFrame) -> DataFrame:
-    """(seq_id, name, site, cut, group, pos): all matches, also overlapping, on the given strand.
+    """(seq_id, name, site, cut, group, pos): all matches, also overlapping, on the given strand, of each
+    row of enzymes (a dictionary; rows of one name and several sites count each).
 
-    Sites of few words are found by one equi-join of the sequences' words with the sites' (enzymes is a
-    small table); the others are matched at each position of the sequences that hold them at all.
+    The letters at every place are joined with the sites on the first few of them, then compared with
+    the site's words; only of sites with many ambiguous bases the rest is matched as a pattern. Sequences
+    are cut into chunks, so the work is linear in their length and only hits leave a chunk.
     """
-    rows = enzymes.select("name", "site", "cut", "group").collect()
-    spark, s = seqs.sparkSession, F.upper("sequence")
-    simple = [(w, len(w), *r) for r in rows if len(words := site_words(r.site) if r.site.count("N") + sum(c in "BDHV" for c in r.site) <= 2 else []) <= MAX_WORDS for w in words]
-    hard = [r for r in rows if r.name not in {x[2] for x in simple}]
-    parts = []
-    if simple:
-        sites = spark.createDataFrame(simple, "word string, size int, name string, site string, cut int, group string")
-        sizes = F.array(*[F.lit(k) for k in sorted({x[1] for x in simple})])
-        at = seqs.select("seq_id", s.alias("s"), F.explode(C.starts(F.lit(0), F.length(s) - 4)).alias("pos")).select("seq_id", "pos", "s", F.explode(sizes).alias("size"))
-        words = at.select("seq_id", "pos", F.substr("s", F.col("pos") + 1, F.col("size")).alias("word"), "size")
-        parts.append(words.join(F.broadcast(sites), ["word", "size"]).select("seq_id", "name", "site", "cut", "group", "pos"))
-    if hard:
-        hit = lambda r: lambda i: F.struct(F.lit(r.name).alias("name"), F.lit(r.site).alias("site"), F.lit(r.cut).alias("cut"), F.lit(r.group).alias("group"), i.alias("pos"))
-        found = [F.when(F.col("s").rlike(refdata.as_class(r.site)), F.transform(C.match_offsets(F.col("s"), r.site), hit(r))) for r in hard]
-        every = F.flatten(F.array_compact(F.array(*found)))
-        parts.append(seqs.select("seq_id", s.alias("s")).select("seq_id", F.inline(every)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    rows = [r for r in enzymes.select("name", "site", "cut", "group").collect() if r.site]
+    if not rows:
+        return seqs.select("seq_id").limit(0).join(enzymes.select("name", "site", "cut", "group"), F.lit(True)).withColumn("pos", F.lit(0))
+    longest, key = max(len(r.site) for r in rows), min([KEY, *(len(site_words(r.site)[0]) for r in rows)])
+    words = [(w[:key], w, len(w) == len(r.site), *r) for r in rows for w in site_words(r.site)]
+    sites = local_table(seqs.sparkSession, words, "key string, begin string, whole boolean, name string, site string, cut int, group string")
+    places = chunks.positioned_words(seqs, longest, "#").withColumn("key", F.left("word", F.lit(key)))
+    met = places.join(F.broadcast(sites) if len(words) <= SMALL_ROWS else sites, "key").where(F.startswith("word", "begin"))
+    rest = F.lit(False)
+    for site in {r.site for r in rows if len(site_words(r.site)[0]) < len(r.site)}:
+        rest = F.when(F.col("site") == site, F.col("word").rlike(f"^{refdata.as_class(site)}")).otherwise(rest)
+    return met.where(F.col("whole") | rest).select("seq_id", "name", "site", "cut", "group", "pos")
 
 
 def cuts(sites: DataFrame) -> DataFrame:
@@ -57,8 +62,7 @@ def digest(seqs: DataFrame, sites: DataFrame) -> DataFrame:
     every = ends.union(cuts(sites).select("seq_id", F.col("cut_at").alias("at"))).distinct()
     after = F.lead("at").over(Window.partitionBy("seq_id").orderBy("at"))
     pieces = every.withColumn("end", after).where("end > at").select("seq_id", F.col("at").alias("start"), "end", (F.col("end") - F.col("at")).alias("size"))
-    lo = F.greatest(F.col("start"), F.lit(0))
-    return pieces.join(seqs.select("seq_id", "sequence"), "seq_id").select("seq_id", "start", "end", "size", F.substr("sequence", lo + 1, F.greatest(F.col("end"), F.lit(0)) - lo).alias("fragment"))
+    return chunks.cut_out(seqs, pieces, "fragment")
 
 
 def digest_summary(sites: DataFrame, n_enzymes: int) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import refdata
+from strandlake.functions.storage import shared_dir
 
 
 def residues(atoms: DataFrame) -> DataFrame:
@@ -116,13 +120,48 @@ def radius_edges(own: DataFrame, r: float = 8.0) -> DataFrame:
     return pairs.where((F.col("distance") > 0) & (F.col("distance") < r)).select("structure_id", F.col("idx").alias("src"), F.col("r_idx").alias("dst"), "distance")
 
 
+def nearest(points: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """(structure_id, idx, r_idx, distance): the k nearest of others (structure_id, idx, x, y, z) to each of points,
+    but those of its own idx if both tables are one; the lower idx on ties.
+
+    Each point looks into its cell of a grid and the cells around it. What it finds within a cell's width is
+    certain; points that find too little go on with cells twice as wide, up to the width of the structure."""
+    same = points is others
+    q = others.select("structure_id", *[F.col(c).alias(f"r_{c}") for c in ("idx", "x", "y", "z")])
+    size = lambda rows: [F.min(c).alias(f"lo_{c}") for c in rows] + [F.max(c).alias(f"hi_{c}") for c in rows]
+    every = points.select("structure_id", "x", "y", "z", F.lit(0).alias("n")).union(others.select("structure_id", "x", "y", "z", F.lit(1)))
+    extent = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"])
+    boxes = every.groupBy("structure_id").agg(*size("xyz"), F.sum("n").alias("n")).select("structure_id", *[f"lo_{c}" for c in "xyz"], extent.alias("extent"), F.greatest(F.lit(1.0), F.floor(F.cbrt(F.col("n") / (k + 1)))).alias("cells"))
+    rounds = math.ceil(math.log2(boxes.agg(F.max("cells")).first()[0] or 1.0))
+    shared_dir(points.sparkSession)
+    left, out = points.select("structure_id", "idx", "x", "y", "z"), None
+    for step in range(rounds + 1):
+        # the last round has one cell for the whole structure (an edge of it never lies outside)
+        width = F.greatest(F.col("extent") * F.least(F.lit(1.0), F.lit(2.0**step) / F.col("cells")), F.lit(1e-9))
+        cell = lambda c: F.floor((F.col(c) - F.col(f"lo_{c[-1]}")) / F.col("width")).alias(f"c_{c[-1]}")
+        around = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(d, "xyz", strict=True)]) for d in product((-1, 0, 1), repeat=3)])
+        grid = boxes.withColumn("width", width)
+        mine = left.join(grid, "structure_id").select("structure_id", "idx", "x", "y", "z", "width", "extent", *[cell(c) for c in "xyz"], F.explode(around).alias("d"))
+        mine = mine.select("structure_id", "idx", "x", "y", "z", "width", "extent", *[(F.col(f"c_{c}") + F.col(f"d.d{c}")).alias(f"c_{c}") for c in "xyz"])
+        theirs = q.join(grid, "structure_id").select(*q.columns, *[cell(f"r_{c}") for c in "xyz"])
+        met = mine.join(theirs, ["structure_id", "c_x", "c_y", "c_z"]).where(F.col("idx") != F.col("r_idx") if same else F.lit(True)).withColumn("distance", distance())
+        last = F.col("width") >= F.col("extent")
+        own = Window.partitionBy("structure_id", "idx", *([] if same else ["x", "y", "z"]))
+        sure = met.where(last | (F.col("distance") <= F.col("width"))).withColumns({"rank": F.row_number().over(own.orderBy("distance", "r_idx")), "found": F.count("*").over(own)})
+        held = sure.where((F.col("rank") <= k) & (last | (F.col("found") >= k))).select("structure_id", "idx", "x", "y", "z", "r_idx", "distance")
+        if step < rounds:
+            held = held.checkpoint()
+            left = left.join(held.select("structure_id", "idx", "x", "y", "z").distinct(), ["structure_id", "idx", "x", "y", "z"], "left_anti")
+        out = held if out is None else out.union(held)
+        if step < rounds and left.isEmpty():
+            break
+    return out.select("structure_id", "idx", "r_idx", "distance")
+
+
 def knn_edges(own: DataFrame, k: int = 15) -> DataFrame:
     """(structure_id, src, dst, distance) to the k nearest others of the structure; the lower idx on ties."""
     p = own.select("structure_id", "idx", "x", "y", "z")
-    q = p.select("structure_id", *[F.col(c).alias(f"r_{c}") for c in ("idx", "x", "y", "z")])
-    pairs = p.join(q, "structure_id").where("idx <> r_idx").withColumn("distance", distance())
-    rank = F.row_number().over(Window.partitionBy("structure_id", "idx").orderBy("distance", "r_idx"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("structure_id", F.col("idx").alias("src"), F.col("r_idx").alias("dst"), "distance")
+    return nearest(p, p, k).select("structure_id", F.col("idx").alias("src"), F.col("r_idx").alias("dst"), "distance")
 
 
 def residue_edges(own: DataFrame, r: float = 8.0, k: int = 15) -> DataFrame:

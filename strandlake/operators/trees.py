@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.storage import shared_dir
+
 MAX_LEAVES = 3000
 NODES = "tree_id long, node_id long, parent_id long, name string, length double, rank int"
 
@@ -139,11 +141,15 @@ def tree_summary(nodes: DataFrame) -> DataFrame:
     leaves = own.join(inner, ["tree_id", "node_id"], "left_anti")
     up = leaves.select("tree_id", F.col("node_id").alias("leaf"), F.col("parent_id").alias("at"), F.when(F.col("parent_id").isNotNull(), F.col("step")).otherwise(0.0).alias("depth"))
     parents = own.select("tree_id", F.col("node_id").alias("at"), F.col("parent_id").alias("next"), F.col("step").alias("more"))
+    shared_dir(nodes.sparkSession)
+    most = own.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     done = None
-    while True:
+    for _ in range(most + 1):
         top = up.where("at is null")
         done = top if done is None else done.union(top)
         up = up.where("at is not null").join(parents, ["tree_id", "at"]).select("tree_id", "leaf", F.col("next").alias("at"), (F.col("depth") + F.when(F.col("next").isNotNull(), F.col("more")).otherwise(0.0)).alias("depth")).checkpoint()
         if up.isEmpty():
             break
+    else:
+        raise ValueError("the parents of a tree go round in a circle")
     return done.groupBy("tree_id").agg(F.count("*").alias("leaves"), F.max("depth").alias("max_depth"))

@@ -1,85 +1,74 @@
 """Sliding-window profiles: one value for each start of a full window.
 
-All counts of one window come from running frames over the characters of a sequence, so the work is
-linear in its length whatever the window. Sequences cut into chunks with a halo (see with_halo) give
-the same values, so one long sequence need not be one task.
+A sequence is cut into chunks with a halo of a window, and every chunk turns its letters into numbers once
+and sums them over each window, all in its own row: nothing is shuffled, a long sequence is many small rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
 from strandlake.functions import refdata
-from strandlake.operators.composition import letters
-
-
-def default_window(seq: Column) -> Column:
-    """The lesser of 50 and a quarter of the length (10 where that is 0)."""
-    quarter = F.floor(F.length(seq) / 4).cast("int")
-    return F.least(F.lit(50), F.when(quarter > 0, quarter).otherwise(10))
-
+from strandlake.operators import chunks
 
-def with_halo(seqs: DataFrame, size: int, halo: int) -> DataFrame:
-    """(seq_id, chunk, start, core, sequence): chunks of size bases plus the next halo ones."""
-    n = F.length("sequence")
-    at = C.starts(F.lit(0), n - 1, size)
-    return seqs.select("seq_id", "sequence", n.alias("n"), F.posexplode(at).alias("chunk", "start")).select(
-        "seq_id", "chunk", "start", F.least(F.lit(size), F.col("n") - F.col("start")).alias("core"), F.substr("sequence", F.col("start") + 1, F.lit(size + halo)).alias("sequence"))
 
+def _windows(seqs: DataFrame, width: int, value: Callable[[Column, Column], Column], **arrays: Callable[[Column], Column]) -> DataFrame:
+    """(seq_id, pos, value): value(sums, letters) of each window of width letters, sums being a struct of the
+    sums of arrays (names and expressions from the array of a chunk's letters) over the window."""
+    own = chunks.with_halo(seqs.select("seq_id", F.upper("sequence").alias("sequence")), chunks.CHUNK, width - 1)
+    split = own.where(F.length("sequence") >= width).select("seq_id", "start", F.regexp_extract_all("sequence", F.lit("(?s)."), F.lit(0)).alias("letters"))
+    made = split.select("seq_id", "start", "letters", *[of(F.col("letters")).alias(k) for k, of in arrays.items()])
+    total = lambda k, i: F.aggregate(F.slice(k, i + 1, width), F.lit(0.0), lambda x, y: x + y)
+    at = F.sequence(F.lit(0), F.size("letters") - width)
+    each = lambda i: value(F.struct(*[total(k, i).alias(k) for k in arrays]), F.slice("letters", i + 1, width))
+    return made.select("seq_id", "start", F.posexplode(F.transform(at, each)).alias("at", "value")).select("seq_id", (F.col("start") + F.col("at")).cast("int").alias("pos"), "value")
 
-def _rows(seqs: DataFrame, width: int, values: dict[str, Column]) -> DataFrame:
-    frame = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(0, width - 1)
-    sums = {k: F.sum(v).over(frame) for k, v in values.items()}
-    return letters(seqs).withColumns(sums | {"_n": F.count("*").over(frame)}).where(F.col("_n") == width)
 
+def _is(letters: str) -> Callable[[Column], Column]:
+    return lambda c: F.transform(c, lambda x: x.isin(*letters).cast("double"))
 
-def _is(letters_: str) -> Column:
-    return F.col("letter").isin(*letters_).cast("int")
 
-
-def _ratio(a: str, b: str) -> Column:
-    total = F.col(a) + F.col(b)
-    return F.when(total > 0, (F.col(a) - F.col(b)) / total).otherwise(0.0)
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(a + b > 0, (a - b) / (a + b)).otherwise(0.0)
 
 
 def window_gc(seqs: DataFrame, width: int) -> DataFrame:
-    return _rows(seqs, width, {"gc": _is("GC")}).select("seq_id", "pos", (100.0 * F.col("gc") / width).alias("value"))
+    return _windows(seqs, width, lambda n, _: 100.0 * n["gc"] / width, gc=_is("GC"))
 
 
 def window_at_skew(seqs: DataFrame, width: int) -> DataFrame:
-    return _rows(seqs, width, {"a": _is("A"), "t": _is("T")}).select("seq_id", "pos", _ratio("a", "t").alias("value"))
+    return _windows(seqs, width, lambda n, _: _ratio(n["a"], n["t"]), a=_is("A"), t=_is("T"))
 
 
 def window_gc_skew(seqs: DataFrame, width: int) -> DataFrame:
-    return _rows(seqs, width, {"g": _is("G"), "c": _is("C")}).select("seq_id", "pos", _ratio("g", "c").alias("value"))
+    return _windows(seqs, width, lambda n, _: _ratio(n["g"], n["c"]), g=_is("G"), c=_is("C"))
 
 
 def window_complexity(seqs: DataFrame, width: int) -> DataFrame:
     """Distinct words of one, two and three letters in the window over its width."""
-    s = F.upper("sequence")
-    own = seqs.select("seq_id", s.alias("s"), F.explode(C.starts(F.lit(0), F.length(s) - width)).alias("pos"))
-    part = own.select("seq_id", "pos", F.substr("s", F.col("pos") + 1, F.lit(width)).alias("w"))
-    words = lambda k: F.transform(C.starts(F.lit(1), F.lit(width - k + 1)), lambda i: F.substr("w", i, F.lit(k)))
-    distinct = F.size(F.array_distinct(F.concat(words(1), words(2), words(3))))
-    return part.select("seq_id", "pos", (distinct / width).alias("value"))
+    words = lambda w: F.flatten(F.array(*[chunks.words_at(w, k) for k in (1, 2, 3)]))
+    return _windows(seqs, width, lambda _, letters: F.size(F.array_distinct(words(F.array_join(letters, "")))) / width)
 
 
 def window_cpg(seqs: DataFrame, width: int) -> DataFrame:
     """Observed CG pairs over C * G / width; 0 where none is expected."""
-    order = Window.partitionBy("seq_id").orderBy("pos")
-    frame = order.rowsBetween(0, width - 1)
-    own = letters(seqs).withColumn("pair", ((F.col("letter") == "C") & (F.lead("letter").over(order) == "G")).cast("int"))
-    sums = own.withColumns({"c": F.sum(_is("C")).over(frame), "g": F.sum(_is("G")).over(frame), "_n": F.count("*").over(frame), "cg": F.sum(F.coalesce("pair", F.lit(0))).over(order.rowsBetween(0, width - 2))})
-    expected = F.col("c") * F.col("g") / width
-    return sums.where(F.col("_n") == width).select("seq_id", "pos", F.when(expected > 0, F.col("cg") / expected).otherwise(0.0).alias("value"))
+
+    def value(n: Column, letters: Column) -> Column:
+        text, expected = F.array_join(letters, ""), n["c"] * n["g"] / width
+        pairs = (F.length(text) - F.length(F.replace(text, F.lit("CG"), F.lit("")))) / 2
+        return F.when(expected > 0, pairs / expected).otherwise(0.0)
+
+    return _windows(seqs, width, value, c=_is("C"), g=_is("G"))
 
 
 def window_scale(seqs: DataFrame, width: int, scale: str, unknown: float) -> DataFrame:
     """Mean of a residue scale (hydropathy, charge, mass, flexibility)."""
-    value = refdata.lookup(refdata.residue_scales()[scale], F.col("letter"), unknown)
-    return _rows(seqs, width, {"v": value}).select("seq_id", "pos", (F.col("v") / width).alias("value"))
+    values = lambda c: F.transform(c, lambda x: refdata.lookup(refdata.residue_scales()[scale], x, unknown))
+    return _windows(seqs, width, lambda n, _: n["v"] / width, v=values)
 
 
 def window_hydrophobicity(seqs: DataFrame, width: int) -> DataFrame:

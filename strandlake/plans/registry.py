@@ -6,12 +6,15 @@ Every input is one SQL text that Spark and DuckDB both read, with the few words
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.functions.storage import shared_dir
+
 INPUTS = {
     "dna": """SELECT doc_id AS seq_id, concat('doc_', CAST(doc_id AS {string})) AS name, source AS organism, lang AS grp,
         upper(regexp_replace(text, '[^ACGTacgt]', ''{all})) AS sequence FROM documents""",
@@ -19,6 +22,7 @@ INPUTS = {
     "rna": "SELECT doc_id AS seq_id, translate(upper(regexp_replace(text, '[^ACGTacgt]', ''{all})), 'T', 'U') AS sequence FROM documents",
     "protein": "SELECT doc_id AS seq_id, upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', ''{all})) AS sequence FROM documents",
     "short": "SELECT item_id AS seq_id, item_id % 5 AS grp, upper(regexp_replace(text, '[^ACGTacgt]', ''{all})) AS sequence FROM benchmark",
+    "short_protein": "SELECT item_id AS seq_id, item_id % 5 AS grp, upper(regexp_replace(text, '[^DEHKMRWYdehkmrwy]', ''{all})) AS sequence FROM benchmark",
     "typed": """SELECT conv_id * 100000 + turn AS seq_id, CASE WHEN turn % 3 = 0 THEN regexp_replace(text, '[^ACGTacgt ]', ''{all})
         WHEN turn % 3 = 1 THEN translate(regexp_replace(text, '[^ACGTacgt ]', ''{all}), 'Tt', 'Uu')
         ELSE regexp_replace(text, '[^A-Za-z0-9 ]', ''{all}) END AS sequence FROM conversations""",
@@ -71,11 +75,7 @@ class Tables:
     @cached_property
     def shared(self) -> str:
         """A new folder under the session's checkpoint folder, for queries that write and read files."""
-        import tempfile
-        import uuid
-
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-")
-        return f"{base}/strandlake-files/{uuid.uuid4().hex}"
+        return f"{shared_dir(self.spark)}/strandlake-files/{uuid.uuid4().hex}"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,28 +16,50 @@ GENBANK, FASTA = (".gb", ".gbk", ".genbank"), (".fasta", ".fa", ".fna", ".faa",
 _FEATURE = r"^ {5}(\S+)\s+(complement\()?(\d+)\.\.(\d+)\)?"
 
 
+# Fixed value: white space around a header's mark, but no line end.
+_BLANK = r"[\s\x{A0}\x{FEFF}&&[^\n]]*"
+
+
 def parse_fasta(records: DataFrame) -> DataFrame:
-    """(name, description, type, sequence, format) of rows (value): one record's lines with or without its >."""
-    text = F.regexp_replace(F.regexp_replace("value", r"\r", ""), r"^\s*>", "")
-    lines = F.split(F.regexp_replace(text, r"\n\s*>[\s]*$", ""), "\n")
-    header = F.trim(F.get(lines, 0))
+    """(name, description, type, sequence, format) of rows (value): one record's lines, with or without its mark.
+
+    A header that is empty or starts with white space names nothing: the record is Unnamed."""
+    lines = F.split(F.regexp_replace(F.col("value"), f"^{_BLANK}>", ""), "\n")
+    header = F.regexp_replace(F.get(lines, 0), r"\s+$", "")
     words = F.split(header, r"\s+")
     sequence = F.regexp_replace(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), ""), r"\s", "")
-    blank = F.get(lines, 0).rlike(r"^\s") | (header == "")
-    name = F.when(blank, "Unnamed").otherwise(F.get(words, 0))
-    rest = F.when(blank, header).otherwise(F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " "))
-    return records.select(name.alias("name"), rest.alias("description"), C.detect_type(sequence).alias("type"), sequence.alias("sequence"), F.lit("fasta").alias("format"))
+    blank = (header == "") | header.rlike(r"^\s")
+    rest = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " ")
+    return records.select(F.when(blank, "Unnamed").otherwise(F.get(words, 0)).alias("name"), rest.alias("description"), C.detect_type(sequence).alias("type"), sequence.alias("sequence"), F.lit("fasta").alias("format"))
+
+
+def fasta_records(rows: DataFrame) -> DataFrame:
+    """(value), a record each, of text rows cut at a line end and mark (lineSep="\\n>").
 
+    Only in the first row of a file the mark may be missing: what stands there before the first header is no
+    record. The reader meets a file's rows in order, so that row is the first one of the file's first block.
+    Rows are then cut again at marks with white space before them."""
 
-def _fasta_records(lines: DataFrame) -> DataFrame:
-    """The records of rows read with a line separator of newline and >; text before the first > goes."""
-    return lines.where(F.trim("value") != "").where(~F.col("_first") | F.col("value").rlike(r"^\s*>"))
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            firsts = []
+            for path, block in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                firsts.append((path, block) != last and block == 0)
+                last = path, block
+            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(firsts, pa.bool_())], names=["value", "first"])
+
+    own = rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    marked = own.mapInArrow(mark, "value string, first boolean")
+    text = F.concat(F.when(F.col("first"), "\n").otherwise("\n>"), "value")
+    parts = F.split(text, f"\n{_BLANK}>")
+    return marked.select(F.explode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("value"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record; records are split at a > that starts a line, so large files are split too."""
-    rows = spark.read.text(path, lineSep="\n>").withColumn("_first", F.col("value").startswith(">") | (F.col("_metadata.file_block_start") < 0))
-    return parse_fasta(_fasta_records(rows))
+    """One row a record. A record starts at a line whose first letter is the mark >, white space aside; text before
+    the first one is left out. Large files are split at marks that start a line."""
+    return parse_fasta(fasta_records(spark.read.text(path, lineSep="\n>")))
 
 
 def parse_genbank(records: DataFrame) -> DataFrame:
@@ -85,19 +110,37 @@ def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
     return extract_uniprot_id(out)
 
 
+# Formats of headers (pattern, group of the accession, group of a name if any), best first, and the
+# two ways in which a header gives its organism.
+HEADER_FORMATS = [
+    (r"^(?:sp|tr)\|([A-Z0-9]+)\|(\S+)", 1, 2),
+    (r"gi\|\d+\|(?:ref|gb|emb|dbj)\|([^|]+)\|", 1, None),
+    (r"^([A-Z][A-Z0-9_]+(?:\.\d+)?)", 1, None),
+]
+ORGANISM_FORMATS = [r"\[([^\]]+)\]\s*$", r"OS=([^=]+?)(?:\s+OX=|\s+GN=|\s+PE=|\s*$)"]
+
+
+def _named(header: Column, pattern: str, accession: int, name: int | None) -> Column:
+    """(accession, name) as a struct by one format, null where the header has another one. A name loses its
+    species; formats without one have none. Versions belong to accessions of formats without a name."""
+    found = F.regexp_extract(header, pattern, accession)
+    bare = found if name else F.regexp_replace(found, r"\.\d+$", "")
+    own = F.regexp_replace(F.regexp_extract(header, pattern, name), r"_\w+$", "") if name else F.lit(None).cast("string")
+    return F.when(found != "", F.struct(bare.alias("accession"), own.alias("name")))
+
+
 def parse_headers(rows: DataFrame, db: str = "nucleotide") -> DataFrame:
-    """rows (header, optionally sequence) plus accession, name and organism."""
+    """rows (header, optionally sequence) plus accession, name and organism.
+
+    Without a name of its own an entry is named by up to three words of its description, else by its accession."""
     h = F.col("header")
-    got = lambda pattern, k=1: F.nullif(F.regexp_extract(h, pattern, k), F.lit(""))
-    bare = lambda c: F.regexp_replace(c, r"\.\d+$", "")
-    uniprot = r"^(?:sp|tr)\|([A-Z0-9]+)\|(\S+)"
-    other = F.coalesce(bare(got(r"gi\|\d+\|(?:ref|gb|emb|dbj)\|([^|]+)\|")), bare(got(r"^([A-Z][A-Z0-9_]+(?:\.\d+)?)")))
-    accession = F.coalesce(got(uniprot), other, F.lit(""))
-    words = F.trim(F.regexp_replace(F.regexp_replace(h, r"^\S+\s+", ""), r"\[.*\]$", ""))
-    described = F.left(F.array_join(F.slice(F.split(words, r"\s+"), 1, 3), "_"), F.lit(30))
-    name = F.coalesce(F.regexp_replace(got(uniprot, 2), r"_\w+$", ""), F.nullif(described, F.lit("")), other, F.lit("NCBI_seq"))
-    organism = F.coalesce(got(r"\[([^\]]+)\]\s*$"), F.trim(got(r"OS=([^=]+?)(?:\s+OX=|\s+GN=|\s+PE=|\s*$)")), F.lit("NCBI Import"))
-    out = rows.withColumns({"accession": accession, "name": name, "organism": organism})
+    known = F.coalesce(*[_named(h, *rule) for rule in HEADER_FORMATS])
+    accession = F.coalesce(known["accession"], F.lit(""))
+    told = F.trim(F.regexp_replace(F.regexp_replace(h, r"^\S+\s+", ""), r"\[.*\]$", ""))
+    described = F.left(F.array_join(F.slice(F.split(told, r"\s+"), 1, 3), "_"), F.lit(30))
+    full = lambda c: F.nullif(c, F.lit(""))
+    organism = F.coalesce(*[full(F.trim(F.regexp_extract(h, p, 1))) for p in ORGANISM_FORMATS], F.lit("NCBI Import"))
+    out = rows.withColumns({"accession": accession, "name": F.coalesce(full(known["name"]), full(described), full(accession), F.lit("NCBI_seq")), "organism": organism})
     if "sequence" not in rows.columns:
         return out
     rna = F.col("sequence").rlike("(?i)u") & ~F.col("sequence").rlike("(?i)t")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
 from strandlake.functions import refdata
-from strandlake.operators import align, annotate, codons, composition, metrics, orfs, patterns, primers, restriction, structure, transforms, trees, windows
+from strandlake.operators import align, annotate, chunks, codons, composition, metrics, orfs, patterns, primers, restriction, structure, transforms, trees, windows
 
 
 @pytest.fixture
@@ -73,13 +73,38 @@ def test_primers_and_codons(seqs):
     assert values(transforms.translate_frame(better), "protein") == values(transforms.translate_frame(seqs(text)), "protein")
 
 
-def test_windows_do_not_depend_on_chunks(seqs):
+def test_results_do_not_depend_on_chunks(spark, seqs, monkeypatch):
     rng = random.Random(3)
-    own = seqs("".join(rng.choice("ACGT") for _ in range(100)))
-    whole = {(r.pos, r.value) for r in windows.window_gc(own, 10).collect()}
-    parts = windows.with_halo(own, 30, 9)
-    cut = windows.window_gc(parts.select((F.col("chunk")).cast("long").alias("seq_id"), "sequence"), 10).join(parts.select(F.col("chunk").cast("long").alias("seq_id"), "start", "core"), "seq_id").where("pos < core")
-    assert {(r.start + r.pos, r.value) for r in cut.collect()} == whole
+    own = seqs("".join(rng.choice("ACGT") for _ in range(200)), "", "ACG", "".join(rng.choice("ACGTNacgtn") for _ in range(64)))
+    made = {
+        "gc": lambda: windows.window_gc(own, 10), "wide": lambda: windows.window_at_skew(own, 50), "complexity": lambda: windows.window_complexity(own, 10), "cpg": lambda: windows.window_cpg(own, 12),
+        "mass": lambda: windows.window_residue_mass(own, 7), "sites": lambda: restriction.restriction_sites(own, refdata.enzymes(spark)),
+        "digest": lambda: restriction.digest(own, restriction.restriction_sites(own, refdata.enzymes(spark))), "orfs": lambda: orfs.find_orfs(own, 9), "words": lambda: align.kmers(own, 5),
+        "features": lambda: annotate.auto_annotate(own, spark.createDataFrame([("m", "CDS", "#0", "ACG")], "name string, type string, color string, sequence string")),
+    }
+    whole = {k: sorted(map(str, f().collect())) for k, f in made.items()}
+    assert all(whole.values())
+    for size in (16, 64):
+        monkeypatch.setattr(chunks, "CHUNK", size)
+        assert {k: sorted(map(str, f().collect())) for k, f in made.items()} == whole
+
+
+def test_a_name_with_two_sites(spark, seqs):
+    own = spark.createDataFrame([("X", "GAATTC", 1, "g"), ("X", "GNNNNNNC", 1, "g"), ("Y", "NNNNNNNNA", 1, "g")], "name string, site string, cut int, group string")
+    found = {(r.name, r.site, r.pos) for r in restriction.restriction_sites(seqs("TTGAATTCTTGTTTTTTCACCA"), own).collect()}
+    assert found == {("X", "GAATTC", 2), ("X", "GNNNNNNC", 10), ("Y", "NNNNNNNNA", 10), ("Y", "NNNNNNNNA", 13)}
+
+
+def test_a_long_sequence_is_cut_in_time(spark, seqs):
+    import time
+
+    rng = random.Random(6)
+    own = seqs("".join(rng.choices("ACGT", k=1_000_000)))
+    began = time.perf_counter()
+    sites = restriction.restriction_sites(own, refdata.enzymes(spark))
+    assert restriction.digest(own, sites).agg(F.sum("size")).first()[0] == 1_000_000
+    assert orfs.find_orfs(own, 90).count() > 1000 and windows.window_gc(own, 50).count() == 999_951
+    assert time.perf_counter() - began < 60
 
 
 def slow_score(a, b, scores, local):
