@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
-import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.functions.storage import shared_dir
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,35 +43,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+#: Rows (of a few numbers) up to which a counted table is broadcast instead of shuffled.
+BROADCAST_ROWS = 300_000
+
+#: Paths of tables that stored() wrote, by application and thread, the newest stage's last; see stage_tables.
+_written: dict[tuple[str, int], list[str]] = {}
 
 
-#: Tables that stored() wrote for the last pipeline stage, and whether one is being planned; see stage_tables.
-_of_stage: list[str] = []
-_planning = False
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-#: Rows (of a few numbers) up to which a counted table is broadcast instead of shuffled.
-BROADCAST_ROWS = 300_000
+
+def _remove_all(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        with contextlib.suppress(Exception):  # the session may have ended before the process
+            remove(spark, paths[-1])
+        paths.pop()
+
+
+def _own_tables(spark: SparkSession) -> list[str]:
+    """The tables that this thread wrote; they are deleted when the process ends, if not before."""
+    key = spark.sparkContext.applicationId, threading.get_ident()
+    if key not in _written:
+        _written[key] = []
+        atexit.register(_remove_all, spark, _written[key])
+    return _written[key]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts the lineage.
 
-    Lost executors cost nothing already written; later reads prune columns.
+    Lost executors cost nothing already written; later reads prune columns. The table lasts as long as the
+    process, or in a pipeline until the next stage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _planning:
-        _of_stage.append(path)
+    _own_tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,20 +90,17 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-@contextlib.contextmanager
-def stage_tables(spark: SparkSession) -> Iterator[None]:
-    """Around the planning of a pipeline stage: deletes the tables stored for the stage before, whose
-    result has been written and reread by now, and takes down those stored for this one."""
-    global _planning
-    for path in _of_stage:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _of_stage.clear()
-    _planning = True
-    try:
-        yield
-    finally:
-        _planning = False
+def new_stage(spark: SparkSession) -> None:
+    """Deletes the tables that this thread stored for the stage before, whose result has been written by now."""
+    _remove_all(spark, _own_tables(spark))
+
+
+def masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """docs under columns c0, c1, ..., which no helper column clashes with; the new name of each old one; and
+    what selects and names the columns as they were."""
+    names = docs.columns
+    new = [f"c{i}" for i in range(len(names))]
+    return docs.toDF(*new), dict(zip(names, new, strict=True)), lambda df: df.select(*[F.col(n).alias(o) for n, o in zip(new, names, strict=True)])
 
 
 def remainder(col: Column, n: int) -> Column:
@@ -111,3 +120,4 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 2_5
             size += n
         if lo < batch.num_rows:
             yield batch.slice(lo)
+    pa.default_memory_pool().release_unused()

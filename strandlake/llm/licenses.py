@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.tables import local_table
 from strandlake.llm.common import ascii_lower, stored
 
 GRAM = 2
@@ -58,7 +59,7 @@ def template_grams(spark, templates: list[tuple[str, str]]) -> DataFrame:
     for number, (label, phrase) in enumerate(templates):
         own = phrase.split()
         rows += [(number, label, number < len(BASE_TEMPLATES), len(own) - GRAM + 1, i, own[i], own[i + 1]) for i in range(len(own) - GRAM + 1)]
-    grams = spark.createDataFrame(rows, "template int, label string, base boolean, grams int, at int, first string, second string")
+    grams = local_table(spark, rows, "template int, label string, base boolean, grams int, at int, first string, second string")
     return grams.withColumn("hash", F.xxhash64("first", "second"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.llm import simhash
-from strandlake.llm.common import slices, small_or_shuffled, stored, tokens_of
+from strandlake.llm.common import masked, slices, small_or_shuffled, stored, tokens_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Rows of the sample that tells frequent shingles, and how many of those are ordered last.
@@ -61,10 +61,10 @@ def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, their rows) of those in three rows or more of a sample."""
-    every = max(1, docs.count() // SAMPLE_ROWS)
-    sample = docs.select("text", F.monotonically_increasing_id().alias("at")).where(F.pmod(F.xxhash64("at"), F.lit(every)) == 0).select("text")
+def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, their rows) of those in three rows or more of a sample of texts (text)."""
+    every = max(1, texts.count() // SAMPLE_ROWS)
+    sample = texts.select("text", F.monotonically_increasing_id().alias("at")).where(F.pmod(F.xxhash64("at"), F.lit(every)) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -79,12 +79,12 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found[order], n[order]
 
 
-def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs plus _fp (SimHash of word shingles of the given size), _set (the name of the set of SHINGLE-word
-    shingles), _n (its size) and _prefix (its first shingles in the common order)."""
-    common = docs.sparkSession.sparkContext.broadcast(frequent(docs))
-    at = docs.columns.index("text")
-    kinds = [("_fp", T.LongType()), ("_set", T.BinaryType()), ("_n", T.LongType()), ("_prefix", T.ArrayType(T.LongType()))]
+def with_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """docs plus, of its column text, fp (SimHash of word shingles of the given size), set (the name of the set of
+    SHINGLE-word shingles), n (its size) and prefix (its first shingles in the common order)."""
+    common = docs.sparkSession.sparkContext.broadcast(frequent(docs.select(F.col(text).alias("text"))))
+    at = docs.columns.index(text)
+    kinds = [("fp", T.LongType()), ("set", T.BinaryType()), ("n", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(k, t) for k, t in kinds]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,25 +179,26 @@ def drop_near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs with one row, that of the smallest doc_id (null last), of each group of near copies.
 
     Rows are linked if their sets of SHINGLE-word shingles are similar by SIMILARITY or more, or if their
-    SimHash fingerprints are within simhash.MAX_DISTANCE bits. All columns are kept; of rows equal in doc_id
-    any one stays. Null texts and texts without words are one group.
+    SimHash fingerprints are within simhash.MAX_DISTANCE bits. All columns are kept, whatever their names; of
+    rows equal in doc_id any one stays. Null texts and texts without words are one group.
     """
-    kept = stored(with_sets(docs, shingle).withColumn("_row", F.monotonically_increasing_id()))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    classes = stored(kept.groupBy("_set", "_fp").agg(F.min("_row").alias("row"), F.min(order).alias("best")))
-    prints = simhash.components(simhash.links(stored(classes.select(F.col("_fp").alias("fp")).distinct())))
-    of_print = classes.join(prints.withColumnRenamed("node", "_fp"), "_fp", "left").select("row", F.coalesce("label", "_fp").alias("of"))
+    own, place, back = masked(docs)
+    kept = stored(with_sets(own, place["text"], shingle).withColumn("row", F.monotonically_increasing_id()))
+    doc_id = F.col(place["doc_id"])
+    classes = stored(kept.groupBy("set", "fp").agg(F.min("row").alias("first"), F.min(F.struct(doc_id.isNull(), doc_id.alias("doc_id"), "row")).alias("best")).withColumnRenamed("first", "row"))
+    prints = simhash.components(simhash.links(stored(classes.select("fp").distinct())))
+    of_print = classes.join(prints.withColumnRenamed("node", "fp"), "fp", "left").select("row", F.coalesce("label", "fp").alias("of"))
 
     def stars(members: DataFrame) -> DataFrame:
         least = members.groupBy("of").agg(F.min("row").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
         return members.join(least, "of").where("row <> a").select("a", F.col("row").alias("b"))
 
-    sets = classes.groupBy("_set").agg(F.min("row").alias("_row")).drop("_set")
-    first = kept.join(sets, "_row", "left_semi").select(F.col("_row").alias("row"), F.col("_n").alias("n"), F.col("_prefix").alias("prefix"))
-    similar = links(first, kept.select(F.col("_row").alias("row"), "text"))
-    edges = stars(of_print).union(stars(classes.select("row", F.col("_set").alias("of")))).union(similar)
+    sets = classes.groupBy("set").agg(F.min("row").alias("row")).drop("set")
+    first = kept.join(sets, "row", "left_semi").select("row", "n", "prefix")
+    similar = links(first, kept.select("row", F.col(place["text"]).alias("text")))
+    edges = stars(of_print).union(stars(classes.select("row", F.col("set").alias("of")))).union(similar)
     labels = simhash.components(edges.distinct()).withColumnRenamed("node", "row")
     rooted = classes.join(labels, "row", "left").select(F.coalesce("label", "row").alias("label"), "best")
-    survivors = rooted.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
-    extra = kept.select("_row").join(survivors, "_row", "left_anti")
-    return kept.join(small_or_shuffled(extra), "_row", "left_anti").select(*docs.columns)
+    survivors = rooted.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    extra = kept.select("row").join(survivors, "row", "left_anti")
+    return back(kept.join(small_or_shuffled(extra), "row", "left_anti"))

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import shared_dir, slices, small_or_shuffled, stored, tokens_of
+from strandlake.functions.storage import shared_dir
+from strandlake.llm.common import masked, slices, small_or_shuffled, stored, tokens_of
 
 #: Fingerprints link at this many differing bits or fewer. The exact way for hot blocks relies on it.
 MAX_DISTANCE = 2
@@ -57,10 +58,10 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs plus a column _fp, the fingerprint of the column text (null text: no words, 0)."""
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", into: str = "fp") -> DataFrame:
+    """docs plus the fingerprint of the column text (null text: no words, 0)."""
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())])
     names = schema.names
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,20 +142,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Null and empty texts have fingerprint 0 and are one group like any other; rows repeated are
     repeated; an empty table gives an empty one; other columns of docs are ignored.
     """
-    prints = stored(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", F.col("_fp").alias("fp")))
+    prints = stored(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"))
     return prints.join(near_duplicate_groups(prints), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs with one row of each near-duplicate group, that of the smallest doc_id (null last).
 
-    All columns are kept; of rows equal in doc_id any one stays.
+    All columns are kept, whatever their names; of rows equal in doc_id any one stays.
     """
-    kept = stored(fingerprints(docs, shingle).withColumn("_row", F.monotonically_increasing_id()))
-    prints = kept.select("doc_id", F.col("_fp").alias("fp"), "_row")
+    own, place, back = masked(docs)
+    kept = stored(fingerprints(own, shingle, place["text"]).withColumn("row", F.monotonically_increasing_id()))
+    prints = kept.select(F.col(place["doc_id"]).alias("doc_id"), "fp", "row")
     rows = prints.join(near_duplicate_groups(prints), "fp")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = rows.groupBy("fp", "component_id").agg(F.min(order).alias("best")).groupBy("component_id").agg(F.min("best").alias("best"))
-    ours = first.select(F.col("component_id").alias("_component"), F.col("best._row").alias("_first"))
-    extra = rows.join(ours, rows.component_id.eqNullSafe(ours["_component"]), "left").where(F.col("_first").isNull() | (F.col("_row") != F.col("_first")))
-    return kept.join(small_or_shuffled(extra.select("_row")), "_row", "left_anti").select(*docs.columns)
+    ours = first.select(F.col("component_id").alias("component"), F.col("best.row").alias("first"))
+    extra = rows.join(ours, rows.component_id.eqNullSafe(ours.component), "left").where(F.col("first").isNull() | (F.col("row") != F.col("first")))
+    return back(kept.join(small_or_shuffled(extra.select("row")), "row", "left_anti"))

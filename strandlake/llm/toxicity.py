@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import remainder, slices, stored, tokens_of, words_of
+from strandlake.llm.common import masked, remainder, slices, stored, tokens_of, words_of
 
 #: Labelled rows that the lexicon and the model are fitted on, at most (those of the smallest hashes).
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
 #: Words on either side of a match that its context window holds.
 CONTEXT = 4
-WORD_CACHE = 120_000
+#: Words and states remembered by one Python worker; beyond them it starts anew. Never changes a result.
+WORD_CACHE, MAX_STATES = 100_000, 200_000
 
 # Words that mark a mention of a term, and words that address the reader.
 REPORTING = frozenset(b"said says called calls wrote writes quote quoted quotes word words term terms means meaning phrase".split())
@@ -73,6 +74,10 @@ class LexiconAutomaton:
             self._budget[node] = max(self._budget[node], entry.edits)
             self._ends[node].append(k)
         self._letters = {c for kids in self._children for c in kids}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Back to the start state alone; the others are made again when they are met."""
         self._number: dict[tuple, int] = {}
         self._states: list[tuple] = []
         self._steps: list[dict[str, int]] = []
@@ -111,6 +116,8 @@ class LexiconAutomaton:
         return self._add(new, dict(found))
 
     def match(self, word: str) -> tuple[int, int] | None:
+        if len(self._states) > MAX_STATES:
+            self._forget()
         state = self._start
         for c in word:
             c = c if c in self._letters else ""
@@ -247,10 +254,13 @@ def choose_entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n
         else:
             entries.append(Entry(start, True, min(1.0, odds(start + "*") / 6)))
 
-    for t in sorted(telling):
-        if t[-1] == "*" and not any(t[:k] + "*" in telling for k in range(4, len(t) - 1)):
+    stems = [t for t in telling if t[-1] == "*"]
+    for t in sorted(stems):
+        if not any(t[:k] + "*" in telling for k in range(4, len(t) - 1)):
             settle(t[:-1])
-        elif t[-1] != "*" and len(t) == 3:
+    held, starts = {e.text for e in entries if not e.stem}, tuple(e.text for e in entries if e.stem)
+    for t in sorted(telling.difference(stems)):  # words that no stem or word so far stands for
+        if t not in held and not t.startswith(starts):
             entries.append(Entry(t, False, min(1.0, odds(t) / 6)))
     return sorted(set(entries), key=lambda e: (e.text, e.stem))
 
@@ -322,10 +332,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     return ToxicityModel(entries, innocent, weights, bias)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs, all columns, plus _toxicity (0 to 1) from the column text alone; null counts as empty."""
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_toxicity", T.DoubleType())])
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "toxicity") -> DataFrame:
+    """docs, all columns, plus the score (0 to 1) of the column text alone; null counts as empty."""
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
     names = schema.names
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,14 +351,15 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
-    Null and empty texts get the score of a text without any match; repeated rows are scored alike;
-    other columns of docs are never read; an empty table gives an empty one.
+    Null and empty texts get the score of a text without any match; repeated rows are scored alike; long texts are
+    read whole; other columns of docs are never read; an empty table gives an empty one.
     """
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels), into="score")
     held_out = (remainder(F.col("doc_id"), 3) == 1).alias("held_out")
-    return scored.select("doc_id", held_out, F.col("_toxicity").alias("score"), (F.col("_toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, without the rows whose toxicity reaches the threshold."""
-    return score(docs, fit(docs, labels)).where(F.col("_toxicity") < threshold).drop("_toxicity")
+    """docs, all columns whatever their names, without the rows whose toxicity reaches the threshold."""
+    own, place, back = masked(docs)
+    return back(score(own, fit(docs, labels), place["text"]).where(F.col("toxicity") < threshold))
