@@ -5,13 +5,16 @@ driver (its size never depends on the corpus), which gives patterns such as ``(1
 Pieces then take their slots by their rank within their length, a distributed numbering in which a
 length that a third of all pieces share is counted by (length, input partition).
 
-The solver indexes the sums of one, two and three available lengths by lookup of exact complements:
-for each length, largest first, it consumes a single, pair or triple that fills the gap to the last
-token, as often as the availability counts allow; what has no complement is packed best-fit.
+The solver indexes single lengths, pairs and triples by their sums. For each length, largest first, it
+looks up what fills the gap to the last token and consumes the combination as often as the
+availability counts allow; what has no complement is packed best-fit. Where that needs more sequences
+than the tokens do, combinations of the smallest pieces are undone, a growing share of them, and packed
+best-fit with the rest.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,11 +30,21 @@ from pyspark.sql import types as T
 from strandlake.llm.common import slices, small_or_shuffled, stored
 
 CAPACITY = 2048
+#: Shares of the exact combinations that are undone, one after the other, while sequences could be saved.
+UNDO = [1 / 64, 1 / 32, 1 / 16, *(k / 8 for k in range(1, 8))]
 #: Words remembered by one Python worker; when full it starts anew. Never changes a result.
-WORD_CACHE = 500_000
-
-# Texts of these characters, without the tokenizer's special strings, can be cut at white space and
-# tokenised word by word; every other text goes through the tokenizer whole.
+WORD_CACHE = 200_000
+
+# The normaliser and splitter of a tokenizer file under which texts of these characters can be cut
+# at white space and tokenised part by part. Texts of other characters, texts with one of the tokenizer's own
+# tokens, and all texts under any other file go through the tokenizer whole.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
@@ -82,9 +95,13 @@ class TextTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = _Words(self.tokenizer)
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self._by_parts = all(told.get(k) == v for k, v in _RULES.items()) and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+        self._own = [t["content"] for t in told.get("added_tokens") or []]
 
     def __call__(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text) and "<|" not in text:
+        if self._by_parts and _PLAIN.fullmatch(text) and not any(t in text for t in self._own):
             return b"".join(map(self.words.__getitem__, text.lower().split()))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -98,9 +115,9 @@ def _tokenizer(path: str) -> TextTokenizer:
     return _loaded[path]
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, numbered: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids binary): the token ids of every whole text, then end_id, cut
-    at multiples of capacity only.
+    at multiples of capacity only; numbered: with part and rank as pack_pieces would add them.
 
     Null text counts as empty and gives one piece, the end id. Null or repeated doc_ids are kept, a
     row each. Other columns of docs are ignored. An empty table gives an empty one.
@@ -109,7 +126,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()),
     ])
-    names = schema.names
+    names = list(schema.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize, end = _tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
@@ -130,71 +147,75 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                 names=names,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    if not numbered:
+        return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    ranked = T.StructType([*schema.fields, *_RANKED])
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _ranked(cut(batches), 3, capacity), ranked)
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of one sequence, number of such sequences)] using up the whole histogram.
+class SumIndex:
+    """Single lengths, pairs and triples by their sums, over availability counts that only ever fall.
 
-    Few pieces may leave exact complements that spoil the rest, so best-fit alone is tried too and kept
-    where it needs fewer sequences.
-    """
-    return min((_plan(histogram, capacity, exact) for exact in (True, False)), key=lambda plan: sum(times for _, times in plan))
+    Pairs are sorted by sum, those of the largest length first; of each sum the first pair that may still be
+    available is kept. A triple is a length and a sum of a pair; of each sum the largest such length is kept."""
 
+    def __init__(self, left: np.ndarray):
+        self.left, capacity = left, len(left) - 1
+        there = np.flatnonzero(left)
+        a, b = (v.ravel() for v in np.meshgrid(there, there, indexing="ij"))
+        fits = (a >= b) & (a + b < capacity)
+        a, b = a[fits], b[fits]
+        order = np.lexsort((-a, a + b))
+        bounds = np.searchsorted((a + b)[order], np.arange(capacity + 1)).tolist()
+        self._large, self._small = a[order].tolist(), b[order].tolist()
+        self._pair, self._last_pair = bounds[:-1], bounds[1:]
+        self._triple = list(range(-1, capacity - 1))
 
-def _plan(histogram: dict[int, int], capacity: int, exact: bool) -> list[tuple[tuple[int, ...], int]]:
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        left[length] += n
-    patterns: list[tuple[tuple[int, ...], int]] = []
-
-    def consume(lengths: list[int]) -> None:
-        uses = Counter(lengths)
-        times = min(int(left[x]) // k for x, k in uses.items())
-        for x, k in uses.items():
-            left[x] -= k * times
-        patterns.append((tuple(lengths), times))
-
-    def pair(total: int, most: int) -> list[int] | None:
-        """The available two lengths of this sum with the largest first one, at most `most`."""
-        first = np.arange(min(total - 1, most), (total - 1) // 2, -1)
-        if not len(first):
+    def _has(self, length: int, taken: list[int], more: int = 1) -> bool:
+        return bool(self.left[length] >= taken.count(length) + more)
+
+    def pair(self, total: int, taken: list[int]) -> list[int] | None:
+        if total < 2:
             return None
-        second = total - first
-        found = np.flatnonzero((left[first] > 0) & (left[second] > (first == second)))
-        return [int(first[found[0]]), int(second[found[0]])] if len(found) else None
+        for k in range(self._pair[total], self._last_pair[total]):
+            a, b = self._large[k], self._small[k]
+            if self._has(a, taken, 1 + (a == b)) and self._has(b, taken):
+                return [a, b]
+            if k == self._pair[total] and not (self._has(a, [], 1 + (a == b)) and self._has(b, [])):
+                self._pair[total] += 1
+        return None
 
-    def complement(gap: int, most: int) -> list[int] | None:
+    def triple(self, total: int, taken: list[int]) -> list[int] | None:
+        for a in range(self._triple[total], 0, -1):
+            rest = total - a
+            if self._has(a, taken) and (two := self.pair(rest, [*taken, a])):
+                return [a, *two]
+            if a == self._triple[total] and not (self.left[a] and self._pair[rest] < self._last_pair[rest]):
+                self._triple[total] -= 1
+        return None
+
+    def complement(self, gap: int, taken: list[int]) -> list[int] | None:
+        """Up to three available lengths, besides those taken, that fill the gap exactly."""
         if gap == 0:
             return []
-        if left[gap] > 0:
-            return [gap]
-        if two := pair(gap, most):
-            return two
-        for a in np.flatnonzero(left[: min(gap - 2, most) + 1])[::-1]:
-            if 3 * a < gap:
-                break
-            left[a] -= 1
-            two = pair(gap - int(a), int(a))
-            left[a] += 1
-            if two:
-                return [int(a), *two]
-        return None
+        return [gap] if self._has(gap, taken) else self.pair(gap, taken) or self.triple(gap, taken)
 
-    rest = np.zeros_like(left)
-    for length in range(capacity, 0, -1):
-        while left[length]:
-            left[length] -= 1
-            found = complement(capacity - length, length) if exact else None
-            left[length] += 1
-            if found is None:
-                rest[length], left[length] = left[length], 0
-            else:
-                consume([length, *found])
-    left = rest
-    for length in range(capacity, 0, -1):
+
+def _consume(left: np.ndarray, lengths: list[int], patterns: Counter) -> None:
+    """Uses the combination as often as the counts allow."""
+    uses = Counter(lengths)
+    times = min(int(left[x]) // k for x, k in uses.items())
+    for x, k in uses.items():
+        left[x] -= k * times
+    patterns[tuple(lengths)] += times
+
+
+def _best_fit(left: np.ndarray) -> Counter:
+    """Patterns of all of left: the largest length, then each time the largest that fits."""
+    patterns: Counter = Counter()
+    for length in range(len(left) - 1, 0, -1):
         while left[length]:
-            lengths, gap = [length], capacity - length
+            lengths, gap = [length], len(left) - 1 - length
             left[length] -= 1
             while gap and len(fits := np.flatnonzero(left[: gap + 1])):
                 lengths.append(int(fits[-1]))
@@ -202,42 +223,76 @@ def _plan(histogram: dict[int, int], capacity: int, exact: bool) -> list[tuple[t
                 gap -= int(fits[-1])
             for x in lengths:
                 left[x] += 1
-            consume(lengths)
+            _consume(left, lengths, patterns)
     return patterns
 
 
-def _numbered(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces plus _salt, the number of the partition, and _rank, counted from 0 within it and a length."""
-    at = pieces.columns.index("length")
-    schema = T.StructType([*pieces.schema.fields, T.StructField("_salt", T.IntegerType()), T.StructField("_rank", T.LongType())])
-    names = schema.names
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            length = batch.column(at).to_numpy()
-            order = np.argsort(length, kind="stable")
-            sizes = np.bincount(length, minlength=capacity + 1)
-            rank = np.empty(len(length), np.int64)
-            rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rank += seen[length]
-            seen += sizes
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([salt] * len(length), pa.int32()), pa.array(rank)], names=names)
-
-    return pieces.mapInArrow(number, schema)
-
-
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """[(lengths of one sequence, number of such sequences)] using up the whole histogram."""
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        left[length] += n
+    least = -(-int((left * np.arange(capacity + 1)).sum()) // capacity)
+    exact: Counter = Counter()
+    residue, index = np.zeros_like(left), SumIndex(left)
+    for length in range(capacity, 0, -1):
+        while left[length]:
+            found = index.complement(capacity - length, [length])
+            if found is None:
+                residue[length], left[length] = left[length], 0
+            else:
+                _consume(left, [length, *found], exact)
+    best = exact + _best_fit(residue.copy())
+    undoable = sorted((p for p in exact if len(p) > 1), key=lambda p: (min(p), p))
+    for share in UNDO:
+        if best.total() <= least:
+            break
+        kept, pool, quota = Counter(exact), residue.copy(), int(share * exact.total())
+        for p in undoable:
+            times = min(quota, kept[p])
+            quota -= times
+            kept[p] -= times
+            for x in p:
+                pool[x] += times
+        mended = kept + _best_fit(pool)
+        best = min(best, mended, key=Counter.total)
+    return list(best.items())
+
+
+_RANKED = [T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())]
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], length_at: int, capacity: int) -> Iterator[pa.RecordBatch]:
+    """batches plus part, the number of the partition, and rank, counted from 0 within it and a length."""
+    part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    for batch in batches:
+        length = batch.column(length_at).to_numpy()
+        order = np.argsort(length, kind="stable")
+        sizes = np.bincount(length, minlength=capacity + 1)
+        rank = np.empty(len(length), np.int64)
+        rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rank += seen[length]
+        seen += sizes
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(length), pa.int32()), pa.array(rank)], names=[*batch.schema.names, *[f.name for f in _RANKED]])
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, numbered: bool = False) -> DataFrame:
     """pieces (with a column length, 1 to capacity) plus sequence_id and offset, whatever else they hold.
 
     Stores the pieces once; equal lengths are interchangeable, so ties need no order. An empty table
-    gives an empty one. Columns named _salt or _rank are not allowed in the input.
+    gives an empty one. numbered: the last two columns are part and rank, which do not come back.
     """
-    kept = stored(_numbered(pieces, capacity))
-    counts = kept.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    by_length = Window.partitionBy("length")
-    before = counts.withColumn("_before", F.sum("_n").over(by_length.orderBy("_salt")) - F.col("_n")).drop("_n")
-    histogram = {int(r.length): int(r.n) for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    if not numbered:
+        at = pieces.columns.index("length")
+        schema = T.StructType([*pieces.schema.fields, *_RANKED])
+        pieces = pieces.mapInArrow(lambda batches: _ranked(batches, at, capacity), schema)
+    own = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(pieces.schema.fields[:-2])]
+    names, columns = pieces.columns[:-2], [f.name for f in own]
+    length = columns[names.index("length")]
+    kept = stored(pieces.toDF(*columns, "part", "rank"))
+    counts = kept.groupBy(length, "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(length).orderBy("part")) - F.col("n")).drop("n")
+    histogram = {int(r[0]): int(r.n) for r in kept.groupBy(length).agg(F.count("*").alias("n")).collect()}
 
     keys, first, base, offset = [], [], [], []
     used: Counter = Counter()
@@ -262,10 +317,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         at = np.searchsorted(keys, (length.to_numpy() << 44) + rank, side="right") - 1
         return pd.DataFrame({"sequence_id": base[at] + rank - first[at], "offset": offset[at]})
 
-    placed = kept.join(small_or_shuffled(before), ["length", "_salt"]).withColumn("_at", slot("length", F.col("_rank") + F.col("_before")))
-    return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    placed = kept.join(small_or_shuffled(before), [length, "part"]).withColumn("at", slot(length, F.col("rank") + F.col("before")))
+    return placed.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], "at.sequence_id", "at.offset")
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset) for all documents; see tokenize_pieces."""
-    return pack_pieces(tokenize_pieces(docs, tokenizer_path, capacity, end_id), capacity)
+    return pack_pieces(tokenize_pieces(docs, tokenizer_path, capacity, end_id, numbered=True), capacity, numbered=True)
