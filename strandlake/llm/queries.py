@@ -9,6 +9,10 @@ from strandlake.llm import chat, decontaminate, langid, licenses, lm_scoring, me
 from strandlake.llm.common import read_table
 
 
+#: Words that may be put into a benchmark window for a proximity match.
+NEAR_SLOP = 1
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -16,9 +20,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), slop=NEAR_SLOP)
     digest = F.sha2(F.concat_ws(",", "items"), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +30,9 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path())
-    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack_pieces(digests)
+    pieces = packing.tokenize_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path(), numbered=True)
+    digests = pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+    return packing.pack_pieces(digests, numbered=True)
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +88,14 @@ WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
      x AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS phrase
            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM p))),
      m AS (SELECT doc_id, i, x.k, item FROM x JOIN p ON x.phrase = p.phrase AND x.k = p.k),
+     o AS (SELECT DISTINCT doc_id, item FROM (SELECT doc_id, k, array_to_string(w[i : i + g - 1], ' ') || ' ' || array_to_string(w[i + g + 1 : i + k], ' ') AS phrase
+           FROM (SELECT doc_id, w, k, i, unnest(range(1, k)) AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 1)) AS i FROM (SELECT doc_id, w FROM d) CROSS JOIN (SELECT DISTINCT k FROM p)))) y JOIN p USING (phrase, k)),
+     e AS (SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, item FROM m UNION SELECT doc_id, item FROM o) GROUP BY doc_id),
      h AS (SELECT doc_id, count(DISTINCT at_word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS at_word FROM m) GROUP BY doc_id),
      t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id
 """
 
 
