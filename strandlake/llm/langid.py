@@ -21,6 +21,8 @@ from strandlake.llm.common import remainder, slices
 #: Expected rows of each language that the trigram model is fitted on (chosen by hash of doc_id).
 ROWS_PER_LANGUAGE = 3000
 BUCKETS = 1 << 16
+#: Languages of one model (half a megabyte each); more are an error, none is left out.
+MAX_LANGUAGES = 400
 ROUNDS = 12
 UNKNOWN = "und"
 
@@ -43,8 +45,10 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[li
     """(languages sorted, probabilities: BUCKETS by languages) from text and lang of rows whose
     crc32(doc_id as text) mod 4 is not 2; rows with null text or lang teach nothing."""
     own = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     languages = sorted(sizes)
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} values of lang are over MAX_LANGUAGES")
     if not languages:
         return [], np.zeros((BUCKETS, 0))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, rows_per_language / sizes[k])))])
@@ -87,7 +91,7 @@ def mixture(text: str, probabilities: np.ndarray) -> np.ndarray:
     order = np.argsort(-share, kind="stable")
     cost = 0.5 * np.log(n.sum()) * 2
     best, best_value = None, -np.inf
-    for size in range(1, max(1, int((share > 0.02).sum())) + 1):
+    for size in range(1, k + 1):
         chosen = order[:size]
         if size == 1:
             value, own = float(n @ np.log(p[:, chosen[0]])), np.ones(1)
@@ -132,7 +136,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, languages) for every row, by a model of the same rows.
 
     `und` with score 0 if the text is null or has no letter, or if no row teaches a language; ties go
-    to the language first in order; repeated rows get equal values; an empty table gives an empty one.
+    to the language first in order; long texts are read whole; repeated rows get equal values; an empty table gives
+    an empty one; other columns are ignored. More than MAX_LANGUAGES values of lang are an error.
     """
     found = languages_of(docs, fit(docs))
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "languages")
