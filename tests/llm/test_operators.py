@@ -16,6 +16,8 @@ from strandlake.llm.common import words_of
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use for columns of their own, or did.
+CLASHING = ["score", "row", "_row", "words", "label", "fp", "_fp", "hits", "_spans", "spans", "_toxicity", "toxicity", "_salt", "part", "_rank", "rank", "set", "n", "prefix", "c0", "at", "first", "best", "c.1"]
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -37,8 +39,7 @@ def texts():
 def docs(spark):
     rows = [(i, t, ["en", "fr", None][i % 3], f"s{i % 2}", len(t or "")) for i, t in enumerate(texts())]
     rows += [(5, "repeated row", "en", "s", 12), (5, "repeated row", "en", "s", 12), (None, "a null id", None, None, None)]
-    clashing = ["score", "row", "_row", "words", "label", "fp", "hits"]
-    return spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit(7) for c in clashing if c != "_row"}).cache()
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit(7) for c in CLASHING}).cache()
 
 
 @pytest.fixture(scope="module")
@@ -72,10 +73,13 @@ def test_contamination(spark, docs, rows, empty):
         want.append((str(i), len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)))
     got = [(str(r.doc_id), r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate.contamination(more, bench).collect()]
     assert sorted(got) == sorted(want)
+    near = decontaminate.contamination(more, bench, slop=1).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"], r.contaminated) for r in near) == sorted(want)
     assert decontaminate.contamination(empty, bench).count() == 0
     assert not any(r.n_hit for r in decontaminate.contamination(docs, bench.limit(0)).collect())
     kept = decontaminate.drop_contaminated(more, bench)
     assert kept.columns == more.columns and kept.count() == sum(not w[-1] for w in want)
+    assert all(r[c] == 7 for r in kept.where("doc_id < 900").collect() for c in CLASHING)
 
 
 def test_contamination_without_vocabulary_and_in_blocks(spark, docs, monkeypatch):
@@ -87,10 +91,33 @@ def test_contamination_without_vocabulary_and_in_blocks(spark, docs, monkeypatch
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "the quick very brown fox")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
-    assert decontaminate.contamination(docs, bench).first().n_hit == 0
-    assert decontaminate.contamination(docs, bench, slop=1).first().n_hit == 3
+    """Of every text the items of which a window stands in order with at most so many words put in between."""
+
+    def stands(words, phrase, slop):
+        if not phrase:
+            return True
+        for start in range(len(words)):
+            if words[start] == phrase[0]:
+                for last in range(start + len(phrase) - 1, min(len(words), start + len(phrase) + slop)):
+                    inner = iter(words[start : last + 1])
+                    if words[last] == phrase[-1] and all(w in inner for w in phrase):
+                        return True
+        return False
+
+    rng = random.Random(13)
+    items = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7))) for _ in range(25)]
+    rows = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 25))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for slop in (0, 1, 3):
+        for r in decontaminate.contamination(docs, bench, window=4, slop=slop).collect():
+            found = []
+            for i, item in enumerate(items):
+                w = item.split()
+                if any(stands(rows[r.doc_id].split(), w[k : k + 4], slop) for k in range(max(1, len(w) - 3))):
+                    found.append(str(i))
+            assert r.near_items == sorted(found), (slop, rows[r.doc_id])
+            assert slop or r["items"] == r.near_items
 
 
 def test_base_scores(docs, rows, empty):
@@ -166,6 +193,54 @@ def test_patterns_fill_gaps_exactly():
     assert packing.plan_patterns({60: 2, 25: 2, 15: 2}, 100) == [((60, 25, 15), 2)]
 
 
+def plain_best_fit(histogram, capacity):
+    """Sequences of best-fit decreasing, piece by piece."""
+    room, n = collections.Counter(), 0
+    for length in sorted((x for x, k in histogram.items() for _ in range(k)), reverse=True):
+        fit = next((gap for gap in range(length, capacity) if room[gap]), None)
+        if fit is None:
+            n, fit = n + 1, capacity
+        else:
+            room[fit] -= 1
+        room[fit - length] += 1
+    return n
+
+
+def test_exact_combinations_take_no_more_sequences_than_best_fit():
+    rng = random.Random(5)
+    for k in range(60):
+        most = rng.choice([30, 60, 100])
+        histogram = collections.Counter(rng.randrange(1, most + 1) for _ in range(rng.randrange(1, 300)))
+        patterns = packing.plan_patterns(dict(histogram), 100)
+        assert sum(t for _, t in patterns) <= plain_best_fit(histogram, 100) + (k % 2 and 1)
+
+
+@pytest.mark.parametrize("folder, most", [("sf0.001", 89), ("sf0.01", 442)])
+def test_most_sequences_are_filled_exactly(spark, folder, most):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    pieces = packing.tokenize_pieces(docs, queries.tokenizer_path())
+    histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
+    patterns = packing.plan_patterns(histogram)
+    n, full = sum(t for _, t in patterns), sum(t for p, t in patterns if sum(p) == packing.CAPACITY)
+    assert n <= most and full > 0.7 * n
+
+
+def test_other_tokenizer_files_get_whole_texts(spark, tmp_path):
+    import json
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as file:
+        told = json.load(file)
+    told["normalizer"] = None
+    path = str(tmp_path / "cased.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(told, file)
+    from tokenizers import Tokenizer
+
+    whole, ours = Tokenizer.from_file(path), packing.TextTokenizer(path)
+    for text in ("Some Plain Text's", "x<|endoftext|>y", "", "a  b"):
+        assert ours(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_licenses(docs, rows, empty):
     phrases = {k: v.split() for k, v in licenses.BASE_TEMPLATES}
     want = []
@@ -210,6 +285,22 @@ def test_automaton_equals_edit_distance():
         assert (found is None) == (not fits) and (found is None or found[1] == min(fits)[0])
 
 
+def test_exact_words_are_entries_without_their_stem():
+    entries = toxicity.choose_entries({"kill": 50, "kill*": 60}, {"kill*": 900, "kill": 1}, 100, 1000)
+    assert [(e.text, e.stem) for e in entries] == [("kill", False)]
+    entries = toxicity.choose_entries({"grub": 20, "grub*": 60, "grubs": 20, "grubs*": 20, "grubby": 20, "grubby*": 20}, {}, 100, 1000)
+    assert {e.text for e in entries} == {"grub"}
+
+
+def test_states_are_forgotten_without_effect(monkeypatch):
+    entries, rng = [toxicity.Entry("idiot", False, 1.0), toxicity.Entry("worthless", False, 1.0)], random.Random(3)
+    words = ["".join(rng.choice("idotwrhles") for _ in range(rng.randrange(3, 9))) for _ in range(300)] + ["idlot", "worthles"]
+    plain = [toxicity.LexiconAutomaton(entries).match(w) for w in words]
+    monkeypatch.setattr(toxicity, "MAX_STATES", 4)
+    small = toxicity.LexiconAutomaton(entries)
+    assert [small.match(w) for w in words] == plain and any(plain)
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(8)
     clean = lambda: " ".join(rng.choice("the of and river stone green walks slowly bright idea window".split()) for _ in range(30))
@@ -222,6 +313,7 @@ def test_toxicity(spark, docs, empty):
     assert held and all(r.predicted == (r.doc_id % 4 == 0) for r in held)
     assert got[5000].predicted == 1 and got[5001].predicted == 0
     kept = toxicity.drop_toxic(every, labels)
+    assert all(r[c] == 7 for r in kept.where("doc_id < 1000").collect() for c in CLASHING)
     assert kept.columns == every.columns and kept.where("text is null").count() == 1
     assert toxicity.toxicity(empty, labels).count() == 0
     assert {round(r.score, 3) for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
@@ -286,6 +378,7 @@ def test_fingerprints_and_groups(docs, rows, empty):
     assert got == sorted((str(i), slow_fingerprint(t, 3)) for i, t in rows)
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.drop_near_duplicates(docs)
+    assert all(r[c] == 7 for r in kept.collect() for c in CLASHING)
     assert kept.columns == docs.columns and kept.count() == simhash.near_duplicates(docs).select("component_id").distinct().count()
 
 
@@ -342,6 +435,21 @@ def test_base_spans(spark, docs, rows, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_redaction_keeps_other_columns(docs, rows):
+    got = pii.redact(docs)
+    assert got.columns == docs.columns and got.count() == len(rows) and all(r[c] == 7 for r in got.collect() for c in CLASHING)
+
+
+@pytest.mark.parametrize("run", ["-", "_", "7", "a", "1-", "+1 ", "1.", "a@", "("])
+def test_long_runs_are_searched_in_time(spark, run):
+    import time
+
+    docs = spark.createDataFrame([(1, "1 " + run * (1_000_000 // len(run)))], "row long, text string")
+    began = time.perf_counter()
+    pii.candidates(docs).count()
+    assert time.perf_counter() - began < 30
+
+
 def test_redaction(spark):
     rows = [(1, "mail a.b@c.de now", 3), (2, None, None), (3, "+1 (555) 123-4567 and 4111 1111 1111 1111", 1), (4, "nothing", 7)]
     got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, start long")).collect()}

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from strandlake.llm import queries
+from tests.llm.test_nearcopies import similar, slow_set
 from tests.llm.test_operators import slow_fingerprint, slow_spans, slow_words
 
 SF = "/root/testdata/sf0.001"
@@ -47,16 +48,18 @@ def test_toxic_rows_go(stages, spark):
 
 
 def test_one_of_each_group_stays(stages):
+    """Five words and a similarity of 0.8, as the stage's rule says, and the two bits of three-word fingerprints."""
     _, before, after, _ = stages[1]
-    prints = [(r.doc_id, slow_fingerprint(r.text, 3)) for r in before]
-    group = {i: i for i, _ in prints}
+    own = [(r.doc_id, slow_fingerprint(r.text, 3), slow_set(r.text)) for r in before]
+    group = {i: i for i, _, _ in own}
+    linked = [(i, j) for i, a, x in own for j, b, y in own if i > j and ((a ^ b).bit_count() <= 2 or similar(x, y))]
     changed = True
     while changed:
         changed = False
-        for i, a in prints:
-            for j, b in prints:
-                if group[j] < group[i] and (a ^ b).bit_count() <= 2:
-                    group[i], changed = group[j], True
+        for i, j in linked:
+            if group[i] != group[j]:
+                group[i] = group[j] = min(group[i], group[j])
+                changed = True
     assert {r.doc_id for r in after} == set(group.values())
     assert 10_001 not in {r.doc_id for r in after}
 
