@@ -15,17 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, nearcopies, packing, pii, toxicity
-from strandlake.llm.common import read_table, shared_dir, stage_tables
+from strandlake.functions.storage import shared_dir
+from strandlake.llm.common import new_stage, read_table, remove
 from strandlake.llm.queries import tokenizer_path
 
 
 def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage whose working tables last until the next stage begins: write its result before that."""
+    """A stage whose working tables last until the same thread begins the next one: write its result before that."""
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with stage_tables(spark):
-            return work(spark, docs, sf_dir)
+        new_stage(spark)
+        return work(spark, docs, sf_dir)
 
     return run_stage
 
@@ -76,10 +77,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's result is written to the shared folder and reread."""
+    """All stages over documents. Every stage's result is written to the shared folder and reread; it goes once
+    the next one is written, so only the last one stays."""
     docs = read_table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/strandlake/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, work in STAGES:
         work(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
+    new_stage(spark)
     return docs
