@@ -71,6 +71,21 @@ def _own_tables(spark: SparkSession) -> list[str]:
     return _written[key]
 
 
+@contextlib.contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Lets a query's shuffle files go when it ends; what it wrote is all that is read later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if not spark.conf.isModifiable(name):
+        yield
+        return
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts the lineage.
 
@@ -79,9 +94,18 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_cleaned(spark):
+        df.write.parquet(path)
     _own_tables(spark).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that stored() gave, at once: nothing may still be read from it."""
+    _own_tables(table.sparkSession).remove(table.stored_at)
+    remove(table.sparkSession, table.stored_at)
 
 
 def small_or_shuffled(df: DataFrame) -> DataFrame:

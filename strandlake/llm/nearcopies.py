@@ -5,6 +5,10 @@ m - ceil(t m) + 1 shingles in any common order of shingles, so equal sets are me
 joined on those. The order puts shingles that a bounded sample shows to be frequent last; it decides how
 much is compared, never what is found. Every pair that is met is verified on both whole sets.
 
+Sets are carried to each other only where that can matter. Two sets cannot have more shingles in common than
+their counts over BINS hash values allow, which leaves out most unlike pairs; each set is first compared with the
+partner of which it meets most shingles, and after that only pairs that are not yet connected are compared.
+
 A shingle that many sets share would give all pairs of its group. There every member is first compared
 with a few leaders of the group. Members that then are connected need no comparison, and Jaccard distance
 obeys the triangle inequality, so two members whose distances to some leader differ by more than the
@@ -31,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE_ROWS, FREQUENT = 10_000, 300_000
 #: Sets under one shingle up to which all pairs are compared, and leaders of a larger group.
 DIRECT_GROUP, LEADERS = 64, 4
+#: Hash values by which a set's shingles are counted.
+BINS = 128
 LOCAL_WORDS = 100_000
 SLICE_BYTES = 1_000_000
 
@@ -81,17 +87,17 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def with_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """docs plus, of its column text, fp (SimHash of word shingles of the given size), set (the name of the set of
-    SHINGLE-word shingles), n (its size) and prefix (its first shingles in the common order)."""
+    SHINGLE-word shingles), n (its size), bins (its counts by hash) and prefix (its first shingles in the common order)."""
     common = docs.sparkSession.sparkContext.broadcast(frequent(docs.select(F.col(text).alias("text"))))
     at = docs.columns.index(text)
-    kinds = [("fp", T.LongType()), ("set", T.BinaryType()), ("n", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
+    kinds = [("fp", T.LongType()), ("set", T.BinaryType()), ("n", T.LongType()), ("bins", T.ArrayType(T.IntegerType())), ("prefix", T.ArrayType(T.LongType()))]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(k, t) for k, t in kinds]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = common.value
         hashes = _Hashes()
         for batch in slices(batches, at, SLICE_BYTES):
-            prints, names, sizes, prefixes = [], [], [], []
+            prints, names, sizes, bins, prefixes = [], [], [], [], []
             for text in batch.column(at).to_pylist():
                 found = shingles(text, SHINGLE, hashes)
                 rank = np.zeros(len(found), np.int64)
@@ -101,10 +107,12 @@ def with_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
                 prints.append(simhash.fingerprint(text, shingle))
                 names.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(len(found))
+                bins.append(np.bincount(found & (BINS - 1), minlength=BINS))
                 prefixes.append(found[np.lexsort((found, rank))[: prefix_length(len(found))]])
             ends = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
-            new = [pa.array(prints, pa.int64()), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists]
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1) * BINS, pa.int32()), pa.array(np.concatenate(bins), pa.int32()))
+            new = [pa.array(prints, pa.int64()), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), counts, lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -130,49 +138,64 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
 
 
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) that the sets' counts by hash let be similar."""
+    one = lambda k: sets.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("bins").alias(f"bins{k}"))
+    most = F.aggregate(F.zip_with("binsa", "binsb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    least = SIMILARITY / (1 + SIMILARITY) * (F.col("na") + F.col("nb"))
+    return pairs.join(one("a"), "a").join(one("b"), "b").where(most >= least - 1e-6).select(*pairs.columns)
+
+
 def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-9
 
 
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b), a < b: enough pairs of rows similar by SIMILARITY or more to connect all that are, from sets
-    (row, n, prefix), one row a distinct set, and texts (row, text)."""
+    (row, n, bins, prefix), one row a distinct set, and texts (row, text)."""
     keyed = sets.select("row", "n", F.explode("prefix").alias("key"))
     sizes = small_or_shuffled(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     shared = stored(keyed.join(sizes, "key"))
-    met = small_or_shuffled(shared.select("row").distinct())
-    whole = stored(_sets_of(texts.join(met, "row", "left_semi").select("row", "text")))
-
-    few = shared.where(F.col("size") <= DIRECT_GROUP)
     one = lambda part, k, *more: part.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("row", "n", *more)])
     fit = _sizes_fit(F.col("n_a"), F.col("n_b"))
-    cold = one(few, "a").join(one(few, "b"), "key").where(F.col("row_a") < F.col("row_b")).where(fit).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    similar = F.col("similarity") >= SIMILARITY - 1e-9
+
+    few = shared.where(F.col("size") <= DIRECT_GROUP)
+    met = one(few, "a").join(one(few, "b"), "key").where(F.col("row_a") < F.col("row_b")).where(fit)
+    cold = stored(_possible(stored(met.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(F.count("*").alias("shared"))), sets))
+    partner = F.max_by("other", F.struct("shared", -F.col("other"))).alias("other")
+    best = cold.select("a", F.col("b").alias("other"), "shared").union(cold.select("b", "a", "shared")).groupBy("a").agg(partner)
     hot = stored(shared.where(F.col("size") > DIRECT_GROUP).select("key", "row", "n"))
     leader = [F.min_by("row", F.xxhash64("row", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-    led = stored(hot.join(F.broadcast(hot.groupBy("key").agg(*leader)), "key"))
-    stars = led.select(F.col("row").alias("a"), F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("b")).where("a <> b")
-    first = stored(_verified(cold.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), whole))
-    linked = first.where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
-    if hot.isEmpty():
-        return linked
-
-    label = simhash.components(linked).withColumnRenamed("node", "row")
-    placed = led.join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    both = first.select("a", "b", "similarity").union(first.select("b", "a", "similarity"))
-    for k in range(LEADERS):
-        known = both.select(F.col("a").alias("row"), F.col("b").alias(f"l{k}"), (1 - F.col("similarity")).alias(f"d{k}"))
-        placed = placed.join(known, ["row", f"l{k}"], "left").withColumn(f"d{k}", F.coalesce(f"d{k}", F.lit(0.0)))
-    placed = stored(placed.select("key", "row", "n", "label", *[f"d{k}" for k in range(LEADERS)]))
-    # Of each group only members outside its largest component are compared, with all members of other components.
-    parts = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
-    main = parts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    marked = placed.join(F.broadcast(main), "key")
-    apart = F.col("label_a") != F.col("label_b")
-    near = reduce(lambda x, k: x & (F.abs(F.col(f"d{k}_a") - F.col(f"d{k}_b")) <= 1 - SIMILARITY + 1e-9), range(LEADERS), apart)
-    columns = ["label", *[f"d{k}" for k in range(LEADERS)]]
-    rest = one(marked.where("label <> main"), "a", *columns).join(one(marked, "b", *columns), "key").where(near & fit)
-    more = rest.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
-    return linked.union(_verified(more, whole).where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")).distinct()
+    led = stored(hot.join(small_or_shuffled(hot.groupBy("key").agg(*leader)), "key"))
+    stars = led.select(F.col("row").alias("a"), F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("other")).where("a <> other")
+    used = small_or_shuffled(cold.select("a").union(cold.select("b")).union(hot.select("row")).distinct().withColumnRenamed("a", "row"))
+    whole = stored(_sets_of(texts.join(used, "row", "left_semi").select("row", "text")))
+    ordered = best.union(stars).select(F.least("a", "other").alias("a"), F.greatest("a", "other").alias("b")).distinct()
+    first = stored(_verified(ordered, whole))
+    linked = first.where(similar).select("a", "b")
+
+    label = stored(simhash.components(linked))
+    of = lambda k: label.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
+    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    rest = cold.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b").join(first, ["a", "b"], "left_anti")
+    if not hot.isEmpty():
+        placed = led.join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        both = first.select("a", "b", "similarity").union(first.select("b", "a", "similarity"))
+        for k in range(LEADERS):
+            known = both.select(F.col("a").alias("row"), F.col("b").alias(f"l{k}"), (1 - F.col("similarity")).alias(f"d{k}"))
+            placed = placed.join(known, ["row", f"l{k}"], "left").withColumn(f"d{k}", F.coalesce(f"d{k}", F.lit(0.0)))
+        placed = stored(placed.select("key", "row", "n", "label", *[f"d{k}" for k in range(LEADERS)]))
+        # Of each group only members outside its largest component are compared, with all members of other components.
+        parts = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
+        main = parts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+        marked = placed.join(small_or_shuffled(main), "key")
+        near = reduce(lambda x, k: x & (F.abs(F.col(f"d{k}_a") - F.col(f"d{k}_b")) <= 1 - SIMILARITY + 1e-9), range(LEADERS), F.col("label_a") != F.col("label_b"))
+        columns = ["label", *[f"d{k}" for k in range(LEADERS)]]
+        more = one(marked.where("label <> main"), "a", *columns).join(one(marked, "b", *columns), "key").where(near & fit)
+        more = more.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
+        rest = rest.union(_possible(more, sets)).distinct()
+    return linked.union(_verified(rest, whole).where(similar).select("a", "b")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -194,7 +217,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
         return members.join(least, "of").where("row <> a").select("a", F.col("row").alias("b"))
 
     sets = classes.groupBy("set").agg(F.min("row").alias("row")).drop("set")
-    first = kept.join(sets, "row", "left_semi").select("row", "n", "prefix")
+    first = kept.join(sets, "row", "left_semi").select("row", "n", "bins", "prefix")
     similar = links(first, kept.select("row", F.col(place["text"]).alias("text")))
     edges = stars(of_print).union(stars(classes.select("row", F.col("set").alias("of")))).union(similar)
     labels = simhash.components(edges.distinct()).withColumnRenamed("node", "row")

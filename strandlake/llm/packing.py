@@ -33,7 +33,7 @@ CAPACITY = 2048
 #: Shares of the exact combinations that are undone, one after the other, while sequences could be saved.
 UNDO = [1 / 64, 1 / 32, 1 / 16, *(k / 8 for k in range(1, 8))]
 #: Words remembered by one Python worker; when full it starts anew. Never changes a result.
-WORD_CACHE = 200_000
+WORD_CACHE = 400_000
 
 # The normaliser and splitter of a tokenizer file under which texts of these characters can be cut
 # at white space and tokenised part by part. Texts of other characters, texts with one of the tokenizer's own
@@ -77,10 +77,10 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self._parts = _Parts(tokenizer)
+        self.parts = _Parts(tokenizer)
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self._parts.__getitem__, _PARTS.findall(word)))
+        ids = b"".join(map(self.parts.__getitem__, _PARTS.findall(word)))
         if len(self) >= WORD_CACHE:
             self.clear()
         self[word] = ids
@@ -100,6 +100,10 @@ class TextTokenizer:
         self._by_parts = all(told.get(k) == v for k, v in _RULES.items()) and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
         self._own = [t["content"] for t in told.get("added_tokens") or []]
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.words.parts.clear()
+
     def __call__(self, text: str) -> bytes:
         if self._by_parts and _PLAIN.fullmatch(text) and not any(t in text for t in self._own):
             return b"".join(map(self.words.__getitem__, text.lower().split()))
@@ -146,6 +150,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                 [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                 names=names,
             )
+        tokenize.forget()  # the worker lives on
 
     if not numbered:
         return docs.select("doc_id", "text").mapInArrow(cut, schema)
