@@ -1,13 +1,15 @@
-"""Chat formatting: speaker roles recovered by a hidden Markov model, turns rendered canonically.
-
-Roles are hidden states, lines are emissions. A line's features are the role that a speaker marker at
-its start names (if any), its length, its place in the transcript and its punctuation. Counts of first
-roles, role pairs and features by role are taken over all rows that carry a role; Viterbi decoding
-then gives every line the role of the conversation's most probable sequence.
-
-Viterbi is a product of matrices over (max, +), so a conversation of any length is decoded in
-chunks: every chunk is reduced to one small matrix in parallel, the chunks of a conversation are
-chained (one row for a chunk), and every chunk is decoded in parallel between its two end roles.
+"""Chat formatting: transcripts are parsed by a hidden Markov model, their turns rendered canonically.
+
+A transcript is lines of text; some turns begin with a speaker marker, others with nothing that tells. Hidden states are
+a role and whether the line begins a turn of it; lines are emissions. A line's features are the role that a
+marker at its start names (if any), its length, its place in the transcript and its punctuation. Counts of
+first states, state pairs and features by state are taken over all lines of conversations that carry roles;
+Viterbi decoding then gives every line the state of the transcript's most probable sequence, and lines from one
+beginning to the next are a turn.
+
+Viterbi is a product of matrices over (max, +), so a transcript of any length is decoded in
+chunks: every chunk is reduced to one small matrix in parallel, the chunks of a transcript are
+chained (one row for a chunk), and every chunk is decoded in parallel between its two end states.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import ascii_lower, stored
+from strandlake.llm.common import ascii_lower, remainder, stored
 
 CHUNK = 512
 #: Chunks that are chained at a time; a level of matrices is added for every factor of this many.
 FAN = 512
+#: Different roles of one model; more are an error, none is left out.
+MAX_ROLES = 24
 
 # Markers at a line's start and the role that each names, and a turn's rendering.
 MARKERS = {
@@ -39,7 +43,8 @@ _MARKER = r"^\s*(?:[*#>\[<|]*\s*)([A-Za-z]+)(?:\s*[*\]>|]*)\s*[:>|\]]\s*"
 
 _ARROW = {"long": pa.int64(), "array<double>": pa.list_(pa.float64()), "string": pa.string()}
 
-FEATURES = ["marker", "size", "place", "form", "lines"]
+FEATURES = ["marker", "size", "place", "form"]
+_BEGINS, _GOES_ON = ">", "."
 
 
 def marker_role(text: Column) -> Column:
@@ -56,12 +61,33 @@ def without_marker(text: Column) -> Column:
     return F.when(marker_role(text) != "none", F.regexp_replace(text, _MARKER, "")).otherwise(text)
 
 
-def with_position(rows: DataFrame) -> DataFrame:
-    """rows (conv_id, turn, role, text) plus position within conv_id, a long conversation over many tasks.
+def transcript_lines(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, tie, line, text, state) of conversations (conv_id, turn, role, text): their transcripts, a row a
+    line, and the state that each is in (null without a role).
+
+    Three of four transcripts have speaker markers, of three kinds, in front of turns of the roles in MARKERS;
+    the rest have none. Turns of one number go by a hash of role and text (tie)."""
+    names = [F.create_map(*[x for role, own in MARKERS.items() for x in (F.lit(role), F.lit(f"{left}{own[k]}{right}"))]) for k, (left, right) in enumerate([("", ": "), ("### ", ": "), ("**", "**: ")])]
+    marker = F.get(F.array(*[n[F.col("role")] for n in names]), F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int"))
+    lines = conversations.select("conv_id", "turn", "role", F.xxhash64("role", "text").alias("tie"), marker.alias("marker"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "own"))
+    first = F.col("line") == 0
+    text = F.when(first, F.concat(F.coalesce("marker", F.lit("")), "own")).otherwise(F.col("own"))
+    return lines.select("conv_id", "turn", "tie", "line", text.alias("text"), F.concat("role", F.when(first, _BEGINS).otherwise(_GOES_ON)).alias("state"))
+
 
-    Rows are sorted over range partitions and counted within each; what a conversation has in earlier
-    partitions is added."""
-    order = ["conv_id", "turn", "text", "role"]
+def text_lines(transcripts: DataFrame) -> DataFrame:
+    """The same rows, without states, of transcripts (conv_id, text) that are whole texts; rows of one conv_id go by a
+    hash of the text."""
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text")
+    return transcripts.select("conv_id", F.lit(0).alias("turn"), F.xxhash64("text").alias("tie"), lines).withColumn("state", F.lit(None).cast("string"))
+
+
+def with_position(lines: DataFrame) -> DataFrame:
+    """lines plus position within conv_id, a long transcript over many tasks.
+
+    Rows are sorted over range partitions, whose bounds hold no text, and counted within each; what a transcript
+    has in earlier partitions is added. Rows equal in all of the order are in one partition."""
+    order = ["conv_id", "turn", "tie", "line"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, current, k = TaskContext.get().partitionId(), object(), -1
@@ -73,33 +99,31 @@ def with_position(rows: DataFrame) -> DataFrame:
                 numbers.append(k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(numbers), pa.int32()), pa.array(numbers, pa.int64())], names=[*batch.schema.names, "_part", "_k"])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_k", T.LongType())])
-    counted = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(count, schema))
+    schema = T.StructType([*lines.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_k", T.LongType())])
+    counted = stored(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(count, schema))
     sizes = counted.groupBy("conv_id", "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_part")) - F.col("_n")
     starts = sizes.select(F.col("conv_id").alias("_c"), F.col("_part").alias("_p"), before.alias("_before"))
     joined = counted.join(starts, counted.conv_id.eqNullSafe(starts["_c"]) & (counted["_part"] == starts["_p"]))
-    return joined.select(*rows.columns, (F.col("_k") + F.col("_before")).alias("position"))
+    return joined.select(*lines.columns, (F.col("_k") + F.col("_before")).alias("position"))
 
 
-def line_features(rows: DataFrame) -> DataFrame:
-    """rows (conv_id, turn, role, text) plus FEATURES (strings) and position, counted from 0 in order of
-    turn within conv_id (null turns first, equal ones by text and role)."""
-    text = F.coalesce("text", F.lit(""))
-    n = F.length(text)
-    size = F.floor(F.log2(n + 1)).cast("string")
+def line_features(lines: DataFrame) -> DataFrame:
+    """lines (conv_id, turn, tie, line, text, state) plus FEATURES (strings) and position, counted from 0 in order of
+    turn, tie and line within conv_id (null turns first)."""
+    text = F.col("text")
+    size = F.floor(F.log2(F.length(text) + 1)).cast("string")
     form = F.concat(
-        F.when(text.rlike(r"\?\s*$"), "?").otherwise("."), F.when(text.contains("```"), "c").otherwise(""),
+        F.when(text.rlike(r"\?\s*$"), "?").when(text.rlike(r"[.!]\s*$"), ".").otherwise("-"), F.when(text.contains("```"), "c").otherwise(""),
         F.when(ascii_lower(text).rlike(r"^\W*(you are|act as|always|never|follow)\b"), "s").otherwise(""),
     )
-    lines = F.least(F.lit(6), F.size(F.split(text, "\n"))).cast("string")
-    placed = with_position(rows)
+    placed = with_position(lines)
     place = F.when(F.col("position") == 0, "first").when(F.col("position") == 1, "second").otherwise("later")
-    return placed.withColumns({"marker": marker_role(F.col("text")), "size": size, "place": place, "form": form, "lines": lines})
+    return placed.withColumns({"marker": marker_role(text), "size": size, "place": place, "form": form})
 
 
 class RoleModel:
-    """Log-probabilities of first roles, role pairs and features by role."""
+    """Log-probabilities of first states, state pairs and features by state; roles are the states' names."""
 
     def __init__(self, roles: list[str], first: np.ndarray, step: np.ndarray, emit: dict[tuple[str, str], np.ndarray], unseen: dict[str, np.ndarray]):
         self.roles, self.first, self.step, self.emit, self.unseen = roles, first, step, emit, unseen
@@ -114,13 +138,16 @@ class RoleModel:
 
 
 def fit(featured: DataFrame, smoothing: float = 0.5) -> RoleModel:
-    """Counts over every row with a role; roles never seen cannot be predicted. Without any role the
-    model knows only `user`."""
-    known = featured.where(F.col("role").isNotNull())
-    last = featured.select(F.col("conv_id").alias("c"), (F.col("position") + 1).alias("p"), F.col("role").alias("before"))
+    """Counts over every line with a state; roles never seen cannot be predicted. Without any the model knows
+    only `user`. More than MAX_ROLES roles are an error."""
+    known = featured.where(F.col("state").isNotNull())
+    last = featured.select(F.col("conv_id").alias("c"), (F.col("position") + 1).alias("p"), F.col("state").alias("before"))
     pairs = known.join(last, known.conv_id.eqNullSafe(last.c) & (known.position == last.p), "left")
-    steps = pairs.groupBy("before", "role").agg(F.count("*").alias("n"), F.count_if(F.col("position") == 0).alias("starts")).collect()
-    roles = sorted({r.role for r in steps}) or ["user"]
+    seen = [r[0] for r in known.select(F.left("state", F.length("state") - 1).alias("role")).distinct().limit(MAX_ROLES + 1).collect()]
+    if len(seen) > MAX_ROLES:
+        raise ValueError("the roles are over MAX_ROLES")
+    roles = sorted(r + how for r in seen or ["user"] for how in (_BEGINS, _GOES_ON))
+    steps = pairs.groupBy("before", F.col("state").alias("role")).agg(F.count("*").alias("n"), F.count_if(F.col("position") == 0).alias("starts")).collect()
     number = {r: i for i, r in enumerate(roles)}
     first, step = np.full(len(roles), smoothing), np.full((len(roles), len(roles)), smoothing)
     for r in steps:
@@ -128,7 +155,7 @@ def fit(featured: DataFrame, smoothing: float = 0.5) -> RoleModel:
         if r.before is not None:
             step[number[r.before], number[r.role]] += r.n
     feature = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])).alias("f")
-    counted = known.select("role", feature).groupBy("role", "f.feature", "f.value").agg(F.count("*").alias("n")).collect()  # few values each
+    counted = known.select(F.col("state").alias("role"), feature).groupBy("role", "f.feature", "f.value").agg(F.count("*").alias("n")).collect()  # few values each
     tables: dict[tuple[str, str], np.ndarray] = {}
     totals = {f: np.full(len(roles), smoothing) for f in FEATURES}
     for r in counted:
@@ -191,7 +218,7 @@ def by_group(df: DataFrame, keys: list[str], order: str, work, schema: str) -> D
 
 
 def decode(featured: DataFrame, model: RoleModel) -> DataFrame:
-    """featured plus role_pred, by Viterbi over each conv_id in order of position."""
+    """featured plus state_pred, by Viterbi over each conv_id in order of position."""
     k = len(model.roles)
     kind = featured.schema["conv_id"].dataType.simpleString()
 
@@ -224,7 +251,7 @@ def decode(featured: DataFrame, model: RoleModel) -> DataFrame:
 
     def decode_chunk(rows):
         path = _best_path(line_matrices(rows), scores_of(rows["entry"][0]), rows["last"][0])
-        return {"conv_id": rows["conv_id"], "position": rows["position"], "role_pred": [model.roles[i] for i in path]}
+        return {"conv_id": rows["conv_id"], "position": rows["position"], "state_pred": [model.roles[i] for i in path]}
 
     own = stored(featured.withColumn("chunk", F.floor(F.col("position") / CHUNK).cast("long")))
     narrow = own.select("conv_id", "chunk", "position", *FEATURES)
@@ -248,22 +275,48 @@ def decode(featured: DataFrame, model: RoleModel) -> DataFrame:
 
     inner = ends.select(F.col("conv_id").alias("c"), F.col("number").alias("n"), "entry", "last")
     ready = narrow.join(inner, narrow.conv_id.eqNullSafe(inner.c) & (narrow.chunk == inner.n)).drop("c", "n")
-    found = by_group(ready, ["conv_id", "chunk"], "position", decode_chunk, f"conv_id {kind}, position long, role_pred string")
-    found = found.select(F.col("conv_id").alias("c"), F.col("position").alias("p"), "role_pred")
-    return own.join(found, own.conv_id.eqNullSafe(found.c) & (own.position == found.p)).drop("c", "p", "chunk")
+    found = by_group(ready, ["conv_id", "chunk"], "position", decode_chunk, f"conv_id {kind}, position long, state_pred string")
+    found = found.select(F.col("conv_id").alias("c"), F.col("position").alias("p"), "state_pred")
+    return own.join(found, own.conv_id.eqNullSafe(found.c) & (own.position == found.p)).drop("c", "p")
+
+
+def turns(decoded: DataFrame) -> DataFrame:
+    """(conv_id, turn, position, role, rendered) from decode's lines: a row for each run of lines from a beginning or
+    another role on, numbered from 0 within conv_id, with the position of its first line."""
+    begins = F.col("state_pred").endswith(_BEGINS) | (F.col("position") == 0)
+    role = F.left("state_pred", F.length("state_pred") - 1)
+    last = Window.partitionBy("conv_id", "chunk").orderBy("position")
+    lines = decoded.select("conv_id", "chunk", "position", role.alias("role"), begins.cast("int").alias("begins"), "text")
+    # beginnings of the chunks before a line's own, then those within it
+    sums = lines.groupBy("conv_id", "chunk").agg(F.sum("begins").alias("n"))
+    before = sums.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), (F.sum("n").over(Window.partitionBy("conv_id").orderBy("chunk")) - F.col("n")).alias("before"))
+    numbered = lines.withColumn("own", F.sum("begins").over(last)).join(before, lines.conv_id.eqNullSafe(before.c) & (lines.chunk == before.k))
+    body = F.when(F.col("begins") == 1, F.coalesce(without_marker(F.col("text")), F.lit(""))).otherwise(F.col("text"))
+    grouped = numbered.select("conv_id", (F.col("before") + F.col("own") - 1).alias("turn"), "position", "role", body.alias("body"))
+    found = grouped.groupBy("conv_id", "turn").agg(F.min("position").alias("position"), F.min_by("role", "position").alias("role"), F.sort_array(F.collect_list(F.struct("position", "body"))).alias("lines"))
+    text = F.trim(F.array_join(F.transform("lines", lambda x: x["body"]), "\n"))
+    return found.select("conv_id", "turn", "position", "role", F.concat(F.lit(_OPEN), F.col("role"), F.lit("\n"), text, F.lit(_CLOSE)).alias("rendered"))
+
+
+def parse_transcripts(transcripts: DataFrame, model: RoleModel) -> DataFrame:
+    """turns of transcripts (conv_id, text) that are whole texts, by a model of other transcripts.
+
+    Null text is one empty line; rows of one conv_id (nulls are one) follow each other by a hash of the text; long
+    texts are parsed whole; an empty table gives an empty one; other columns are ignored.
+    """
+    return turns(decode(line_features(text_lines(transcripts.select("conv_id", "text"))), model))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, position, role_pred, rendered) for every row of conversations (conv_id, turn,
-    role, text): the recovered role and the canonical rendering of the turn.
+    """(conv_id, held_out, turn, position, role, rendered): the transcripts of conversations (conv_id, turn, role, text)
+    parsed back into turns, in canonical rendering.
 
-    Roles given teach the model (null ones do not) and are never copied to a row. Null text is
-    rendered as empty; rows with a null conv_id are one conversation; equal turns are ordered by
-    text; repeated rows are kept; an empty table gives an empty one; other columns are ignored.
+    Only conversations whose crc32(conv_id as text) mod 5 is not 1 teach the model, and no role is ever copied to a
+    line. Null text is an empty line; rows with a null conv_id are one conversation; turns of one number go by a hash
+    of role and text; repeated rows are repeated turns; long texts are parsed whole; an empty table gives an empty
+    one; other columns are ignored.
     """
-    rows = conversations.select("conv_id", "turn", "role", "text")
-    featured = stored(line_features(rows))
-    decoded = decode(featured, fit(featured))
-    body = F.trim(F.coalesce(without_marker(F.col("text")), F.lit("")))
-    rendered = F.concat(F.lit(_OPEN), F.col("role_pred"), F.lit("\n"), body, F.lit(_CLOSE))
-    return decoded.select("conv_id", "turn", "position", "role_pred", rendered.alias("rendered"))
+    featured = stored(line_features(transcript_lines(conversations.select("conv_id", "turn", "role", "text"))))
+    held_out = remainder(F.col("conv_id"), 5) == 1
+    found = turns(decode(featured.drop("state"), fit(featured.where(~held_out))))
+    return found.select("conv_id", held_out.alias("held_out"), "turn", "position", "role", "rendered")
