@@ -65,12 +65,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(read_table(spark, sf_dir, "documents"))
     of_kind = lambda k: F.filter("base_spans", lambda s: s["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base_spans")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base_spans")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chat.format_chats(read_table(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "position", F.col("role_pred").alias("role"), "rendered")
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict:
