@@ -132,18 +132,168 @@ def test_base_scores(docs, rows, empty):
     assert lm_scoring.lm_scores(empty).count() == 0
 
 
-def test_model_probabilities_sum_to_one_and_tail_equals_head(docs):
+def predictive(model, restaurant, words):
+    """The model's probability of each word in a restaurant, from its rows; words maps a word to its row."""
+    parent, out = int(model.parents[restaurant]), {}
+    for w, r in words.items():
+        endings = [r.q[s * lm_scoring.CLASSES + parent] for s in range(lm_scoring.SAMPLES)]
+        if restaurant < lm_scoring.CLASSES:
+            out[w] = sum(endings) / lm_scoring.SAMPLES
+        elif restaurant in r.ctx:
+            out[w] = r.p[r.ctx.index(restaurant)]
+        else:
+            out[w] = sum(a * q for a, q in zip(model.share[:, restaurant], endings, strict=True)) / lm_scoring.SAMPLES
+    return out
+
+
+def test_model_probabilities_sum_to_one_and_tail_equals_head(docs, rows):
     model = lm_scoring.fit(docs.select("text"))
-    for u in range(lm_scoring.CONTEXTS):
-        total = sum(10 ** r.p for r in model.words.select(F.col(f"p{u}").alias("p")).collect())
-        assert total + 10 ** model.unseen[u] == pytest.approx(1.0, abs=1e-6)
-    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 3))
-    assert sorted(map(key, lm_scoring.score_texts(docs, model, 3).collect())) == sorted(map(key, lm_scoring.score_texts(docs, model).collect()))
+    words = {bytes(r.word): r for r in model.words.collect()}
+    assert len(model.contexts) > 20
+    table = [predictive(model, u, words) for u in range(len(model.parents))]
+    for u, p in enumerate(table):
+        assert sum(p.values()) + model.unseen[u] == pytest.approx(1.0, abs=1e-9)
+    number = {w: lm_scoring.CLASSES + i for i, w in enumerate(model.contexts)}
+    want = []
+    for i, text in rows:
+        before, total = None, 0.0
+        for w in [*(t.encode() for t in re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))), b""]:
+            u = 0 if before is None else number.get(before, lm_scoring.class_of(before))
+            total, before = total + math.log10(table[u].get(w, model.unseen[u])), w
+        want.append((str(i), round(total, 6)))
+    for sizes in ((None, None), (3, 2), (30, 5), (0, 0)):
+        got = lm_scoring.score_texts(docs, model, *sizes).collect()
+        assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted(want)
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    plain = docs.select("doc_id", "text")
+    got = []
+    for parts, shuffle in ((1, "2"), (5, "7")):
+        was = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        got.append(sorted((str(r.doc_id), r.n_tokens, round(r.score, 8)) for r in lm_scoring.lm_scores(plain.repartition(parts)).collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1]
+
+
+def seated_one_by_one(texts, contexts, discounts, sweeps, burn_in, rng):
+    """Average log10 probabilities of texts (lists of tokens) by a Gibbs sampler that takes out and seats one
+    customer at a time, in the same tree of restaurants with the same discounts (root, by ending, by word)."""
+    number = {w: lm_scoring.CLASSES + i for i, w in enumerate(contexts)}
+    parents = [-1] * lm_scoring.CLASSES + [lm_scoring.class_of(w) for w in contexts]
+    types = len({w for t in texts for w in t})
+    tables = collections.defaultdict(list)  # (restaurant, word): customers of each table; restaurant -1 is the root
+    sums = collections.defaultdict(lambda: [0, 0])
+    level = lambda u: discounts[0] if u == -1 else discounts[1][u] if u < lm_scoring.CLASSES else discounts[2]
+    up = lambda u: None if u == -1 else parents[u]
+
+    def p(u, w):
+        if u is None:
+            return 1 / (types + 1)
+        c, t = sums[u]
+        own, d = tables[u, w], level(u)
+        return (sum(own) - d * len(own) + (1 + d * t) * p(up(u), w)) / (1 + c)
+
+    def add(u, w):
+        if u is None:
+            return
+        own, d, s = tables[u, w], level(u), sums[u]
+        weights = [x - d for x in own] + [(1 + d * s[1]) * p(up(u), w)]
+        k = rng.choices(range(len(weights)), weights)[0]
+        s[0] += 1
+        if k == len(own):
+            own.append(1)
+            s[1] += 1
+            add(up(u), w)
+        else:
+            own[k] += 1
+
+    def take(u, w):
+        if u is None:
+            return
+        own, s = tables[u, w], sums[u]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        s[0] -= 1
+        if not own[k]:
+            own.pop(k)
+            s[1] -= 1
+            take(up(u), w)
+
+    tokens = []
+    for t in texts:
+        before = None
+        for w in t:
+            tokens.append((0 if before is None else number.get(before, lm_scoring.class_of(before)), w))
+            before = w
+    for u, w in tokens:
+        add(u, w)
+    average = collections.defaultdict(float)
+    for sweep in range(sweeps):
+        for u, w in tokens:
+            take(u, w)
+            add(u, w)
+        if sweep >= burn_in:
+            for u, w in set(tokens):
+                average[u, w] += p(u, w) / (sweeps - burn_in)
+    return {k: math.log10(v) for k, v in average.items()}
+
+
+def test_model_agrees_with_seating_one_customer_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BURN_IN", 10)
+    monkeypatch.setattr(lm_scoring, "SAMPLES", 40)
+    rng = random.Random(21)
+    follow = {w: rng.sample("abcdefghij", 3) for w in "abcdefghij"}
+    texts = []
+    for _ in range(60):
+        w, own = rng.choice("abcdefghij"), []
+        for _ in range(rng.randrange(3, 15)):
+            own.append(w)
+            w = rng.choice(follow[w]) if rng.random() < 0.8 else rng.choice("abcdefghij")
+        texts.append(own)
+    frame = spark.createDataFrame([(" ".join(t),) for t in texts], "text string").repartition(2)
+    model = lm_scoring.fit(frame, [w.encode() for w in "abcdef"])
+    words = {bytes(r.word): r for r in model.words.collect()}
+    counts, pairs, ending = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for t in texts:
+        before = None
+        for w in [*t, ""]:
+            u = 0 if before is None else lm_scoring.CLASSES + "abcdef".index(before) if before in "abcdef" else 2
+            (pairs if u >= lm_scoring.CLASSES else counts)[u, w] += 1
+            before = w
+    first = collections.Counter(counts)
+    for u, w in pairs:
+        first[int(model.parents[u]), w] += 1
+    root = collections.Counter(w for _, w in first)
+    rate = lambda c: lm_scoring._discount(sum(v == 1 for v in c), sum(v == 2 for v in c))
+    discounts = rate(root.values()), [rate([v for (u, _), v in first.items() if u == k]) for k in range(lm_scoring.CLASSES)], rate(pairs.values())
+    want = seated_one_by_one([[*(w.encode() for w in t), b""] for t in texts], [w.encode() for w in "abcdef"], discounts, 120, 40, rng)
+    table = [predictive(model, u, words) for u in range(len(model.parents))]
+    off = [abs(math.log10(table[u][w]) - p) for (u, w), p in want.items()]
+    assert max(off) < 0.12 and sum(off) / len(off) < 0.03
+
+
+def test_word_restaurants_foretell_better(spark):
+    rng = random.Random(22)
+    word = {w: rng.sample(range(300), 4) for w in range(300)}
+    texts = []
+    for _ in range(400):
+        w, own = rng.randrange(300), []
+        for _ in range(30):
+            own.append(f"w{w}")
+            w = rng.choice(word[w])
+        texts.append(" ".join(own))
+    train = spark.createDataFrame([(t,) for t in texts[:300]], "text string")
+    held = spark.createDataFrame(list(enumerate(texts[300:])), "doc_id long, text string")
+    total = lambda contexts: sum(r.score for r in lm_scoring.score_texts(held, lm_scoring.fit(train, contexts)).collect())
+    assert total(None) > total([]) + 1000
 
 
 def test_tables_follow_their_distribution():
-    rng, c, d, w = np.random.default_rng(0), 6, 0.4, 0.3
-    drawn = np.bincount(lm_scoring.sample_tables(np.full(40_000, c), np.full(40_000, w), d, rng), minlength=c + 1)[1:] / 40_000
+    c, d, w = 6, 0.4, 0.3
+    key = lm_scoring.mixed(np.arange(40_000, dtype=np.uint64), 5)
+    drawn = np.bincount(lm_scoring.sample_tables(np.full(40_000, c), np.full(40_000, w), d, key), minlength=c + 1)[1:] / 40_000
     ways = {1: 1.0}
     for n in range(1, c):
         ways = {t: ways.get(t, 0) * (n - d * t) + ways.get(t - 1, 0) for t in range(1, n + 2)}
@@ -151,6 +301,15 @@ def test_tables_follow_their_distribution():
     assert np.abs(drawn - want / want.sum()).max() < 0.01
 
 
+def test_successes_follow_the_binomial_distribution():
+    key = lm_scoring.mixed(np.arange(20_000, dtype=np.uint64), 9)
+    for n, p in ((1, 0.3), (10, 0.05), (40, 0.9), (4000, 0.5), (7, 1.0), (7, 0.0)):
+        drawn = lm_scoring._binomial(np.full(20_000, n), np.full(20_000, p), key, 3)
+        assert drawn.min() >= 0 and drawn.max() <= n
+        assert drawn.mean() == pytest.approx(n * p, abs=0.05 * math.sqrt(n * p * (1 - p)) + 1e-9)
+        assert drawn.var() == pytest.approx(n * p * (1 - p), rel=0.1, abs=1e-9)
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
@@ -476,24 +635,41 @@ def test_roles(spark, monkeypatch, chunk, fan):
     monkeypatch.setattr(chat, "CHUNK", chunk)
     monkeypatch.setattr(chat, "FAN", fan)
     rng = random.Random(2)
-    rows = [(c, t, ["user", "assistant"][t % 2], ("What is it?" if t % 2 == 0 else "It is a long answer of some kind. ") * (1 + t % 2 * 3)) for c in range(20) for t in range(rng.randrange(1, 9))]
-    rows += [(None, 1, None, None), (None, None, "user", "User: hi there?"), (99, 0, None, "")]
-    own = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit("x")).select("conv_id", "turn", "role", "text", "position")
-    got = chat.format_chats(own).collect()
-    assert len(got) == len(rows)
-    truth = {(c, t): r for c, t, r, _ in rows}
-    assert all(r.role_pred == truth[r.conv_id, r.turn] for r in got if r.conv_id is not None and r.conv_id < 20)
-    assert any(r.rendered == "<|start|>user\nhi there?<|end|>" for r in got)
-    featured = chat.line_features(own.select("conv_id", "turn", "role", "text"))
+    answer = "It is a long answer of some kind. "
+    rows = [(c, t, ["user", "assistant"][t % 2], f"What is {c}, {t}?" if t % 2 == 0 else answer * 3 + f"\nand {c} at {t}.") for c in range(40) for t in range(rng.randrange(1, 6))]
+    rows += [(None, 1, None, None), (None, None, "user", "hi there?"), (99, 0, None, ""), (98, 0, "user", "same?"), (98, 0, "user", "same?"), (97, 0, "assistant", "word " * 50_000)]
+    own = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit("x")).select("conv_id", "turn", "role", "text", "position").repartition(3)
+    got = collections.defaultdict(list)
+    for r in chat.format_chats(own).orderBy("turn").collect():
+        got[r.conv_id].append((r.role, r.rendered))
+        assert r.held_out == (zlib.crc32(("" if r.conv_id is None else str(r.conv_id)).encode()) % 5 == 1)
+    want = collections.defaultdict(list)
+    for c, _, role, text in rows[:-6]:
+        want[c].append((role, f"<|start|>{role}\n{text}<|end|>"))
+    assert sum(got[c] == want[c] for c in range(40)) >= 38 and any(zlib.crc32(str(c).encode()) % 5 == 1 for c in range(40))
+    assert set(got) == {*range(40), None, 97, 98, 99}
+    featured = chat.line_features(chat.transcript_lines(own.select("conv_id", "turn", "role", "text")))
     model = chat.fit(featured)
     decoded = chat.decode(featured, model).orderBy("position").collect()
-    for conv in range(20):
-        lines = [r for r in decoded if r.conv_id == conv]
-        e = model.emissions({f: [r[f] for r in lines] for f in chat.FEATURES})
-        p = [model.roles.index(r.role_pred) for r in lines]
-        mine = model.first[p[0]] + e[0, p[0]] + sum(model.step[p[i - 1], p[i]] + e[i, p[i]] for i in range(1, len(p)))
-        assert mine == pytest.approx(best_path(model, {f: [r[f] for r in lines] for f in chat.FEATURES}))
+    for conv in range(40):
+        lines = [r for r in decoded if r.conv_id == conv][:5]
+        if len(lines) == len([r for r in decoded if r.conv_id == conv]):
+            e = model.emissions({f: [r[f] for r in lines] for f in chat.FEATURES})
+            p = [model.roles.index(r.state_pred) for r in lines]
+            mine = model.first[p[0]] + e[0, p[0]] + sum(model.step[p[i - 1], p[i]] + e[i, p[i]] for i in range(1, len(p)))
+            assert mine == pytest.approx(best_path(model, {f: [r[f] for r in lines] for f in chat.FEATURES}))
     assert chat.format_chats(own.limit(0)).count() == 0
+    whole = spark.createDataFrame([(1, "Human: how?\nAI: " + answer * 3 + "\nand more.\nHuman: why?"), (2, None)], "conv_id long, text string")
+    parsed = [(r.turn, r.role, r.rendered) for r in chat.parse_transcripts(whole, model).where("conv_id = 1").orderBy("turn").collect()]
+    assert parsed == [(0, "user", "<|start|>user\nhow?<|end|>"), (1, "assistant", "<|start|>assistant\n" + answer * 3 + "\nand more.<|end|>"), (2, "user", "<|start|>user\nwhy?<|end|>")]
+
+
+def test_held_out_lines_get_their_role(spark):
+    featured = chat.stored(chat.line_features(chat.transcript_lines(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))))
+    held_out = chat.remainder(F.col("conv_id"), 5) == 1
+    decoded = chat.decode(featured, chat.fit(featured.where(~held_out))).where(held_out).select("state", "state_pred").collect()
+    right = sum(r.state[:-1] == r.state_pred[:-1] for r in decoded) / len(decoded)
+    assert len(decoded) > 200 and right > 0.9
 
 
 def test_words():
