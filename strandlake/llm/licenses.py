@@ -4,7 +4,8 @@ Every run of GRAM words of a document is hashed; the hashes that some template h
 templates' positions. A template that stands in a document gives hits of one offset (document
 position minus template position), so hits vote for offset diagonals. A diagonal with all votes is
 an exact occurrence; neighbouring diagonals are merged, since a word put in or left out moves the
-rest by one, and the merged span is verified by its length and by the share of the template it holds.
+rest by one, and the merged span is verified by its length and by the share of the template's words that its
+grams cover: one word exchanged costs one word.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from strandlake.llm.common import ascii_lower, stored
 GRAM = 2
 #: Diagonals this far apart or nearer belong to one span.
 MAX_SHIFT = 3
-#: Share of a template's grams that a merged span must hold.
+#: Share of a template's words that a merged span must cover.
 MIN_COVERAGE = 0.75
 
 # Phrases of the contract, and common wordings of license notices.
@@ -28,19 +29,29 @@ BASE_TEMPLATES = [
     ("reserved", "all rights reserved"),
 ]
 NOTICE_TEMPLATES = [
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("cc-by", "licensed under cc by"),
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nd", "licensed under cc by nd 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-nc", "licensed under cc by nc"),
+    ("cc-by-nd", "licensed under cc by nd"),
+    ("cc-by-sa", "licensed under cc by sa"),
     ("cc0", "creative commons cc0 1 0 universal public domain dedication"),
+    ("gpl", "licensed under the gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl-2.0", "licensed under the gnu general public license version 2"),
     ("gpl-3.0", "licensed under the gnu general public license version 3"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -68,7 +79,7 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None)
 
     places are the sorted starts of exact base phrases, overlapping ones of different phrases
     included; labels hold those of notices found too; score is the best template's coverage, 0 for
-    none. Null text counts as empty; repeated rows are scanned each; an empty table gives an empty one;
+    none. Long texts are scanned whole. Null text counts as empty; repeated rows are scanned each; an empty table gives an empty one;
     other columns are ignored. Keys of one document never exceed its own words.
     """
     spark = docs.sparkSession
@@ -91,11 +102,12 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None)
     own = Window.partitionBy("row", "template").orderBy("diagonal")
     jump = (F.col("diagonal") - F.lag("diagonal").over(own) > MAX_SHIFT).cast("int")
     grouped = votes.withColumn("jump", F.coalesce(jump, F.lit(0))).withColumn("span", F.sum("jump").over(own))
+    covered = lambda k: F.transform("seen", lambda at: at + k)
     spans = grouped.groupBy("row", "template", "label", "base", "grams", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.concat(*[covered(k) for k in range(GRAM)]))))).alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.collect_list(F.when(F.size("seen") == F.col("grams"), F.col("diagonal"))).alias("exact"),
     )
-    coverage = F.col("held") / F.col("grams")
+    coverage = F.col("held") / (F.col("grams") + GRAM - 1)
     is_place = F.col("base") & (F.size("exact") > 0)
     length_fits = F.col("hi") - F.col("lo") + GRAM <= 1.5 * (F.col("grams") + GRAM)
     is_notice = ~F.col("base") & (coverage >= MIN_COVERAGE) & (length_fits | (F.size("exact") > 0))
