@@ -115,7 +115,7 @@ def cosine_hash(image: np.ndarray) -> int:
     xs = np.arange(_SIDE) * image.shape[1] // _SIDE
     across = np.add.reduceat(image, xs, axis=1, dtype=np.int64)
     small = np.add.reduceat(across, ys[:-1], axis=0) / np.diff(ys)[:, None]
-    low = (_COSINE @ small @ _COSINE.T).ravel()
+    low = np.round((_COSINE @ small @ _COSINE.T).ravel(), 6)  # else noise decides where rows are equal
     low[0] = 0
     return int(np.packbits(low > np.median(low[1:])).view(">u8")[0])
 
