@@ -420,6 +420,60 @@ def test_notices_with_a_word_changed(spark):
     assert got == {1: ["apache-2.0"], 2: ["gpl", "gpl-3.0"], 3: []}
 
 
+def slow_notices(text):
+    """Labels of a text: templates in spans of near diagonals that cover enough words, the best of those that overlap."""
+    words, found = slow_words(text), []
+    for number, (label, phrase) in enumerate(licenses.BASE_TEMPLATES + licenses.NOTICE_TEMPLATES):
+        own, diagonals = phrase.split(), collections.defaultdict(set)
+        for at in range(len(own) - 1):
+            for place in range(len(words) - 1):
+                if words[place : place + 2] == own[at : at + 2]:
+                    diagonals[place - at].add(at)
+        spans = []
+        for d in sorted(diagonals):
+            if spans and d - spans[-1][-1] <= licenses.MAX_SHIFT:
+                spans[-1].append(d)
+            else:
+                spans.append([d])
+        for span in spans:
+            exact = any(len(diagonals[d]) == len(own) - 1 for d in span)
+            covered = len({at + k for d in span for at in diagonals[d] for k in (0, 1)}) / len(own)
+            lo, hi = min(d + min(diagonals[d]) for d in span), max(d + max(diagonals[d]) for d in span)
+            if number < len(licenses.BASE_TEMPLATES):
+                if exact:
+                    found.append((lo, hi, number, label, 2.0))
+            elif covered >= licenses.MIN_COVERAGE and (exact or hi - lo + 2 <= 1.5 * (len(own) + 1)):
+                found.append((lo, hi, number, label, covered))
+    labels = {f[3] for f in found if f[4] == 2.0}
+    group, reach = [], -1
+    for f in [*sorted(f for f in found if f[4] != 2.0), (10**9, 0, 0, "", 0.0)]:
+        if f[0] > reach and group:
+            labels |= {g[3] for g in group if g[4] == max(x[4] for x in group)}
+            group = []
+        group.append(f)
+        reach = max(reach, f[1] + 1)
+    return sorted(labels)
+
+
+def test_notices_equal_brute_force(spark):
+    rng, texts_ = random.Random(31), []
+    phrases = [p.split() for _, p in licenses.BASE_TEMPLATES + licenses.NOTICE_TEMPLATES]
+    for _ in range(150):
+        out = []
+        for _ in range(rng.randrange(4)):
+            w = list(rng.choice(phrases))
+            for _ in range(rng.randrange(4)):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randrange(3)] = [rng.choice(["odd", "the", "license", "2", "under"])] * rng.randrange(2)
+                w = w or ["x"]
+            out += w + ["filler"] * rng.randrange(3)
+        texts_.append(" ".join(out))
+    texts_ += ["Licensed under CC BY-SA 3.0", "Licensed under CC BY 4.0", "licensed under the Apple License, Version 2.0", "licensed under the GNU General Public License", "word " * 5000 + "released under the MIT license"]
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()}
+    assert got == {i: slow_notices(t) for i, t in enumerate(texts_)}
+    assert [got[len(texts_) - k] for k in (5, 4, 3, 2, 1)] == [["cc-by", "cc-by-sa"], ["cc-by"], ["apache-2.0"], ["gpl"], ["mit"]]
+
+
 def test_automaton_equals_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -492,6 +546,69 @@ def test_languages(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def slow_mixture(text, table):
+    """Proportions by the same rule, with dictionaries and plain sums."""
+    grams = collections.Counter(langid.trigrams(text).tolist())
+    k = table.shape[1]
+
+    def climb(chosen, share):
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * len(chosen)
+            for g, n in grams.items():
+                parts = [s * table[g, c] for s, c in zip(share, chosen, strict=True)]
+                for i, x in enumerate(parts):
+                    new[i] += n * x / sum(parts)
+            share = [x / sum(grams.values()) for x in new]
+        return share, sum(n * math.log(sum(s * table[g, c] for s, c in zip(share, chosen, strict=True))) for g, n in grams.items())
+
+    first, _ = climb(range(k), [1 / k] * k)
+    order = sorted(range(k), key=lambda c: -first[c])
+    best, value = [1.0], sum(n * math.log(table[g, order[0]]) for g, n in grams.items())
+    for size in range(2, k + 1):
+        chosen = order[:size]
+        share, told = climb(chosen, [first[c] / sum(first[x] for x in chosen) for c in chosen])
+        told -= (size - 1) * math.log(sum(grams.values()))
+        if told <= value:
+            break
+        best, value = share, told
+    out = [0.0] * k
+    for c, s in zip(order, best, strict=False):
+        out[c] = s
+    return out
+
+
+def test_mixtures_equal_brute_force(spark):
+    rng = random.Random(32)
+    parts = {"aa": ["ka", "lo", "mi"], "bb": ["str", "ung", "ei"], "cc": ["ñue", "ción", "ar"], "dd": ["ka", "str", "ar"]}
+    text = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, text(k, 15), k) for i, k in enumerate(rng.choice(sorted(parts)) for _ in range(120))]
+    languages, table = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tried = [text("aa", 60), text("aa", 100) + " " + text("bb", 3), text("bb", 20) + " " + text("cc", 20) + " " + text("dd", 20), "word " * 20_000, "ka"]
+    for t in [*tried, *tried]:
+        assert langid.mixture(t, table) == pytest.approx(slow_mixture(t, table), abs=1e-6)
+    small = langid.mixture(tried[1], table)
+    assert 0 < small[languages.index("bb")] < 0.2
+
+
+def slow_cosine_hash(image):
+    """The same hash with one cosine a frequency and a sample."""
+    image = np.repeat(image, -(-32 // len(image)), axis=0) if len(image) < 32 else image
+    side = 32
+    ys, xs = [len(image) * k // side for k in range(side + 1)], [image.shape[1] * k // side for k in range(side + 1)]
+    small = [[image[ys[i] : ys[i + 1], xs[j] : xs[j + 1]].astype(int).sum() / (ys[i + 1] - ys[i]) for j in range(side)] for i in range(side)]
+    low = [round(2 / side * sum(small[y][x] * math.cos(math.pi * (2 * y + 1) * v / (2 * side)) * math.cos(math.pi * (2 * x + 1) * u / (2 * side)) for y in range(side) for x in range(side)), 6) for v in range(8) for u in range(8)]
+    low[0] = 0
+    middle = sorted(low[1:])[31]
+    return sum(1 << (63 - k) for k, v in enumerate(low) if v > middle)
+
+
+def test_cosine_hash_equals_brute_force():
+    rng = np.random.default_rng(2)
+    for rows in (1, 5, 33, 80):
+        image = rng.integers(0, 256, (rows, 64), dtype=np.uint8)
+        assert media.cosine_hash(image) == slow_cosine_hash(image)
+
+
 def test_media(docs, rows, empty):
     got = collections.defaultdict(list)
     for r in media.media_columns(docs).collect():
