@@ -32,7 +32,7 @@ from strandlake.llm.common import masked, slices, small_or_shuffled, stored, tok
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Rows of the sample that tells frequent shingles, and how many of those are ordered last.
-SAMPLE_ROWS, FREQUENT = 10_000, 300_000
+SAMPLE_ROWS, FREQUENT = 40_000, 500_000
 #: Sets under one shingle up to which all pairs are compared, and leaders of a larger group.
 DIRECT_GROUP, LEADERS = 64, 4
 #: Hash values by which a set's shingles are counted.
@@ -138,12 +138,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
 
 
-def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) that the sets' counts by hash let be similar."""
-    one = lambda k: sets.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("bins").alias(f"bins{k}"))
-    most = F.aggregate(F.zip_with("binsa", "binsb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    least = SIMILARITY / (1 + SIMILARITY) * (F.col("na") + F.col("nb"))
-    return pairs.join(one("a"), "a").join(one("b"), "b").where(most >= least - 1e-6).select(*pairs.columns)
+def _counts_fit(n_a: Column, n_b: Column, bins_a: Column, bins_b: Column) -> Column:
+    """Whether two sets' counts by hash let them be similar."""
+    most = F.aggregate(F.zip_with(bins_a, bins_b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return most >= SIMILARITY / (1 + SIMILARITY) * (n_a + n_b) - 1e-6
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -162,10 +160,16 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
 
     few = shared.where(F.col("size") <= DIRECT_GROUP)
     met = one(few, "a").join(one(few, "b"), "key").where(F.col("row_a") < F.col("row_b")).where(fit)
-    cold = stored(_possible(stored(met.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(F.count("*").alias("shared"))), sets))
+    pairs = stored(met.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(F.count("*").alias("shared")))
+    counts = lambda k: sets.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(f"bins_{k}"))
+    like = _counts_fit(F.col("n_a"), F.col("n_b"), F.col("bins_a"), F.col("bins_b"))
+    cold = stored(pairs.join(counts("a"), "a").join(counts("b"), "b").where(like).select("a", "b", "shared"))
     partner = F.max_by("other", F.struct("shared", -F.col("other"))).alias("other")
     best = cold.select("a", F.col("b").alias("other"), "shared").union(cold.select("b", "a", "shared")).groupBy("a").agg(partner)
-    hot = stored(shared.where(F.col("size") > DIRECT_GROUP).select("key", "row", "n"))
+    # of shingles that the same rows share, one is kept
+    crowd = shared.where(F.col("size") > DIRECT_GROUP)
+    same = crowd.groupBy("key").agg(F.count("*").alias("rows"), F.min("row").alias("first"), F.max("row").alias("last"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
+    hot = stored(crowd.join(small_or_shuffled(same.groupBy("rows", "first", "last", "x", "y").agg(F.min("key").alias("key")).select("key")), "key").select("key", "row", "n"))
     leader = [F.min_by("row", F.xxhash64("row", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
     led = stored(hot.join(small_or_shuffled(hot.groupBy("key").agg(*leader)), "key"))
     stars = led.select(F.col("row").alias("a"), F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("other")).where("a <> other")
@@ -189,13 +193,13 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         # Of each group only members outside its largest component are compared, with all members of other components.
         parts = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
         main = parts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-        marked = placed.join(small_or_shuffled(main), "key")
+        marked = placed.join(small_or_shuffled(main), "key").join(sets.select("row", "bins"), "row")
         near = reduce(lambda x, k: x & (F.abs(F.col(f"d{k}_a") - F.col(f"d{k}_b")) <= 1 - SIMILARITY + 1e-9), range(LEADERS), F.col("label_a") != F.col("label_b"))
-        columns = ["label", *[f"d{k}" for k in range(LEADERS)]]
-        more = one(marked.where("label <> main"), "a", *columns).join(one(marked, "b", *columns), "key").where(near & fit)
+        columns = ["label", "bins", *[f"d{k}" for k in range(LEADERS)]]
+        more = one(marked.where("label <> main"), "a", *columns).join(one(marked, "b", *columns), "key").where(near & fit).where(like)
         more = more.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
-        rest = rest.union(_possible(more, sets)).distinct()
-    return linked.union(_verified(rest, whole).where(similar).select("a", "b")).distinct()
+        rest = rest.union(more).distinct()
+    return stored(linked.union(_verified(stored(rest), whole).where(similar).select("a", "b")).distinct())
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:

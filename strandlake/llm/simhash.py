@@ -112,7 +112,8 @@ def components(edges: DataFrame) -> DataFrame:
     shorten by half or more a round; each round's labels are checkpointed in the shared folder.
     """
     shared_dir(edges.sparkSession)
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")))
+    once = stored(edges.select("a", "b"))
+    both = once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).checkpoint()
     while True:
         heard = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
