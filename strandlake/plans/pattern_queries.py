@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.functions import columns as C
 from strandlake.functions import refdata
 from strandlake.operators import annotate, codons, patterns, primers, restriction
 from strandlake.plans.registry import out, register
@@ -70,7 +71,12 @@ def sites_sql() -> str:
 
 SITES = sites_sql()
 _S = lambda t: restriction.restriction_sites(t.dna, refdata.enzymes(t.spark))
-register("re_1_enzymes", lambda t: out(refdata.enzymes(t.spark).join(t.nation.select(F.col("n_nationkey").alias("at")), F.lit(True)).where("at = 0").drop("at")), f"SELECT * REPLACE (CAST(cut AS BIGINT) AS cut, CAST(cut_complement AS BIGINT) AS cut_complement) FROM {ENZYMES} WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 0)")
+_HITS = lambda t: _S(t).groupBy("name", "site").agg(F.count("*").alias("sites"), F.count_distinct("seq_id").alias("sequences"))
+register(
+    "re_1_enzymes", lambda t: out(refdata.enzymes(t.spark).join(_HITS(t), ["name", "site"], "left").fillna(0, ["sites", "sequences"])),
+    f"""SELECT e.* REPLACE (CAST(e.cut AS BIGINT) AS cut, CAST(e.cut_complement AS BIGINT) AS cut_complement), coalesce(n.sites, 0) AS sites, coalesce(n.sequences, 0) AS sequences
+        FROM {ENZYMES} e LEFT JOIN (SELECT name, site, count(*) AS sites, count(DISTINCT seq_id) AS sequences FROM {SITES} GROUP BY ALL) n ON n.name = e.name AND n.site = e.site""",
+)
 register("re_2_restriction_sites", lambda t: out(_S(t)), f'SELECT seq_id, name, site, CAST(cut AS BIGINT) AS cut, "group", pos FROM {SITES}')
 FRAGMENTS = f"""(SELECT seq_id, spot AS start, nxt AS "end", nxt - spot AS size FROM (SELECT seq_id, spot, lead(spot) OVER (PARTITION BY seq_id ORDER BY spot) AS nxt FROM (
     SELECT seq_id, 0 AS spot FROM $dna UNION SELECT seq_id, length(sequence) FROM $dna UNION SELECT seq_id, pos + least(cut, length(site)) FROM {SITES})) WHERE nxt > spot)"""
@@ -151,19 +157,23 @@ register(
         u.f = max(u.f) OVER (PARTITION BY q.seq_id, u.aa) AS is_optimal FROM {_UP} q CROSS JOIN {USAGE} u LEFT JOIN n ON n.seq_id = q.seq_id AND n.codon = u.codon LEFT JOIN tot ON tot.seq_id = q.seq_id""",
 )
 ALL_USAGE = refdata.values_sql(refdata.usage_rows(), "organism, codon, aa, per_thousand, codon_order")
+_SEEN = lambda t: t.dna.select(F.explode(C.codons(F.col("sequence"))).alias("codon")).groupBy("codon").agg(F.count("*").alias("seen"))
 register(
-    "co_5_usage_tables", lambda t: out(refdata.usage_tables(t.spark).join(F.broadcast(t.region.select(F.col("r_regionkey").alias("at")).where("at = 0")), F.lit(True)).drop("at")),
-    f"SELECT organism, codon, aa, round(CAST(per_thousand AS DOUBLE), 6) AS per_thousand, CAST(codon_order AS BIGINT) AS codon_order FROM {ALL_USAGE} WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = 0)",
+    "co_5_usage_tables", lambda t: out(refdata.usage_tables(t.spark).join(_SEEN(t), "codon", "left").fillna(0, ["seen"])),
+    f"""SELECT organism, u.codon, aa, round(CAST(per_thousand AS DOUBLE), 6) AS per_thousand, CAST(codon_order AS BIGINT) AS codon_order, coalesce(seen, 0) AS seen FROM {ALL_USAGE} u
+        LEFT JOIN (SELECT codon, count(*) AS seen FROM (SELECT unnest(list_transform(range(0, length(sequence) - 2, 3), lambda p: substr(sequence, (p + 1)::int, 3))) AS codon FROM $dna) GROUP BY codon) c ON c.codon = u.codon""",
 )
 
 # ---- annotation
 LIBRARY = refdata.values_sql([r for r in refdata.template_rows()], "name, type, color, template")
+FOUND = f"""(SELECT DISTINCT seq_id, name, type, CASE WHEN strand = '+' THEN spot ELSE length(s) - spot - length(template) END AS start, CASE WHEN strand = '+' THEN spot ELSE length(s) - spot - length(template) END + length(template) AS "end", strand, color, 'auto' AS source
+        FROM (SELECT *, unnest(range(0, length(s) - length(template) + 1)) AS spot FROM (SELECT seq_id, '+' AS strand, sequence AS s FROM $planted UNION ALL SELECT seq_id, '-', reverse(translate(sequence, 'ATCG', 'TAGC')) FROM $planted) JOIN {LIBRARY} l ON contains(s, template)) WHERE substr(s, (spot + 1)::int, length(template)) = template)"""
+_A = lambda t: annotate.auto_annotate(t.planted, refdata.feature_library(t.spark))
+register("an_1_auto_annotate", lambda t: out(_A(t)), f"SELECT * FROM {FOUND}")
 register(
-    "an_1_auto_annotate", lambda t: out(annotate.auto_annotate(t.planted, refdata.feature_library(t.spark))),
-    f"""SELECT DISTINCT seq_id, name, type, CASE WHEN strand = '+' THEN spot ELSE length(s) - spot - length(template) END AS start, CASE WHEN strand = '+' THEN spot ELSE length(s) - spot - length(template) END + length(template) AS "end", strand, color, 'auto' AS source
-        FROM (SELECT *, unnest(range(0, length(s) - length(template) + 1)) AS spot FROM (SELECT seq_id, '+' AS strand, sequence AS s FROM $planted UNION ALL SELECT seq_id, '-', reverse(translate(sequence, 'ATCG', 'TAGC')) FROM $planted) JOIN {LIBRARY} l ON contains(s, template)) WHERE substr(s, (spot + 1)::int, length(template)) = template""",
+    "an_2_feature_library", lambda t: out(refdata.feature_library(t.spark).join(_A(t).groupBy("name").agg(F.count("*").alias("found")), "name", "left").fillna(0, ["found"])),
+    f"SELECT l.name, type, color, template AS sequence, coalesce(found, 0) AS found FROM {LIBRARY} l LEFT JOIN (SELECT name, count(*) AS found FROM {FOUND} GROUP BY name) n ON n.name = l.name",
 )
-register("an_2_feature_library", lambda t: out(refdata.feature_library(t.spark).join(F.broadcast(t.region.select(F.col("r_regionkey").alias("at")).where("at = 0")), F.lit(True)).drop("at")), f"SELECT name, type, color, template AS sequence FROM {LIBRARY} WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = 0)")
 _ROWS = "CASE WHEN l_linenumber = 1 THEN NULL ELSE concat('f', CAST(l_orderkey AS STRING)) END AS name"
 register(
     "an_3_add_annotations",

@@ -122,13 +122,7 @@ register("wn_1_window_gc", lambda t: out(windows.window_gc(t.dna, W)), window_sq
 register("wn_2_window_at_skew", lambda t: out(windows.window_at_skew(t.dna, W)), window_sql("$dna", "CASE WHEN a + t > 0 THEN (a - t) * 1.0 / (a + t) ELSE 0 END", {"a": _is("A"), "t": _is("T")}))
 register("wn_3_window_gc_skew", lambda t: out(windows.window_gc_skew(t.dna, W)), window_sql("$dna", "CASE WHEN g + c > 0 THEN (g - c) * 1.0 / (g + c) ELSE 0 END", {"g": _is("G"), "c": _is("C")}))
 register(
-    "wn_4_window_complexity", lambda t: out(windows.window_complexity(t.short, W)),
-    f"""SELECT seq_id, pos, round(count(DISTINCT w) * 1.0 / {W}, 6) AS value FROM (
-        SELECT seq_id, pos, substr(s, (pos + i + 1)::int, k::int) AS w FROM (SELECT seq_id, s, pos, k, unnest(range(0, {W} - k + 1)) AS i FROM (
-        SELECT seq_id, s, pos, unnest([1, 2, 3]) AS k FROM (SELECT seq_id, sequence AS s, unnest(range(0, length(sequence) - {W} + 1)) AS pos FROM $short)))) GROUP BY ALL""",
-)
-register(
-    "wn_4_window_complexity_documents", lambda t: out(windows.window_complexity(t.dna, W)),
+    "wn_4_window_complexity", lambda t: out(windows.window_complexity(t.dna, W)),
     f"""SELECT seq_id, pos, round(count(DISTINCT w) * 1.0 / {W}, 6) AS value FROM (
         SELECT seq_id, pos, substr(s, (pos + i + 1)::int, k::int) AS w FROM (SELECT seq_id, s, pos, k, unnest(range(0, {W} - k + 1)) AS i FROM (
         SELECT seq_id, s, pos, unnest([1, 2, 3]) AS k FROM (SELECT seq_id, sequence AS s, unnest(range(0, length(sequence) - {W} + 1)) AS pos FROM $dna)))) GROUP BY ALL""",

@@ -22,19 +22,18 @@ register("io_1_read_fasta", lambda t: out(sequences.read_fasta(t.spark, _fasta(t
 
 def _genbank(t: Tables) -> str:
     path = f"{t.shared}/x.gb"
-    two = t.dna.where("length(sequence) > 60")
     text = F.concat(F.lit("LOCUS       "), "name", F.lit("  DNA\nDEFINITION  from "), "organism", F.lit(" http://x.org//y\nFEATURES             Location/Qualifiers\n     gene            complement(5..20)\n                     /gene=\"g1\"\n     CDS             join(1..4,8..12)\n                     /product=\"lost\"\n     promoter        30..45\nORIGIN\n        1 "), F.lower("sequence"), F.lit("\n//"))
-    two.select(text.alias("value")).write.text(path)
+    t.dna.select(text.alias("value")).write.text(path)
     return path
 
 
 register(
     "io_2_read_genbank", lambda t: out(sequences.read_genbank(t.spark, _genbank(t)).select("name", "description", "sequence", F.size("features").alias("n_features"), F.get("features", 0)["qualifiers"]["gene"].alias("gene"))),
-    "SELECT name, 'from ' || organism || ' http://x.org//y' AS description, sequence, CAST(2 AS BIGINT) AS n_features, 'g1' AS gene FROM $dna WHERE length(sequence) > 60",
+    "SELECT name, 'from ' || organism || ' http://x.org//y' AS description, sequence, CAST(2 AS BIGINT) AS n_features, 'g1' AS gene FROM $dna WHERE sequence <> ''",
 )
 register(
     "io_2_genbank_features", lambda t: out(sequences.genbank_features(sequences.read_genbank(t.spark, _genbank(t))), "name", "type", "start", "end", "strand"),
-    """SELECT name, 'gene' AS type, CAST(4 AS BIGINT) AS start, CAST(20 AS BIGINT) AS "end", '-' AS strand FROM $dna WHERE length(sequence) > 60 UNION ALL SELECT name, 'promoter', 29, 45, '+' FROM $dna WHERE length(sequence) > 60""",
+    """SELECT name, 'gene' AS type, CAST(4 AS BIGINT) AS start, CAST(20 AS BIGINT) AS "end", '-' AS strand FROM $dna WHERE sequence <> '' UNION ALL SELECT name, 'promoter', 29, 45, '+' FROM $dna WHERE sequence <> ''""",
 )
 
 
@@ -45,11 +44,11 @@ def _raw(t: Tables) -> str:
 
 
 register("io_3_read_raw", lambda t: out(sequences.read_raw(t.spark, f"{_raw(t)}/*"), "type", "sequence"), "SELECT CASE WHEN length(sequence) = 0 THEN 'unknown' ELSE 'dna' END AS type, sequence FROM $short")
-register("io_4_read_sequences", lambda t: out(sequences.read_sequences(t.spark, [_fasta(t, t.dna), _genbank(t)]), "name", "format", "sequence"), "SELECT name, 'fasta' AS format, sequence FROM $dna UNION ALL SELECT name, 'genbank', sequence FROM $dna WHERE length(sequence) > 60")
+register("io_4_read_sequences", lambda t: out(sequences.read_sequences(t.spark, [_fasta(t, t.dna), _genbank(t)]), "name", "format", "sequence"), "SELECT name, 'fasta' AS format, sequence FROM $dna UNION ALL SELECT name, 'genbank', sequence FROM $dna WHERE sequence <> ''")
 
 
 def _stream(t: Tables) -> DataFrame:
-    annotate_stream(t.spark, _fasta(t, t.planted.withColumns({"name": F.concat(F.lit("p"), F.col("seq_id").cast("string")), "organism": F.lit("x")})), f"{t.shared}/out", f"{t.shared}/state").awaitTermination()
+    annotate_stream(t.spark, _fasta(t, t.planted.withColumns({"name": F.concat(F.lit("p"), F.col("seq_id").cast("string")), "organism": F.lit("x")})), f"{t.shared}/out", f"{t.shared}/state", kind="fasta").awaitTermination()
     records, features = t.spark.read.parquet(f"{t.shared}/out/sequences"), t.spark.read.parquet(f"{t.shared}/out/features")
     return records.join(features.select("seq_id", F.col("name").alias("feature"), "start", "end", "strand"), "seq_id").select(F.col("name").alias("record"), "feature", "start", "end", "strand")
 
@@ -121,8 +120,9 @@ def _pdb(t: Tables) -> str:
 
 
 register(
-    "io_13_read_structures", lambda t: out(structures.read_structures(t.spark, _pdb(t)).where("resn <> 'HOH'"), "structure_id", "record", "atom", "chain", "resi", "x", "y", "z"),
-    """SELECT structure_id, 'ATOM' AS record, 'CA' AS atom, chain, CAST(resi AS BIGINT) AS resi, x, y, z FROM $residues UNION ALL SELECT structure_id, 'HETATM', 'C1', 'L', 1, x, y, z FROM $ligands""",
+    "io_13_read_structures", lambda t: out(structures.read_structures(t.spark, _pdb(t)), "structure_id", "record", "atom", "chain", "resi", "x", "y", "z"),
+    """SELECT structure_id, 'ATOM' AS record, 'CA' AS atom, chain, CAST(resi AS BIGINT) AS resi, x, y, z FROM $residues UNION ALL SELECT structure_id, 'HETATM', 'C1', 'L', 1, x, y, z FROM $ligands
+        UNION ALL SELECT structure_id, 'HETATM', 'O', 'W', resi, x, y, z FROM $residues""",
 )
 register(
     "st_1_structure_summary", lambda t: out(structure.structure_summary(structures.structure_lines(t.spark, _pdb(t)))),

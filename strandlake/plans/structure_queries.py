@@ -77,9 +77,9 @@ register(
 # ---- predictions
 register("mt_1_top_sites", lambda t: out(metrics.top_sites(t.scores, 0.5, 10)), f"SELECT grp, id, {r6('y_proba', 'y_proba')}, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY y_proba DESC, id) AS rank FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS total FROM $scores) WHERE y_proba >= 0.5) WHERE rank <= 10")
 register(
-    "mt_2_pocket_clusters", lambda t: out(metrics.pocket_clusters(t.residues.where("x > 0"))),
+    "mt_2_pocket_clusters", lambda t: out(metrics.pocket_clusters(t.residues)),
     """SELECT structure_id, CAST(pocket AS BIGINT) AS pocket, chain, count(*) AS size, CAST(min(resi) AS BIGINT) AS first, CAST(max(resi) AS BIGINT) AS last FROM (SELECT *, sum(new) OVER (PARTITION BY structure_id ORDER BY resi, chain) AS pocket FROM (
-        SELECT *, CASE WHEN resi - lag(resi) OVER (PARTITION BY structure_id ORDER BY resi, chain) <= 6 THEN 0 ELSE 1 END AS new FROM $residues WHERE x > 0)) GROUP BY ALL""",
+        SELECT *, CASE WHEN resi - lag(resi) OVER (PARTITION BY structure_id ORDER BY resi, chain) <= 6 THEN 0 ELSE 1 END AS new FROM $residues)) GROUP BY ALL""",
 )
 register("mt_3_confidence_scale", lambda t: out(metrics.confidence_scale(t.scores)), f"SELECT grp, id, {r6('(y_proba - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 0.01 END', 'scaled')} FROM (SELECT *, min(y_proba) OVER (PARTITION BY grp) AS lo, max(y_proba) OVER (PARTITION BY grp) AS hi FROM $scores)")
 

@@ -92,10 +92,15 @@ def genbank_features(records: DataFrame) -> DataFrame:
     return records.select(F.col("name"), F.explode("features").alias("f")).select("name", "f.*", F.lit("file").alias("source"))
 
 
+def raw_records(files: DataFrame) -> DataFrame:
+    """(name, description, type, sequence, format) of rows that are whole files: the text without white space."""
+    rows = files.select(F.col("_metadata.file_name").alias("name"), F.regexp_replace("value", r"\s", "").alias("sequence"))
+    return rows.select("name", F.lit("").alias("description"), C.detect_type(F.col("sequence")).alias("type"), "sequence", F.lit("raw").alias("format"))
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: the whole text without white space, named after the file."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.regexp_replace("value", r"\s", "").alias("sequence"))
-    return rows.select("name", F.lit("").alias("description"), C.detect_type(F.col("sequence")).alias("type"), "sequence", F.lit("raw").alias("format"))
+    return raw_records(spark.read.text(path, wholetext=True))
 
 
 def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -209,3 +214,15 @@ def build_collection(rows: DataFrame) -> DataFrame:
 def annotated(seqs: DataFrame) -> DataFrame:
     """Features of the built-in templates in seqs."""
     return auto_annotate(seqs, refdata.feature_library(seqs.sparkSession))
+
+
+def import_sequences(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(records with seq_id, features): all files, with the features that GenBank files give and those of the built-in
+    templates that they do not."""
+    records = read_sequences(spark, paths).withColumn("seq_id", F.xxhash64("name", "sequence"))
+    given = ["seq_id", "name", "type", "start", "end", "strand"]
+    if "features" not in records.columns:
+        return records, annotated(records)
+    own = records.select("seq_id", F.explode("features").alias("f")).select("seq_id", F.coalesce(F.col("f.qualifiers")["gene"], F.col("f.qualifiers")["product"], "f.type").alias("name"), "f.type", "f.start", "f.end", "f.strand")
+    found = auto_annotate(records, refdata.feature_library(spark), own)
+    return records, own.select(*given, F.lit("file").alias("source")).unionByName(found, allowMissingColumns=True)

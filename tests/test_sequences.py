@@ -186,3 +186,165 @@ def test_isolated_residue_gets_a_loop(spark):
 def test_types(seqs):
     got = values(seqs("", "ACGTACGT", "ACGUACGU", "MKVLLDEF", "12 *").select("seq_id", C.detect_type(F.col("sequence")).alias("type")), "type")
     assert got == ["unknown", "dna", "rna", "protein", "unknown"]
+
+
+def slow_alignment(a, b):
+    """Identity of the global alignment that goes back by the diagonal, then up, then left."""
+    h = [[-2 * (i + j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    same = lambda i, j: 2 if a[i - 1] == b[j - 1] else -1
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i][j] = max(h[i - 1][j - 1] + same(i, j), h[i - 1][j] - 2, h[i][j - 1] - 2)
+    i, j, x, y = len(a), len(b), "", ""
+    while i or j:
+        if i and j and h[i][j] == h[i - 1][j - 1] + same(i, j):
+            i, j, x, y = i - 1, j - 1, a[i - 1] + x, b[j - 1] + y
+        elif i and h[i][j] == h[i - 1][j] - 2:
+            i, x, y = i - 1, a[i - 1] + x, "-" + y
+        else:
+            j, x, y = j - 1, "-" + x, b[j - 1] + y
+    return x, y
+
+
+def made_group(n, seed):
+    rng = random.Random(seed)
+    root = "".join(rng.choice("ACGT") for _ in range(30))
+    out = []
+    for _ in range(n):
+        s = list(root)
+        for _ in range(rng.randrange(9)):
+            k = rng.randrange(len(s))
+            s[k : k + rng.randrange(2)] = rng.choice(["A", "", "GT", "C"])
+        out.append("".join(s))
+    return out
+
+
+def test_distances_and_star_alignment(spark):
+    texts = made_group(7, 11)
+    own = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "grp int, seq_id long, sequence string")
+    pairs = {(i, j): slow_alignment(texts[i], texts[j]) for i in range(7) for j in range(7)}
+    for r in align.pairwise_distances(own).collect():
+        x, y = pairs[r.id_a, r.id_b]
+        both = [(p, q) for p, q in zip(x, y, strict=True) if p != "-" and q != "-"]
+        assert r.distance == pytest.approx(1 - sum(p == q for p, q in both) / len(both))
+    cells = {}
+    for j in range(7):
+        ref = k = 0
+        for p, q in zip(*pairs[0, j], strict=True):
+            ref, k = (ref + 1, 0) if p != "-" else (ref, k + 1)
+            cells[j, ref, k] = q
+    columns = sorted({c[1:] for c in cells})
+    want = {j: "".join(cells.get((j, *c), "-") for c in columns) for j in range(7)}
+    assert {r.seq_id: r.aligned for r in align.star_alignment(own, 0).collect()} == want
+
+
+def slow_tree(names, d):
+    """Splits of the leaves, with their lengths, by neighbour joining on a dictionary of distances."""
+    live, d, out = [(frozenset([x])) for x in names], {(frozenset([a]), frozenset([b])): v for (a, b), v in d.items()}, {}
+    d |= {(b, a): v for (a, b), v in d.items()}
+    while len(live) > 2:
+        r = {x: sum(d[x, y] for y in live if y != x) for x in live}
+        q, i, j = min(((len(live) - 2) * d[x, y] - r[x] - r[y], i, j) for i, x in enumerate(live) for j, y in enumerate(live) if i < j)
+        x, y = live[i], live[j]
+        left = d[x, y] / 2 + (r[x] - r[y]) / (2 * (len(live) - 2))
+        out[x], out[y] = max(0.0, left), max(0.0, d[x, y] - left)
+        new = x | y
+        for z in live:
+            if z not in (x, y):
+                d[new, z] = d[z, new] = (d[x, z] + d[y, z] - d[x, y]) / 2
+        live = [z for z in live if z not in (x, y)] + [new]
+    out[live[0]] = out[live[1]] = d[live[0], live[1]] / 2
+    return out
+
+
+def test_neighbor_joining_and_its_text(spark):
+    rng = random.Random(12)
+    d = {(a, b): round(rng.uniform(0.1, 1), 3) for a in range(6) for b in range(6) if a < b}
+    nodes = trees.neighbor_joining(spark.createDataFrame([(1, a, b, v) for (a, b), v in d.items()], "grp long, id_a long, id_b long, distance double"))
+    rows = {r.node_id: r for r in nodes.collect()}
+    leaves = lambda k: frozenset([int(rows[k].name)]) if rows[k].name else frozenset().union(*(leaves(c) for c in rows if rows[c].parent_id == k))
+    got = {leaves(k): r.length for k, r in rows.items() if r.parent_id is not None}
+    want = slow_tree(list(range(6)), d)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    again = trees.read_newick(trees.to_newick(nodes).select("tree_id", "newick"))
+    back = {r.node_id: r for r in again.collect()}
+    leaves2 = lambda k: frozenset([int(back[k].name)]) if back[k].name else frozenset().union(*(leaves2(c) for c in back if back[c].parent_id == k))
+    assert {leaves2(k): r.length for k, r in back.items() if r.parent_id is not None} == {k: pytest.approx(v, abs=1e-4) for k, v in want.items()}
+
+
+def test_a_circle_of_parents_is_an_error(spark):
+    with pytest.raises(ValueError):
+        trees.tree_summary(spark.createDataFrame([(1, 1, 2, 1.0), (1, 2, 1, 1.0), (1, 3, 1, 1.0)], "tree_id long, node_id long, parent_id long, length double"))
+
+
+def test_ranks_of_similar_sequences(spark):
+    queries, targets = made_group(4, 13), made_group(25, 13)
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(queries)], "seq_id long, sequence string")
+    t = spark.createDataFrame([(100 + i, t) for i, t in enumerate(targets)], "seq_id long, sequence string")
+    words = lambda s: {s[k : k + 8] for k in range(len(s) - 7)}
+    scores, want = align.substitution(), {}
+    for i, a in enumerate(queries):
+        found = [(-align.align(a, b, scores, True)[0], 100 + j) for j, b in enumerate(targets) if len(words(a) & words(b)) >= 2]
+        want |= {(i, j): k + 1 for k, (_, j) in enumerate(sorted(found)[:5])}
+    assert {(r.id_a, r.id_b): r["rank"] for r in align.search_similar(q, t, k=8, top=5).collect()} == want and len(want) > 10
+
+
+@pytest.mark.parametrize("deal", [1, 1000])
+def test_candidates_do_not_depend_on_how_hot_words_are_dealt(spark, monkeypatch, deal):
+    monkeypatch.setattr(align, "HOT_WORD", deal)
+    texts = made_group(20, 14)
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq_id long, sequence string")
+    words = [{s[k : k + 6] for k in range(len(s) - 5)} for s in texts]
+    want = {(i, j, len(words[i] & words[j])) for i in range(20) for j in range(20) if i != j and len(words[i] & words[j]) >= 2}
+    assert {tuple(r) for r in align.candidate_pairs(own, own, k=6).collect()} == want
+
+
+@pytest.mark.parametrize("window, threshold", [(10, 70.0), (6, 100.0), (4, 25.0)])
+def test_dot_plot_finds_every_window(spark, window, threshold):
+    texts = made_group(4, 15)
+    pairs = [(i, j, texts[i], texts[j]) for i in range(4) for j in range(i)]
+    want = set()
+    for a, b, x, y in pairs:
+        for i in range(len(x) - window + 1):
+            for j in range(len(y) - window + 1):
+                n = sum(p == q for p, q in zip(x[i : i + window], y[j : j + window], strict=True))
+                if n >= -(-window * threshold // 100):
+                    want.add((a, b, i, j, n))
+    frame = spark.createDataFrame(pairs, "id_a long, id_b long, seq_a string, seq_b string")
+    assert {tuple(r) for r in align.dot_plot(frame, window, threshold).collect()} == want
+
+
+def test_first_free_tracks(spark):
+    rng = random.Random(16)
+    rows = [(s, a, a + rng.randrange(1, 12), f"f{s}-{k}") for s in range(3) for k in range(40) for a in [rng.randrange(50)]]
+    got = {r.name: r.track for r in annotate.assign_tracks(spark.createDataFrame(rows, "seq_id long, start int, end_pos int, name string")).collect()}
+    for s in range(3):
+        ends = []
+        for _, start, end, name in sorted(r for r in rows if r[0] == s):
+            k = next((i for i, e in enumerate(ends) if e <= start), len(ends))
+            ends[k : k + 1] = [end]
+            assert got[name] == k
+
+
+def test_curves_of_scores_that_all_differ(spark):
+    rng = random.Random(17)
+    rows = [(i, rng.random() ** 3, int(rng.random() < 0.3)) for i in range(5000)]
+    rows += [(9000 + i, 0.5, i % 2) for i in range(300)]
+    counts = metrics.by_score(spark.createDataFrame(rows, "id long, y_proba double, y_true int")).collect()
+    tp = fp = 0.0
+    for r in sorted(counts, key=lambda r: -r.y_proba):
+        tp, fp = tp + r.pos, fp + r.neg
+        assert (r.tp, r.fp) == (tp, fp)
+    assert (tp, fp) == (counts[0].P, counts[0].N) and len(counts) > 4900
+    assert metrics.roc_curve(spark.createDataFrame([], "id long, y_proba double, y_true int")).count() == 0
+
+
+def test_nearest_in_a_growing_grid(spark):
+    rng = random.Random(18)
+    rows = [("a", i, *(rng.gauss(0, 1) * (1 if i % 7 else 40) for _ in range(3))) for i in range(150)] + [("b", 0, 1.0, 2.0, 3.0), ("c", 0, 1.0, 1.0, 1.0), ("c", 1, 1.0, 1.0, 1.0), ("c", 2, 2.0, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "structure_id string, idx int, x double, y double, z double")
+    want = set()
+    for s, i, *p in rows:
+        near = sorted((sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) ** 0.5, j) for t, j, *q in rows if t == s and j != i)
+        want |= {(s, i, j) for _, j in near[:4]}
+    assert {(r.structure_id, r.src, r.dst) for r in structure.knn_edges(points, 4).collect()} == want

@@ -15,14 +15,14 @@ def folder(spark, tmp_path_factory):
 
 
 def test_dot_plot_covers_all_pairs(spark, folder):
-    found = plans.QUERIES["al_8_dot_plot_all_pairs"](spark, folder).select("id_a", "id_b").distinct().collect()
+    found = plans.QUERIES["al_8_dot_plot"](spark, folder).select("id_a", "id_b").distinct().collect()
     assert sorted(map(tuple, found)) == [(1, 6), (1, 11), (2, 7), (6, 11)]
 
 
 def test_consensus_keeps_long_sequences(spark, folder):
-    found = {r.grp: r.consensus for r in plans.QUERIES["al_4_consensus_longest"](spark, folder).collect()}
+    found = {r.grp: r.consensus for r in plans.QUERIES["al_4_consensus"](spark, folder).collect()}
     assert found[2].startswith("ACGT" * 25) and len(found[2]) == 120
 
 
 def test_complexity_runs_over_documents(spark, folder):
-    assert sorted(r.pos for r in plans.QUERIES["wn_4_window_complexity_documents"](spark, folder).collect()) == list(range(21))
+    assert sorted(r.pos for r in plans.QUERIES["wn_4_window_complexity"](spark, folder).collect()) == list(range(21))
