@@ -87,8 +87,11 @@ WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
      x AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS phrase
            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM p))),
      m AS (SELECT doc_id, i, x.k, item FROM x JOIN p ON x.phrase = p.phrase AND x.k = p.k),
-     o AS (SELECT DISTINCT doc_id, item FROM (SELECT doc_id, k, array_to_string(w[i : i + g - 1], ' ') || ' ' || array_to_string(w[i + g + 1 : i + k], ' ') AS phrase
-           FROM (SELECT doc_id, w, k, i, unnest(range(1, k)) AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 1)) AS i FROM (SELECT doc_id, w FROM d) CROSS JOIN (SELECT DISTINCT k FROM p)))) y JOIN p USING (phrase, k)),
+     s AS (SELECT DISTINCT k, phrase, k // 2 AS h, string_split(phrase, ' ') AS q FROM p WHERE k > 1),
+     y AS (SELECT doc_id, k, k // 2 AS h, w[i : i + k] AS v FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 1)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM p WHERE k > 1))),
+     c AS (SELECT doc_id, v, y.k, phrase FROM y JOIN s ON y.k = s.k AND array_to_string(v[1 : y.h], ' ') = array_to_string(q[1 : s.h], ' ')
+           UNION ALL SELECT doc_id, v, y.k, phrase FROM y JOIN s ON y.k = s.k AND array_to_string(v[y.h + 2 : y.k + 1], ' ') = array_to_string(q[s.h + 1 : s.k], ' ')),
+     o AS (SELECT DISTINCT doc_id, item FROM c JOIN p USING (phrase, k) WHERE len(list_filter(range(1, k), lambda g: array_to_string(v[1 : g] || v[g + 2 : k + 1], ' ') = phrase)) > 0),
      e AS (SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, item FROM m UNION SELECT doc_id, item FROM o) GROUP BY doc_id),
      h AS (SELECT doc_id, count(DISTINCT at_word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS at_word FROM m) GROUP BY doc_id),
      t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
