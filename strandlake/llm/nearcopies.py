@@ -2,8 +2,9 @@
 
 Two sets of n and m shingles that are similar by t or more share one of the first n - ceil(t n) + 1 and
 m - ceil(t m) + 1 shingles in any common order of shingles, so equal sets are merged and all others are
-joined on those. The order puts shingles that a bounded sample shows to be frequent last; it decides how
-much is compared, never what is found. Every pair that is met is verified on both whole sets.
+joined on those. The order puts shingles last that a bounded sample shows to be frequent, and behind them those that
+many sets then turn out to share; it decides how much is compared, never what is found. Every pair that is met
+is verified on both whole sets.
 
 Sets are carried to each other only where that can matter. Two sets cannot have more shingles in common than
 their counts over BINS hash values allow, which leaves out most unlike pairs; each set is first compared with the
@@ -31,10 +32,10 @@ from strandlake.llm import simhash
 from strandlake.llm.common import masked, slices, small_or_shuffled, stored, tokens_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Rows of the sample that tells frequent shingles, and how many of those are ordered last.
+#: Rows of the sample that tells frequent shingles, and how many of those, and of shared ones, are ordered last.
 SAMPLE_ROWS, FREQUENT = 40_000, 500_000
 #: Sets under one shingle up to which all pairs are compared, and leaders of a larger group.
-DIRECT_GROUP, LEADERS = 64, 4
+DIRECT_GROUP, LEADERS = 32, 4
 #: Hash values by which a set's shingles are counted.
 BINS = 128
 LOCAL_WORDS = 100_000
@@ -85,10 +86,19 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found[order], n[order]
 
 
-def with_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+def _ranked(found: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order: by their times (0 if not known), then by hash."""
+    rank = np.zeros(len(found), np.int64)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        rank = np.where(known[place] == found, times[place], 0)
+    return found[np.lexsort((found, rank))[: prefix_length(len(found))]]
+
+
+def with_sets(docs: DataFrame, text: str, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """docs plus, of its column text, fp (SimHash of word shingles of the given size), set (the name of the set of
     SHINGLE-word shingles), n (its size), bins (its counts by hash) and prefix (its first shingles in the common order)."""
-    common = docs.sparkSession.sparkContext.broadcast(frequent(docs.select(F.col(text).alias("text"))))
+    common = docs.sparkSession.sparkContext.broadcast(order)
     at = docs.columns.index(text)
     kinds = [("fp", T.LongType()), ("set", T.BinaryType()), ("n", T.LongType()), ("bins", T.ArrayType(T.IntegerType())), ("prefix", T.ArrayType(T.LongType()))]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(k, t) for k, t in kinds]])
@@ -100,15 +110,11 @@ def with_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
             prints, names, sizes, bins, prefixes = [], [], [], [], []
             for text in batch.column(at).to_pylist():
                 found = shingles(text, SHINGLE, hashes)
-                rank = np.zeros(len(found), np.int64)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    rank = np.where(known[place] == found, times[place], 0)
                 prints.append(simhash.fingerprint(text, shingle))
                 names.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(len(found))
                 bins.append(np.bincount(found & (BINS - 1), minlength=BINS))
-                prefixes.append(found[np.lexsort((found, rank))[: prefix_length(len(found))]])
+                prefixes.append(_ranked(found, known, times))
             ends = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
             counts = pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1) * BINS, pa.int32()), pa.array(np.concatenate(bins), pa.int32()))
@@ -131,6 +137,35 @@ def _sets_of(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "row long, shingles array<long>")
 
 
+def _shared_last(sets: DataFrame, texts: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """sets with the prefixes that follow if shingles of over DIRECT_GROUP prefixes go to the end of the order.
+
+    A prefix without any of them stays as it is; the others are made anew from the texts."""
+    keyed = sets.select("row", F.explode("prefix").alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > DIRECT_GROUP).orderBy(F.desc("size"), "key").limit(FREQUENT).toArrow()
+    if not crowded.num_rows:
+        return sets
+    key, size = crowded.column("key").to_numpy(), crowded.column("size").to_numpy()
+    known = np.concatenate([order[0], key])
+    times = np.concatenate([order[1], (1 << 40) + size])
+    by = np.lexsort((times, known))
+    last = np.concatenate([known[by][1:] != known[by][:-1], [True]])
+    shared = sets.sparkSession.sparkContext.broadcast((known[by][last], times[by][last]))
+    schema = "row long, again array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in slices(batches, 1, SLICE_BYTES):
+            found = [_ranked(shingles(t, SHINGLE, hashes), *shared.value) for t in batch.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["row", "again"])
+
+    keys = small_or_shuffled(sets.sparkSession.createDataFrame(crowded.select(["key"])))
+    rows = small_or_shuffled(keyed.join(keys, "key", "left_semi").select("row").distinct())
+    again = stored(texts.join(rows, "row", "left_semi").select("row", "text").mapInArrow(run, schema))
+    return stored(sets.join(again, "row", "left").withColumn("prefix", F.coalesce("again", "prefix")).drop("again"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with the Jaccard similarity of their sets."""
     one = lambda k: sets.select(F.col("row").alias(k), F.col("shingles").alias(f"s{k}"))
@@ -210,7 +245,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
     rows equal in doc_id any one stays. Null texts and texts without words are one group.
     """
     own, place, back = masked(docs)
-    kept = stored(with_sets(own, place["text"], shingle).withColumn("row", F.monotonically_increasing_id()))
+    order = frequent(own.select(F.col(place["text"]).alias("text")))
+    kept = stored(with_sets(own, place["text"], shingle, order).withColumn("row", F.monotonically_increasing_id()))
     doc_id = F.col(place["doc_id"])
     classes = stored(kept.groupBy("set", "fp").agg(F.min("row").alias("first"), F.min(F.struct(doc_id.isNull(), doc_id.alias("doc_id"), "row")).alias("best")).withColumnRenamed("first", "row"))
     prints = simhash.components(simhash.links(stored(classes.select("fp").distinct())))
@@ -221,8 +257,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
         return members.join(least, "of").where("row <> a").select("a", F.col("row").alias("b"))
 
     sets = classes.groupBy("set").agg(F.min("row").alias("row")).drop("set")
-    first = kept.join(sets, "row", "left_semi").select("row", "n", "bins", "prefix")
-    similar = links(first, kept.select("row", F.col(place["text"]).alias("text")))
+    texts = kept.select("row", F.col(place["text"]).alias("text"))
+    first = stored(kept.join(sets, "row", "left_semi").select("row", "n", "bins", "prefix"))
+    similar = links(_shared_last(first, texts, order), texts)
     edges = stars(of_print).union(stars(classes.select("row", F.col("set").alias("of")))).union(similar)
     labels = simhash.components(edges.distinct()).withColumnRenamed("node", "row")
     rooted = classes.join(labels, "row", "left").select(F.coalesce("label", "row").alias("label"), "best")
