@@ -165,8 +165,9 @@ def tile_values(p: np.ndarray, nothing: np.ndarray, set_: np.ndarray) -> np.ndar
     return out[:groups, :groups]
 
 
-def _tile(batch: pa.Table) -> pa.Table:
-    """(lang, a, b, value) of one tile: rows (lang, term, place, p, nothing), those of no term giving the groups."""
+def _tile(batch: pa.Table, tile_groups: int) -> pa.Table:
+    """(lang, a, b, value, seen) of one tile: rows (lang, term, place, p, nothing), those of no term giving the groups;
+    seen are the terms that any of them has."""
     lang, term = batch.column("lang")[0].as_py(), batch.column("term").combine_chunks().dictionary_encode()
     place, p, nothing = (batch.column(c).to_numpy() for c in ("place", "p", "nothing"))
     is_group = np.asarray(term.is_null())
@@ -182,9 +183,9 @@ def _tile(batch: pa.Table) -> pa.Table:
     block = batch.column("a_block")[0].as_py(), batch.column("b_block")[0].as_py()
     a, b = np.nonzero(~np.eye(len(own), dtype=bool))
     if block[0] != block[1]:
-        side = own // TILE_GROUPS
+        side = own // tile_groups
         a, b = a[side[a] != side[b]], b[side[a] != side[b]]
-    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(own[a], pa.int32()), "b": pa.array(own[b], pa.int32()), "value": pa.array(values[a, b], pa.int64())})
+    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(own[a], pa.int32()), "b": pa.array(own[b], pa.int32()), "value": pa.array(values[a, b], pa.int64()), "seen": pa.array(np.full(len(a), shares.shape[1]), pa.int64())})
 
 
 def pair_divergence(cells: DataFrame, groups: DataFrame) -> DataFrame:
@@ -201,9 +202,12 @@ def pair_divergence(cells: DataFrame, groups: DataFrame) -> DataFrame:
     # a block of groups meets every other one once, in both directions at a time
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("a_block"), F.greatest(k, F.col("block")).alias("b_block")))
     dealt = share.unionByName(every).select("lang", "term", "place", "p", "nothing", "tile", F.inline(meets))
-    values = dealt.groupBy("lang", "a_block", "b_block", "tile").applyInArrow(_tile, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-    named = lambda at, name: groups.select("lang", F.col("place").alias(at), F.col("source").alias(name))
-    priced = values.join(named("a", "source"), ["lang", "a"]).join(named("b", "item"), ["lang", "b"]).select("lang", "source", "item", "value")
+    tile_groups = TILE_GROUPS
+    values = dealt.groupBy("lang", "a_block", "b_block", "tile").applyInArrow(lambda rows: _tile(rows, tile_groups), "lang string, a int, b int, value long, seen long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    named = lambda at, name, share: known.select("lang", F.col("place").alias(at), F.col("source").alias(name), F.col("nothing").alias(share))
+    both = values.join(named("a", "source", "p"), ["lang", "a"]).join(named("b", "item", "q"), ["lang", "b"]).join(known.select("lang", "terms").distinct(), "lang")
+    # terms that no group of a tile has, have one price too
+    priced = both.select("lang", "source", "item", (F.col("value") + (F.col("terms") - F.col("seen")) * F.expr("(p - q) * (p - q) div q")).alias("value"))
     bare = groups.where("terms = 0").select("lang", "source")
     none = bare.join(bare.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
