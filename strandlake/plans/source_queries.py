@@ -22,14 +22,14 @@ register("io_1_read_fasta", lambda t: out(sequences.read_fasta(t.spark, _fasta(t
 
 def _genbank(t: Tables) -> str:
     path = f"{t.shared}/x.gb"
-    text = F.concat(F.lit("LOCUS       "), "name", F.lit("  DNA\nDEFINITION  from "), "organism", F.lit(" http://x.org//y\nFEATURES             Location/Qualifiers\n     gene            complement(5..20)\n                     /gene=\"g1\"\n     CDS             join(1..4,8..12)\n                     /product=\"lost\"\n     promoter        30..45\nORIGIN\n        1 "), F.lower("sequence"), F.lit("\n//"))
+    text = F.concat(F.lit("LOCUS       "), "name", F.lit("  DNA\nDEFINITION  from "), "organism", F.lit(" http://x.org//y\nFEATURES             Location/Qualifiers\n     gene            complement(5..20)\n                     /gene=\"g1\"\n                     /db_xref=\"GI:1\"\n                     /codon_start=1\n                     /note=\"first line\n                     second line\"\n                     /db_xref=\"GeneID:2\"\n     CDS             join(1..4,8..12)\n                     /product=\"lost\"\n     promoter        30..45\nORIGIN\n        1 "), F.lower("sequence"), F.lit("\n//"))
     t.dna.select(text.alias("value")).write.text(path)
     return path
 
 
 register(
-    "io_2_read_genbank", lambda t: out(sequences.read_genbank(t.spark, _genbank(t)).select("name", "description", "sequence", F.size("features").alias("n_features"), F.get("features", 0)["qualifiers"]["gene"].alias("gene"))),
-    "SELECT name, 'from ' || organism || ' http://x.org//y' AS description, sequence, CAST(2 AS BIGINT) AS n_features, 'g1' AS gene FROM $dna WHERE sequence <> ''",
+    "io_2_read_genbank", lambda t: out(sequences.read_genbank(t.spark, _genbank(t)).select("name", "description", "sequence", F.size("features").alias("n_features"), *[F.get("features", 0)["qualifiers"][q].alias(q) for q in ("gene", "db_xref", "codon_start", "note")])),
+    "SELECT name, 'from ' || organism || ' http://x.org//y' AS description, sequence, CAST(2 AS BIGINT) AS n_features, 'g1' AS gene, 'GeneID:2' AS db_xref, '1' AS codon_start, 'first line' AS note FROM $dna WHERE sequence <> ''",
 )
 register(
     "io_2_genbank_features", lambda t: out(sequences.genbank_features(sequences.read_genbank(t.spark, _genbank(t))), "name", "type", "start", "end", "strand"),

@@ -14,6 +14,8 @@ from strandlake.operators.annotate import auto_annotate
 
 GENBANK, FASTA = (".gb", ".gbk", ".genbank"), (".fasta", ".fa", ".fna", ".faa", ".seq")
 _FEATURE = r"^ {5}(\S+)\s+(complement\()?(\d+)\.\.(\d+)\)?"
+#: A qualifier's name and the first line of its value, with or without quotes.
+_QUALIFIER = r'\n[ \t]+/(\w+)="?([^"\n]*)'
 
 
 # Fixed value: white space around a header's mark, but no line end.
@@ -63,20 +65,25 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_genbank(records: DataFrame) -> DataFrame:
-    """(name, description, type, sequence, features, format) of rows (value): one record's text."""
+    """(name, description, type, sequence, features, format) of rows (value): one record's text.
+
+    A feature's qualifiers are a map; values that go on over several lines give their first one."""
     text = F.regexp_replace("value", r"\r", "")
     origin = F.regexp_extract(text, r"(?s)\nORIGIN[^\n]*\n(.*)$", 1)
-    sequence = F.upper(F.regexp_replace(origin, "[^A-Za-z]", ""))
+    sequence = F.upper(F.regexp_replace(origin, r"[\s\d/]", ""))
     table = F.regexp_extract(text, r"(?s)\nFEATURES[^\n]*\n(.*?)(?:\nORIGIN|$)", 1)
     # a block is a key's line and the lines of its qualifiers; blocks of other locations are skipped whole
     blocks = F.filter(F.split(table, r"\n(?= {5}\S)|^(?= {5}\S)"), lambda b: b.rlike(_FEATURE))
-    pairs = lambda b: F.map_from_arrays(F.regexp_extract_all(b, F.lit(r'/(\w+)="([^"\n]*)"'), F.lit(1)), F.regexp_extract_all(b, F.lit(r'/(\w+)="([^"\n]*)"'), F.lit(2)))
+    keys, told = (lambda b, k=k: F.regexp_extract_all(b, F.lit(_QUALIFIER), F.lit(k)) for k in (1, 2))
+    # of a qualifier that a feature has twice or more the last one counts
+    last = lambda b: F.filter(F.arrays_zip(keys(b).alias("key"), told(b).alias("value")), lambda x, k: ~F.array_contains(F.slice(keys(b), k + 2, F.size(keys(b))), x["key"]))
+    pairs = lambda b: F.map_from_entries(last(b))
     feature = lambda b: F.struct(
         F.regexp_extract(b, _FEATURE, 1).alias("type"), (F.regexp_extract(b, _FEATURE, 3).cast("int") - 1).alias("start"), F.regexp_extract(b, _FEATURE, 4).cast("int").alias("end"),
         F.when(F.regexp_extract(b, _FEATURE, 2) != "", "-").otherwise("+").alias("strand"), pairs(b).alias("qualifiers"),
     )
     found = records.select(
-        F.regexp_extract(text, r"(?:^|\n)LOCUS\s+(\S+)", 1).alias("name"), F.trim(F.regexp_extract(text, r"(?:^|\n)DEFINITION {2}([^\n]*)", 1)).alias("description"),
+        F.coalesce(F.nullif(F.regexp_extract(text, r"(?:^|\n)LOCUS[ \t]+(\S+)", 1), F.lit("")), F.lit("Unknown")).alias("name"), F.trim(F.regexp_extract(text, r"(?:^|\n)DEFINITION {2}([^\n]*)", 1)).alias("description"),
         C.detect_type(sequence).alias("type"), sequence.alias("sequence"), F.transform(blocks, feature).alias("features"), F.lit("genbank").alias("format"),
     )
     return found.where("sequence <> ''")

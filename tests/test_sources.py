@@ -45,6 +45,18 @@ def test_files_over_several_splits(spark, tmp_path):
 GENBANK = 'LOCUS       NC1 30 bp\nDEFINITION  made\nFEATURES             Location/Qualifiers\n     gene            3..9\n                     /gene="g"\nORIGIN\n        1 taatacgact cactataggg acgt\n//\n'
 
 
+def test_qualifiers_that_repeat_or_go_on(spark, tmp_path):
+    told = '/db_xref="GI:1"', "/pseudo", "/codon_start=1", '/note="one', 'two /gene=no"', '/db_xref="GeneID:2"', '/db_xref="X:3"'
+    text = "DEFINITION  made\nFEATURES             Location/Qualifiers\n" + "".join(f"     CDS             {k}..9\n" + "".join(f"                     {t}\n" for t in told) for k in (1, 3)) + "ORIGIN\n        1 acgt*\n//\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.gb").write_text(text)
+    row = sequences.read_genbank(spark, f"{tmp_path}/in").first()
+    want = {"db_xref": "X:3", "codon_start": "1", "note": "one"}
+    assert (row.name, row.sequence) == ("Unknown", "ACGT*") and [f.qualifiers for f in row.features] == [want, want]
+    annotate_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out/sequences").first().features[1].qualifiers == want
+
+
 def test_all_kinds_in_batches_and_in_a_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
