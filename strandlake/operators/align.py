@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import refdata
+from strandlake.functions.sizes import broadcast_if_small
 from strandlake.operators import chunks
 
 MATCH, MISMATCH, GAP = 2, -1, -2
-#: Cells of one pair's matrix; a larger pair is an error, never cut.
-MAX_CELLS = 100_000_000
+#: Places of a pair's matrix that are held at a time, and parts into which a larger one is cut. Never change a result.
+CELLS, PARTS = 8_000_000, 64
 
 
 def substitution(kind: str = "nucleotide", zero_fix: bool = False) -> np.ndarray:
@@ -33,44 +34,109 @@ def substitution(kind: str = "nucleotide", zero_fix: bool = False) -> np.ndarray
     return out
 
 
-def align(a: str, b: str, scores: np.ndarray, local: bool = False) -> tuple[int, str, str, int, int]:
+class _Rows:
+    """Rows of a pair's matrix, made one after another: h[i] from h[i - 1] in whole-row operations."""
+
+    def __init__(self, a: str, b: str, scores: np.ndarray, local: bool):
+        code = lambda s: np.minimum(np.frombuffer(s.encode("utf-32-le"), np.uint32), 127).astype(np.int64)
+        own, letters, self.local = code(b), code(a), local
+        kinds, self.kind = np.unique(letters, return_inverse=True)
+        self.profile = scores[kinds][:, own]  # scores of a letter of a against all of b, a row for each kind of letter
+        self.ramp = -GAP * np.arange(len(b) + 1, dtype=np.int32)
+
+    def first(self, width: int) -> np.ndarray:
+        return np.zeros(width, np.int32) if self.local else -self.ramp[:width]
+
+    def pair(self, i: int) -> np.ndarray:
+        """Scores of letter i (from 1) of a against all of b."""
+        return self.profile[self.kind[i - 1]]
+
+    def following(self, i: int, above: np.ndarray) -> np.ndarray:
+        """Row i of as many columns as row i - 1."""
+        row, n = np.empty(len(above), np.int32), len(above) - 1
+        row[0] = 0 if self.local else GAP * i
+        np.maximum(above[:-1] + self.pair(i)[:n], above[1:] + GAP, out=row[1:])
+        if self.local:
+            np.maximum(row, 0, out=row)
+        row += self.ramp[: n + 1]
+        np.maximum.accumulate(row, out=row)
+        row -= self.ramp[: n + 1]
+        return row
+
+
+def _back(rows: _Rows, lo: int, top: np.ndarray, i: int, j: int, cells: int) -> tuple[int, int, str, bool]:
+    """Goes back from (i, j) to row lo, whose values top holds: where the path then is, its steps (d: both letters, a: a
+    gap in b, b: a gap in a), and whether it ended.
+
+    Few enough rows are made whole. More are cut into parts: only the rows at which parts begin are kept, and the
+    parts are gone through from the last one on, each in the same way."""
+    top, steps, ended = top[: j + 1], [], False
+    if (i - lo + 1) * (j + 1) <= cells or i - lo <= 1:
+        h = [top]
+        for k in range(lo + 1, i + 1):
+            h.append(rows.following(k, h[-1]))
+        while True:
+            here = h[i - lo][j]
+            ended = (here == 0 or not i or not j) if rows.local else not (i or j)
+            if ended or i == lo > 0:
+                break
+            if i and j and here == h[i - lo - 1][j - 1] + rows.pair(i)[j - 1]:
+                i, j = i - 1, j - 1
+                steps.append("d")
+            elif i and here == h[i - lo - 1][j] + GAP:
+                i -= 1
+                steps.append("a")
+            else:
+                j -= 1
+                steps.append("b")
+        return i, j, "".join(steps), ended
+    count = min(PARTS, i - lo)
+    starts = [lo + (i - lo) * k // count for k in range(count)]
+    tops, row = {lo: top}, top
+    for start, after in zip(starts, starts[1:], strict=False):
+        for k in range(start + 1, after + 1):
+            row = rows.following(k, row)
+        tops[after] = row
+    while starts and not ended:
+        i, j, more, ended = _back(rows, starts[-1], tops.pop(starts.pop()), i, j, cells)
+        steps.append(more)
+    return i, j, "".join(steps), ended
+
+
+def align(a: str, b: str, scores: np.ndarray, local: bool = False, cells: int | None = None) -> tuple[int, str, str, int, int]:
     """(score, aligned a, aligned b, start in a, start in b) of the upper-cased texts.
 
     Going back, the diagonal is preferred, then a gap in b, then a gap in a; a local alignment starts
-    from the first greatest cell in row order and ends at 0."""
+    from the first greatest cell in row order and ends at 0. Memory is that of about cells places and PARTS rows
+    for each level of parts, whatever the lengths; a matrix of more is made anew for each level but the first."""
     a, b = a.upper(), b.upper()
-    m, n = len(a), len(b)
-    if (m + 1) * (n + 1) > MAX_CELLS:
-        raise ValueError(f"a pair of {m} by {n} letters is over MAX_CELLS")
-    code = lambda s: np.minimum(np.frombuffer(s.encode("utf-32-le"), np.uint32), 127).astype(np.int64)
-    pair = scores[code(a)][:, code(b)] if m and n else np.zeros((m, n), np.int32)
-    ramp = -GAP * np.arange(n + 1, dtype=np.int32)
-    h = np.zeros((m + 1, n + 1), np.int32)
-    if not local:
-        h[0] = -ramp
-    row = np.empty(n + 1, np.int32)
-    for i in range(1, m + 1):
-        row[0] = 0 if local else GAP * i
-        np.maximum(h[i - 1, :-1] + pair[i - 1], h[i - 1, 1:] + GAP, out=row[1:])
-        if local:
-            np.maximum(row, 0, out=row)
-        h[i] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = divmod(int(h.argmax()), n + 1) if local else (m, n)
-    score, x, y = int(h[i, j]), [], []
-    while (i or j) and not (local and (h[i, j] == 0 or not i or not j)):
-        if i and j and h[i, j] == h[i - 1, j - 1] + pair[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-            x.append(a[i])
-            y.append(b[j])
-        elif i and h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-            x.append(a[i])
-            y.append("-")
-        else:
-            j -= 1
-            x.append("-")
-            y.append(b[j])
-    return score, "".join(x[::-1]), "".join(y[::-1]), i, j
+    m, n, cells = len(a), len(b), CELLS if cells is None else cells
+    if not m or not n:
+        return (0, "", "", 0, 0) if local else (GAP * (m + n), a + "-" * n, "-" * m + b, 0, 0)
+    rows = _Rows(a, b, scores, local)
+    i, j, top = m, n, rows.first(n + 1)
+    if local:
+        best, row, i, j = 0, top, 0, 0
+        for k in range(1, m + 1):
+            row = rows.following(k, row)
+            at = int(row.argmax())
+            if row[at] > best:
+                best, i, j = int(row[at]), k, at
+    end = i, j
+    i, j, steps, _ = _back(rows, 0, top, i, j, cells)
+    x, y, at, to = [], [], i, j
+    for step in reversed(steps):
+        x.append("-" if step == "b" else a[at])
+        y.append("-" if step == "a" else b[to])
+        at, to = at + (step != "b"), to + (step != "a")
+    assert (at, to) == end
+    return best if local else _score(x, y, scores), "".join(x), "".join(y), i, j
+
+
+def _score(x: list[str], y: list[str], scores: np.ndarray) -> int:
+    """The score of two rows of an alignment."""
+    code = lambda c: min(ord(c), 127)
+    return sum(GAP if p == "-" or q == "-" else int(scores[code(p), code(q)]) for p, q in zip(x, y, strict=True))
 
 
 def align_pairs(pairs: DataFrame, method: str = "global", kind: str = "nucleotide", zero_fix: bool = False) -> DataFrame:
@@ -172,6 +238,164 @@ def search_similar(queries: DataFrame, targets: DataFrame, k: int = 11, min_shar
     return done.select("id_a", "id_b", "shared", "score", "identity", (100.0 * covered / F.length("seq_a")).alias("coverage"), rank.alias("rank")).where(F.col("rank") <= top)
 
 
+#: Target places of one seed up to which it is joined; commoner seeds are replaced by longer ones from the same places.
+HOT_SEED = 1000
+#: Lengths of seeds, as multiples of k: the last one is joined however common it is, dealt out over tasks.
+SEED_LENGTHS = (1, 2, 4)
+#: Diagonals that chain seeds, what a band has besides on either side, and how far an extension's score may drop.
+CHAIN_SHIFT, BAND_MARGIN, DROP_OFF = 12, 24, 40
+#: Places of the bands that are filled side by side.
+BAND_CELLS = 60_000
+
+
+def _seeds(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(id_a, id_b, at_a, at_b, size): places that share a word of k letters, or of more where that is too common."""
+    out, q_hot, t_hot = None, None, None
+    for times in SEED_LENGTHS:
+        size, last = k * times, times == SEED_LENGTHS[-1]
+        q, t = chunks.positioned_words(queries, size), chunks.positioned_words(targets, size)
+        if q_hot is not None:
+            longer = lambda rows, hot: rows.withColumn("shorter", F.left("word", F.lit(hot[1]))).join(hot[0], "shorter", "left_semi").drop("shorter")
+            q, t = longer(q, q_hot), longer(t, t_hot)
+        counts = t.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEED)
+        if last:
+            deals = F.coalesce(F.ceil(F.col("n") / HOT_SEED).cast("int"), F.lit(1))
+            dealt = t.join(counts, "word", "left").withColumn("deal", F.pmod(F.xxhash64("seq_id", "pos"), deals).cast("int"))
+            every = q.join(counts, "word", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+        else:
+            hot = broadcast_if_small(counts.select("word"))
+            q_hot = t_hot = hot.withColumnRenamed("word", "shorter"), size
+            dealt, every = (rows.join(hot, "word", "left_anti").withColumn("deal", F.lit(0)) for rows in (t, q))
+        a = every.select("word", "deal", F.col("seq_id").alias("id_a"), F.col("pos").alias("at_a"))
+        b = dealt.select("word", "deal", F.col("seq_id").alias("id_b"), F.col("pos").alias("at_b"))
+        met = a.join(b, ["word", "deal"]).select("id_a", "id_b", "at_a", "at_b", F.lit(size).alias("size"))
+        out = met if out is None else out.union(met)
+    return out
+
+
+def _chains(seeds: DataFrame, min_seeds: int) -> DataFrame:
+    """(id_a, id_b, chain, seeds, low, high, last) of the pairs with enough seeds: those on diagonals (place in b minus place
+    in a) that lie near each other make a chain, from low to high, and end at place last of a."""
+    by_diagonal = seeds.groupBy("id_a", "id_b", (F.col("at_b") - F.col("at_a")).alias("diagonal")).agg(F.count("*").alias("n"), F.max(F.col("at_a") + F.col("size")).alias("last"))
+    own = Window.partitionBy("id_a", "id_b").orderBy("diagonal")
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(own) > CHAIN_SHIFT).cast("int"), F.lit(0))
+    chained = by_diagonal.withColumns({"apart": apart, "all": F.sum("n").over(Window.partitionBy("id_a", "id_b"))}).where(F.col("all") >= min_seeds).withColumn("chain", F.sum("apart").over(own))
+    return chained.groupBy("id_a", "id_b", "chain").agg(F.max("all").alias("seeds"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.max("last").alias("last"))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 127).astype(np.int64)
+
+
+def band_scores(pairs: list[tuple[np.ndarray, np.ndarray, int, int]], width: int, scores: np.ndarray) -> np.ndarray:
+    """Of pairs (codes a, codes b, lowest diagonal, last) the best local scores within width diagonals, all bands side by
+    side. Rows end where, behind the last seed, every pair's score has dropped by over DROP_OFF."""
+    m, n = (np.array([len(p[k]) for p in pairs])[:, None] for k in (0, 1))
+    a, b = (np.full((len(pairs), max(1, int(size.max()))), 127) for size in (m, n))
+    for k, p in enumerate(pairs):
+        a[k, : len(p[0])], b[k, : len(p[1])] = p[0], p[1]
+    low, last = (np.array([p[k] for p in pairs])[:, None] for k in (2, 3))
+    c = np.arange(width)
+    ramp, h, best = -GAP * c, np.zeros((len(pairs), width), np.int64), np.zeros((len(pairs), 1), np.int64)
+    for i in range(1, int(m.max(initial=0)) + 1):
+        j = c + (low + i)
+        inside = (j >= 1) & (j <= n) & (i <= m)
+        pair = scores[a[:, i - 1 : i], np.take_along_axis(b, np.clip(j - 1, 0, b.shape[1] - 1), axis=1)]
+        row = np.maximum(h + pair, 0)
+        np.maximum(row[:, :-1], h[:, 1:] + GAP, out=row[:, :-1])
+        h = np.where(inside, np.maximum.accumulate(np.where(inside, row, 0) + ramp, axis=1) - ramp, 0)
+        top = h.max(axis=1, keepdims=True)
+        best = np.maximum(best, top)
+        if not ((i < last) | (top >= best - DROP_OFF)).any():
+            break
+    return best[:, 0]
+
+
+def align_band(a: np.ndarray, b: np.ndarray, scores: np.ndarray, low: int, width: int) -> tuple[int, int, int, int]:
+    """(score, equal letters, columns without a gap, letters of a) of the best local alignment of letter codes within width
+    diagonals from low on; ties as in align."""
+    m, n, c = len(a), len(b), np.arange(width)
+    h, ramp = np.zeros((m + 1, width), np.int32), -GAP * np.arange(width)
+    for i in range(1, m + 1):
+        j = c + (i + low)
+        inside = (j >= 1) & (j <= n)
+        row = np.maximum(h[i - 1] + scores[a[i - 1], b[np.clip(j - 1, 0, max(0, n - 1))]], 0) if n else np.zeros(width, np.int64)
+        np.maximum(row[:-1], h[i - 1][1:] + GAP, out=row[:-1])
+        h[i] = np.where(inside, np.maximum.accumulate(np.where(inside, row, 0) + ramp) - ramp, 0)
+    i, k = divmod(int(h.argmax()), width)
+    score, end, same, both = int(h[i, k]), i, 0, 0
+    while i and h[i, k] > 0 and i + low + k > 0:
+        j = i + low + k
+        if h[i, k] == h[i - 1, k] + scores[a[i - 1], b[j - 1]]:
+            same, both, i = same + int(a[i - 1] == b[j - 1]), both + 1, i - 1
+        elif k + 1 < width and h[i, k] == h[i - 1, k + 1] + GAP:
+            i, k = i - 1, k + 1
+        else:
+            k -= 1
+    return score, same, both, end - i
+
+
+def search_seeded(queries: DataFrame, targets: DataFrame, k: int = 11, min_shared: int = 2, top: int = 20, kind: str = "nucleotide") -> DataFrame:
+    """(id_a, id_b, seeds, score, identity, coverage, rank): the best local alignments of each query (seq_id, sequence).
+
+    Seeds are shared words, longer where a word is too common, so that their pairs grow with the queries' places and not
+    with the square of a word's sequences. Seeds on near diagonals make a chain. Of every chain the matrix is filled
+    within its diagonals (and a margin), down to where the score drops behind its last seed; the best chains are then
+    aligned within their band. Equal targets are aligned once, and each of them has its rank. search_similar
+    aligns whole sequences without bands and so is the exact way."""
+    scores = substitution(kind)
+    text = F.upper("sequence").alias("sequence")
+    named = targets.select("seq_id", text).withColumn("name", F.min("seq_id").over(Window.partitionBy("sequence")))
+    once = named.where(F.col("seq_id") == F.col("name")).select("seq_id", "sequence").dropDuplicates(["seq_id"])
+    asked = queries.select("seq_id", text)
+    a = asked.select(F.col("seq_id").alias("id_a"), F.col("sequence").alias("seq_a"))
+    b = once.select(F.col("seq_id").alias("id_b"), F.col("sequence").alias("whole"))
+    first, width = F.col("low") - BAND_MARGIN, F.col("high") - F.col("low") + 1 + 2 * BAND_MARGIN
+    # no more of a target than the query can reach from the band
+    start, stop = F.greatest(first, F.lit(0)), F.greatest(F.col("low") + width + F.length("seq_a"), F.lit(0))
+    part = F.substr("whole", start + 1, stop - start)
+    texts = lambda chains: chains.join(a, "id_a").join(b, "id_b").select(*chains.columns, "seq_a", part.alias("part"), (first - start).cast("int").alias("shift"), width.cast("int").alias("width"))
+    chains = _chains(_seeds(asked, once, k), min_shared)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(["seq_a", "part", "shift", "last", "width"]).to_pylist()
+            best = np.zeros(len(rows), np.int64)
+            # bands of about one width and height side by side
+            size = lambda r: (r["width"].bit_length(), len(r["seq_a"]))
+            order = sorted(range(len(rows)), key=lambda x: size(rows[x]))
+            while order:
+                wide = max(rows[x]["width"] for x in order[: max(1, BAND_CELLS // rows[order[0]]["width"])])
+                now = [x for x in order[: max(1, BAND_CELLS // wide)] if size(rows[x])[0] == size(rows[order[0]])[0]]
+                order = order[len(now) :]
+                wide = max(rows[x]["width"] for x in now)
+                best[now] = band_scores([(_codes(rows[x]["seq_a"]), _codes(rows[x]["part"]), rows[x]["shift"], rows[x]["last"]) for x in now], wide, scores)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(best.astype(np.int32))], names=[*names, "score"])
+
+    def align_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                x = _codes(r["seq_a"])
+                score, same, both, own = align_band(x, _codes(r["part"]), scores, r["shift"], r["width"])
+                made.append((score, 100.0 * same / both if both else 0.0, 100.0 * own / len(x)))
+            parts = list(zip(*made, strict=True)) or [[]] * 3
+            new = [pa.array(p, t) for p, t in zip(parts, (pa.int32(), pa.float64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id_a", "id_b", "seeds")), *new], names=["id_a", "id_b", "seeds", "score", "identity", "coverage"])
+
+    names, ids = chains.columns, {f.name: f.dataType.simpleString() for f in chains.schema}
+    spread = texts(chains).repartition(F.xxhash64("id_a", "id_b", "chain"))
+    filled = spread.mapInArrow(fill, ", ".join(f"{c} {ids[c]}" for c in names) + ", score int")
+    each = filled.groupBy("id_a", "id_b").agg(F.max_by(F.struct("seeds", "low", "high", "last", "score"), F.struct("score", -F.col("chain"))).alias("c")).select("id_a", "id_b", "c.*")
+    # a query's best texts, one more than asked for since the query itself may be among them, then all sequences of those
+    order = lambda of: F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("score"), of))
+    best = each.withColumn("rank", order("id_b")).where(F.col("rank") <= top + 1).drop("rank", "score")
+    done = texts(best).mapInArrow(align_best, f"id_a {ids['id_a']}, id_b {ids['id_b']}, seeds long, score int, identity double, coverage double").withColumnRenamed("id_b", "name")
+    place = F.row_number().over(Window.partitionBy("name").orderBy("id_b"))
+    copies = named.select("name", F.col("seq_id").alias("id_b")).withColumn("place", place).where(F.col("place") <= top + 1).drop("place")
+    return done.join(copies, "name").where("id_a <> id_b").withColumn("rank", order("id_b")).where(F.col("rank") <= top).select("id_a", "id_b", "seeds", "score", "identity", "coverage", "rank")
+
+
 def dot_plot(pairs: DataFrame, window: int = 10, threshold: float = 70.0) -> DataFrame:
     """(id_a, id_b, i, j, matches) of windows, on a grid of max(1, length // 300), with enough equal letters.
 

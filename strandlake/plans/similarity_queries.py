@@ -58,6 +58,7 @@ register("al_6_pairwise_distances", lambda t: out(align.pairwise_distances(t.sho
 _KMER = "(SELECT DISTINCT seq_id, substr(sequence, (p + 1)::int, 11) AS kmer FROM (SELECT seq_id, sequence, unnest(range(0, length(sequence) - 10)) AS p FROM {}))"
 CANDIDATES = f"(SELECT a.seq_id AS id_a, b.seq_id AS id_b, count(*) AS shared FROM {_KMER.format('$short')} a JOIN {_KMER.format('$dna')} b ON a.kmer = b.kmer WHERE a.seq_id <> b.seq_id GROUP BY ALL HAVING count(*) >= 2)"
 register("al_7_candidate_pairs", lambda t: out(align.candidate_pairs(t.short, t.dna)), f"SELECT * FROM {CANDIDATES}")
+register("al_7_search_seeded", lambda t: out(align.search_seeded(t.short, t.dna)))
 register("al_7_search_similar", lambda t: out(align.search_similar(t.short, t.dna)))
 register(
     "al_8_dot_plot", lambda t: out(align.dot_plot(_P(t))),

@@ -1,6 +1,7 @@
 """Hand-made values and properties of the sequence operators."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -348,3 +349,88 @@ def test_nearest_in_a_growing_grid(spark):
         near = sorted((sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) ** 0.5, j) for t, j, *q in rows if t == s and j != i)
         want |= {(s, i, j) for _, j in near[:4]}
     assert {(r.structure_id, r.src, r.dst) for r in structure.knn_edges(points, 4).collect()} == want
+
+
+def full_matrix(a, b, scores, local):
+    """Score, rows and starts by the whole matrix."""
+    h = [[0 if local else -2 * (i + j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    same = lambda i, j: int(scores[min(ord(a[i - 1]), 127), min(ord(b[j - 1]), 127)])
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i][j] = max(h[i - 1][j - 1] + same(i, j), h[i - 1][j] - 2, h[i][j - 1] - 2, *([0] if local else []))
+    i, j = max(((i, j) for i in range(len(a) + 1) for j in range(len(b) + 1)), key=lambda p: (h[p[0]][p[1]], -p[0], -p[1])) if local else (len(a), len(b))
+    score, x, y = h[i][j], "", ""
+    while (i or j) and not (local and (h[i][j] == 0 or not i or not j)):
+        if i and j and h[i][j] == h[i - 1][j - 1] + same(i, j):
+            i, j, x, y = i - 1, j - 1, a[i - 1] + x, b[j - 1] + y
+        elif i and h[i][j] == h[i - 1][j] - 2:
+            i, x, y = i - 1, a[i - 1] + x, "-" + y
+        else:
+            j, x, y = j - 1, "-" + x, b[j - 1] + y
+    return score, x, y, i, j
+
+
+@pytest.mark.parametrize("parts", [2, 3, 64])
+def test_alignment_in_parts_is_that_of_the_whole_matrix(monkeypatch, parts):
+    monkeypatch.setattr(align, "PARTS", parts)
+    rng = random.Random(parts)
+    for _ in range(150):
+        letters = rng.choice(["AC", "ACGT", "A", "MKWÉ"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(22))) for _ in range(2))
+        for kind in ("nucleotide", "protein"):
+            for local in (False, True):
+                want = full_matrix(a, b, align.substitution(kind), local)
+                assert all(align.align(a, b, align.substitution(kind), local, cells) == want for cells in (1, 40, None))
+
+
+def test_long_alignment_in_little_memory():
+    rng = random.Random(20)
+    a = [rng.choice("ACGT") for _ in range(12_000)]
+    b = list(a)
+    for _ in range(300):
+        k = rng.randrange(len(b))
+        b[k : k + rng.randrange(3)] = rng.choice([[], ["A"], ["G", "T"]])
+    tracemalloc.start()
+    for local in (False, True):
+        score, x, y, *_ = align.align("".join(a), "".join(b), align.substitution(), local)
+        assert score > 20_000 and x.replace("-", "") in "".join(a) and y.replace("-", "") in "".join(b)
+    assert tracemalloc.get_traced_memory()[1] < 80_000_000  # the whole matrix has 576 MB
+    tracemalloc.stop()
+
+
+def test_seeded_search_finds_families(spark):
+    """Against the exact alignment of all pairs: the best 20 of each query, in families of copies with many changes."""
+    rng = random.Random(21)
+    made = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+
+    def changed(s, share):
+        s = list(s)
+        for _ in range(int(share * len(s))):
+            k = rng.randrange(len(s))
+            s[k : k + rng.randrange(2)] = rng.choice(["", "A", "C", "GT"])
+        return "".join(s)
+
+    roots = [made(260) for _ in range(4)]
+    texts = [made(rng.randrange(60)) + changed(r, 0.01 * k) + made(rng.randrange(60)) for r in roots for k in range(22)] + [made(200) for _ in range(40)]
+    texts += [texts[3]] * 3
+    own = spark.createDataFrame(list(enumerate(texts)), "seq_id long, sequence string").repartition(3)
+    asked = own.where("seq_id in (0, 25, 50, 87)")
+    got = align.search_seeded(asked, own).collect()
+    scores, recall = align.substitution(), []
+    for q in (0, 25, 50, 87):
+        every = sorted(((-align.align(texts[q], t, scores, True)[0], i) for i, t in enumerate(texts) if i != q))[:20]
+        mine = {r.id_b: r for r in got if r.id_a == q}
+        recall.append(sum(i in mine for _, i in every) / 20)
+        exact = {i: -s for s, i in every}
+        assert all(r.score == exact[i] for i, r in mine.items() if i in exact) and sorted(r["rank"] for r in mine.values()) == list(range(1, len(mine) + 1))
+    assert sum(recall) / 4 >= 0.9
+
+
+def test_seeds_of_a_common_word_do_not_grow_with_its_square(spark, monkeypatch):
+    monkeypatch.setattr(align, "HOT_SEED", 10)
+    rng = random.Random(22)
+    word = "ACGTTGCAACG"
+    texts = ["".join(rng.choice("ACGT") for _ in range(40)) + word + "".join(rng.choice("ACGT") for _ in range(40)) for _ in range(400)]
+    own = spark.createDataFrame(list(enumerate([*texts, texts[7]])), "seq_id long, sequence string")
+    found = align._seeds(own, own, 11).where("id_a <> id_b")
+    assert found.count() < 20 * 401 and found.where("id_a = 7 and id_b = 400").count() > 0
