@@ -14,7 +14,14 @@ CHUNK = 4096
 
 def with_halo(seqs: DataFrame, size: int = CHUNK, halo: int = 0) -> DataFrame:
     """(seq_id, chunk, start, core, sequence): pieces of size letters plus the next halo ones; core is the
-    number of letters that are the piece's own. Empty and null sequences have none."""
+    number of letters that are the piece's own. Empty and null sequences have none. seqs that are pieces of size letters
+    (seq_id, chunk, start, sequence) already, as chunked readers give them, get the halo by a join with the next ones."""
+    if "chunk" in seqs.columns:
+        own = seqs.select("seq_id", "chunk", "start", F.length("sequence").alias("core"), "sequence")
+        for k in range(1, -(-halo // size) + 1):
+            head = seqs.select("seq_id", (F.col("chunk") - k).alias("chunk"), F.left("sequence", F.lit(halo - (k - 1) * size)).alias("_next"))
+            own = own.join(head, ["seq_id", "chunk"], "left").withColumn("sequence", F.concat("sequence", F.coalesce("_next", F.lit("")))).drop("_next")
+        return own
     pieces = seqs.select("seq_id", F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("pieces"))
     each = pieces.select("seq_id", "pieces", F.posexplode("pieces").alias("chunk", "own"))
     following = F.slice("pieces", F.col("chunk") + 2, F.lit(max(1, -(-halo // size))))
@@ -30,7 +37,7 @@ def words_at(text: Column, k: int) -> Column:
 def positioned_words(seqs: DataFrame, k: int, pad: str | None = None) -> DataFrame:
     """(seq_id, pos, word): the k letters of the upper-cased sequence from every place on; with a pad (one
     character) also from the last k - 1 places, filled up."""
-    own = with_halo(seqs.select("seq_id", F.upper("sequence").alias("sequence")), CHUNK, k - 1)
+    own = with_halo(seqs.withColumn("sequence", F.upper("sequence")), CHUNK, k - 1)
     text = F.rpad("sequence", F.col("core") + (k - 1), F.lit(pad)) if pad else F.col("sequence")
     return own.select("seq_id", "start", F.posexplode(words_at(text, k)).alias("at", "word")).select("seq_id", (F.col("start") + F.col("at")).cast("int").alias("pos"), "word")
 
@@ -43,7 +50,7 @@ def cut_out(seqs: DataFrame, spans: DataFrame, name: str = "part") -> DataFrame:
     lo, hi = F.greatest(F.col("start"), F.lit(0)), F.greatest(F.col("end"), F.lit(0))
     covered = F.when(hi > lo, F.sequence(F.floor(lo / CHUNK).cast("int"), F.floor((hi - 1) / CHUNK).cast("int"))).otherwise(F.array(F.lit(0)))
     each = spans.select("*", F.explode(covered).alias("chunk"))
-    own = with_halo(seqs.select("seq_id", F.upper("sequence").alias("sequence")), CHUNK).select("seq_id", "chunk", F.col("start").alias("_at"), "sequence")
+    own = with_halo(seqs.withColumn("sequence", F.upper("sequence")), CHUNK).select("seq_id", "chunk", F.col("start").alias("_at"), "sequence")
     first = F.greatest(lo - F.col("_at"), F.lit(0))
     piece = F.substr("sequence", (first + 1).cast("int"), F.greatest(hi - F.col("_at") - first, F.lit(0)).cast("int"))
     met = each.join(own, ["seq_id", "chunk"]).select("seq_id", *others, "chunk", piece.alias("piece"))
