@@ -22,7 +22,7 @@ CLASSES = {
     "lower": "[a-z]+", "space": r"\x20+", "upper": "[A-Z]+", "mark": "[.,;:!?'\"()-]+", "symbol": "[#*$%&|<>]+", "break": r"[\x09-\x0D]+",
     "digit": "[0-9]+", "wide": r"[^\x00-\x7F]+",
 }
-#: Words of a window whose repetition counts.
+#: Words of a window whose repetition counts: a power of two.
 WINDOW = 8
 #: Base rule: fewer words, or a larger percentage of words in repeated windows, fails.
 MIN_BASE_WORDS, MAX_REPEATED = 20, 30
@@ -73,8 +73,8 @@ def _shares(counts: Column) -> Column:
 
 
 def word_reference(docs: DataFrame, top: int = COMMON_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(lang, common, longest, word_counts): the top words of every language, the bytes of the longest of them, and
-    their counts with that of all others last; equal counts by word. From documents of min_words or more."""
+    """(lang, common, longest, word_counts): hashes of the top words of every language, the bytes of the longest of them,
+    and their counts with that of all others last; equal counts by word. From documents of min_words or more."""
     own = docs.select("lang", words(F.col("text")).alias("w")).where(F.size("w") >= min_words)
     counts = own.select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = stored(counts)
@@ -82,7 +82,7 @@ def word_reference(docs: DataFrame, top: int = COMMON_WORDS, min_words: int = MI
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= top)
     listed = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("t"), F.max(F.octet_length("word")).alias("longest"), F.sum("n").alias("held"))
-    return listed.join(total, "lang").select("lang", F.transform("t", lambda x: x["word"]).alias("common"), "longest", F.concat(F.transform("t", lambda x: x["n"]), F.array(F.col("total") - F.col("held"))).alias("word_counts"))
+    return listed.join(total, "lang").select("lang", F.transform("t", lambda x: F.xxhash64(x["word"])).alias("common"), "longest", F.concat(F.transform("t", lambda x: x["n"]), F.array(F.col("total") - F.col("held"))).alias("word_counts"))
 
 
 def measured(docs: DataFrame, reference: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -100,10 +100,14 @@ def measured(docs: DataFrame, reference: DataFrame, min_words: int = MIN_WORDS)
     own = own.select("doc_id", "lang", "w", "n_dup_lines", classes.alias("classes"))
 
     n = F.coalesce(F.size("w"), F.lit(0))
-    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))
-    own = own.withColumn("hashes", F.when(n > WINDOW, windows)).join(broadcast_if_small(reference, BROADCAST_LANGUAGES), "lang", "left")
+    # a window's hash from those of its halves, theirs from those of theirs
+    windows, step = F.transform("w", lambda x: F.xxhash64(x)), 1
+    while step < WINDOW:
+        own = own.withColumn("hashes", windows)
+        windows, step = F.zip_with("hashes", F.slice("hashes", step + 1, F.greatest(n - step, F.lit(0))), lambda x, y: F.xxhash64(x, y)), 2 * step
+    own = own.withColumn("hashes", F.when(n > WINDOW, F.slice(windows, 1, n - (WINDOW - 1)))).join(broadcast_if_small(reference, BROADCAST_LANGUAGES), "lang", "left")
     short = F.filter("w", lambda x: F.octet_length(x) <= F.col("longest"))
-    at = F.filter(F.transform(short, lambda x: F.array_position("common", x)), lambda k: k > 0)
+    at = F.filter(F.transform(short, lambda x: F.array_position("common", F.xxhash64(x))), lambda k: k > 0)
     own = own.withColumn("at", F.when((n >= min_words) & F.col("common").isNotNull(), at))
     counts = F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: (F.size("at") - F.size(F.array_remove("at", k))).cast("long"))
     counts = F.concat(counts, F.array((n - F.size("at")).cast("long")))
