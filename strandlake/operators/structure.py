@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import math
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import refdata
-from strandlake.functions.storage import shared_dir
 
 
 def residues(atoms: DataFrame) -> DataFrame:
@@ -120,42 +116,59 @@ def radius_edges(own: DataFrame, r: float = 8.0) -> DataFrame:
     return pairs.where((F.col("distance") > 0) & (F.col("distance") < r)).select("structure_id", F.col("idx").alias("src"), F.col("r_idx").alias("dst"), "distance")
 
 
+def _spread(rank: Column) -> Column:
+    """The 21 bits of a number, two zero bits behind each."""
+    out = rank
+    # Shifts and masks that take a number's halves, then quarters and so on apart.
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask))
+    return out
+
+
+def _along_curve(points: DataFrame, others: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """points plus near (how many others come before them on a curve through space), others plus near (their own place).
+
+    The curve is a Z-order of the coordinates' ranks, so neither far points nor uneven density coarsen it. Of others in
+    one place only the first k + 1 stay, behind which none can be among the k nearest of any point."""
+    columns = ["structure_id", "idx", "x", "y", "z"]
+    first = (F.row_number().over(Window.partitionBy("structure_id", "x", "y", "z").orderBy("idx")) <= k + 1).cast("int")
+    both = others.select(*columns, first.alias("other"), F.lit(1 if points is others else 0).alias("point"))
+    if points is not others:
+        both = both.where("other = 1").union(points.select(*columns, F.lit(0), F.lit(1)))
+    n = F.count("*").over(Window.partitionBy("structure_id"))
+    rank = lambda c: F.floor((F.row_number().over(Window.partitionBy("structure_id").orderBy(c)) - 1).cast("double") / F.col("n") * (1 << 21)).cast("long")
+    placed = both.withColumn("n", n).withColumns({f"r_{c}": rank(c) for c in "xyz"})
+    curve = sum(F.shiftleft(_spread(F.col(f"r_{c}")), k) for k, c in enumerate("xyz"))
+    near = F.sum("other").over(Window.partitionBy("structure_id").orderBy("curve", "idx", "other").rowsBetween(Window.unboundedPreceding, 0)) - F.col("other")
+    ordered = placed.withColumn("curve", curve).withColumn("near", near)
+    return ordered.where("point = 1").select(*columns, "near"), ordered.where("other = 1").select("structure_id", *[F.col(c).alias(f"r_{c}") for c in columns[1:]], "near")
+
+
 def nearest(points: DataFrame, others: DataFrame, k: int) -> DataFrame:
     """(structure_id, idx, r_idx, distance): the k nearest of others (structure_id, idx, x, y, z) to each of points,
     but those of its own idx if both tables are one; the lower idx on ties.
 
-    Each point looks into its cell of a grid and the cells around it. What it finds within a cell's width is
-    certain; points that find too little go on with cells twice as wide, up to the width of the structure."""
+    The k others before and after a point on a curve through space give a distance that its k nearest cannot be beyond.
+    The point then meets the others in the cells of a grid that this distance reaches, the grid being as wide as the
+    distance asks for: each point has its own, so far points and dense places cost no more than others."""
     same = points is others
-    q = others.select("structure_id", *[F.col(c).alias(f"r_{c}") for c in ("idx", "x", "y", "z")])
-    size = lambda rows: [F.min(c).alias(f"lo_{c}") for c in rows] + [F.max(c).alias(f"hi_{c}") for c in rows]
-    every = points.select("structure_id", "x", "y", "z", F.lit(0).alias("n")).union(others.select("structure_id", "x", "y", "z", F.lit(1)))
-    extent = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"])
-    boxes = every.groupBy("structure_id").agg(*size("xyz"), F.sum("n").alias("n")).select("structure_id", *[f"lo_{c}" for c in "xyz"], extent.alias("extent"), F.greatest(F.lit(1.0), F.floor(F.cbrt(F.col("n") / (k + 1)))).alias("cells"))
-    rounds = math.ceil(math.log2(boxes.agg(F.max("cells")).first()[0] or 1.0))
-    shared_dir(points.sparkSession)
-    left, out = points.select("structure_id", "idx", "x", "y", "z"), None
-    for step in range(rounds + 1):
-        # the last round has one cell for the whole structure (an edge of it never lies outside)
-        width = F.greatest(F.col("extent") * F.least(F.lit(1.0), F.lit(2.0**step) / F.col("cells")), F.lit(1e-9))
-        cell = lambda c: F.floor((F.col(c) - F.col(f"lo_{c[-1]}")) / F.col("width")).alias(f"c_{c[-1]}")
-        around = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(d, "xyz", strict=True)]) for d in product((-1, 0, 1), repeat=3)])
-        grid = boxes.withColumn("width", width)
-        mine = left.join(grid, "structure_id").select("structure_id", "idx", "x", "y", "z", "width", "extent", *[cell(c) for c in "xyz"], F.explode(around).alias("d"))
-        mine = mine.select("structure_id", "idx", "x", "y", "z", "width", "extent", *[(F.col(f"c_{c}") + F.col(f"d.d{c}")).alias(f"c_{c}") for c in "xyz"])
-        theirs = q.join(grid, "structure_id").select(*q.columns, *[cell(f"r_{c}") for c in "xyz"])
-        met = mine.join(theirs, ["structure_id", "c_x", "c_y", "c_z"]).where(F.col("idx") != F.col("r_idx") if same else F.lit(True)).withColumn("distance", distance())
-        last = F.col("width") >= F.col("extent")
-        own = Window.partitionBy("structure_id", "idx", *([] if same else ["x", "y", "z"]))
-        sure = met.where(last | (F.col("distance") <= F.col("width"))).withColumns({"rank": F.row_number().over(own.orderBy("distance", "r_idx")), "found": F.count("*").over(own)})
-        held = sure.where((F.col("rank") <= k) & (last | (F.col("found") >= k))).select("structure_id", "idx", "x", "y", "z", "r_idx", "distance")
-        if step < rounds:
-            held = held.checkpoint()
-            left = left.join(held.select("structure_id", "idx", "x", "y", "z").distinct(), ["structure_id", "idx", "x", "y", "z"], "left_anti")
-        out = held if out is None else out.union(held)
-        if step < rounds and left.isEmpty():
-            break
-    return out.select("structure_id", "idx", "r_idx", "distance")
+    mine, theirs = _along_curve(points, others, k)
+    point = ["structure_id", "idx", "x", "y", "z"]
+    own = F.col("idx") != F.col("r_idx") if same else F.lit(True)
+    around = mine.withColumn("near", F.explode(F.sequence(F.col("near") - k, F.col("near") + k))).join(theirs, ["structure_id", "near"]).where(own)
+    bounds = around.groupBy(*point).agg(F.element_at(F.slice(F.sort_array(F.collect_list(distance())), 1, k), -1).alias("reach"))
+    # cells twice as wide as the distance or wider (powers of two), so it reaches two of them a side at most; not so small that a place is beyond whole numbers
+    size = F.greatest(*[F.abs(F.col(c)) for c in "xyz"], F.lit(1e-300))
+    level = F.ceil(F.greatest(F.log2(F.greatest(F.col("reach") * 2, F.lit(1e-300))), F.log2(size) - 48)).cast("int")
+    asked = bounds.withColumn("level", level)
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level")))
+    for c in "xyz":
+        asked = asked.withColumn(f"c_{c}", F.explode(F.sequence(cell(F.col(c) - F.col("reach")), cell(F.col(c) + F.col("reach")))))
+    levels = asked.select("structure_id", "level").distinct()
+    held = theirs.drop("near").join(levels, "structure_id").select("*", *[cell(F.col(f"r_{c}")).alias(f"c_{c}") for c in "xyz"])
+    met = asked.join(held, ["structure_id", "level", "c_x", "c_y", "c_z"]).where(own).withColumn("distance", distance()).where(F.col("distance") <= F.col("reach") * (1 + 1e-12))
+    rank = F.row_number().over(Window.partitionBy(*point).orderBy("distance", "r_idx"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("structure_id", "idx", "r_idx", "distance")
 
 
 def knn_edges(own: DataFrame, k: int = 15) -> DataFrame:

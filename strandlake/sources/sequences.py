@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
 from strandlake.functions import refdata
+from strandlake.functions.sizes import broadcast_if_small
 from strandlake.operators.annotate import auto_annotate
+from strandlake.operators.chunks import CHUNK
 
 GENBANK, FASTA = (".gb", ".gbk", ".genbank"), (".fasta", ".fa", ".fna", ".faa", ".seq")
 _FEATURE = r"^ {5}(\S+)\s+(complement\()?(\d+)\.\.(\d+)\)?"
@@ -22,8 +25,9 @@ _QUALIFIER = r'\n[ \t]+/(\w+)="?([^"\n]*)'
 _BLANK = r"[\s\x{A0}\x{FEFF}&&[^\n]]*"
 
 
-def parse_fasta(records: DataFrame) -> DataFrame:
-    """(name, description, type, sequence, format) of rows (value): one record's lines, with or without its mark.
+def parse_fasta(records: DataFrame, *keep: str) -> DataFrame:
+    """(name, description, type, sequence, format) of rows (value): one record's lines, with or without its mark; and
+    the columns keep.
 
     A header that is empty or starts with white space names nothing: the record is Unnamed."""
     lines = F.split(F.regexp_replace(F.col("value"), f"^{_BLANK}>", ""), "\n")
@@ -32,7 +36,7 @@ def parse_fasta(records: DataFrame) -> DataFrame:
     sequence = F.regexp_replace(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), ""), r"\s", "")
     blank = (header == "") | header.rlike(r"^\s")
     rest = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " ")
-    return records.select(F.when(blank, "Unnamed").otherwise(F.get(words, 0)).alias("name"), rest.alias("description"), C.detect_type(sequence).alias("type"), sequence.alias("sequence"), F.lit("fasta").alias("format"))
+    return records.select(*keep, F.when(blank, "Unnamed").otherwise(F.get(words, 0)).alias("name"), rest.alias("description"), C.detect_type(sequence).alias("type"), sequence.alias("sequence"), F.lit("fasta").alias("format"))
 
 
 def fasta_records(rows: DataFrame) -> DataFrame:
@@ -64,6 +68,84 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parse_fasta(fasta_records(spark.read.text(path, lineSep="\n>")))
 
 
+#: Fixed value: what starts a record's header line.
+_MARK = re.compile(r"[\s\xa0\ufeff]*>")
+
+
+def _pieces(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(path, block, record, start, header, letters) of FASTA files, each block (a file range that one reader takes) by
+    itself: a row for every header, and pieces of at most size letters. record counts the block's headers; what stands
+    before the first one (record 0) goes on from the blocks before, and start counts from the block's beginning there."""
+    names, schema = ["path", "block", "record", "start", "header", "letters"], "path string, block long, record long, start long, header string, letters string"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, record, start, held, n, out = None, 0, 0, [], 0, []
+
+        def flush(least: int) -> None:
+            nonlocal start, held, n
+            text = "".join(held)
+            while len(text) >= max(least, 1):
+                out.append((*where, record, start, None, text[:size]))
+                start, text = start + len(text[:size]), text[size:]
+            held, n = [text] if text else [], len(text)
+
+        for batch in batches:
+            for line, *place in zip(*(batch.column(c).to_pylist() for c in ("value", "path", "block")), strict=True):
+                if place != where:
+                    if where:
+                        flush(1)
+                    where, record, start, held, n = place, 0, 0, [], 0
+                if _MARK.match(line):
+                    flush(1)
+                    record, start, held, n = record + 1, 0, [], 0
+                    out.append((*where, record, 0, line, ""))
+                    continue
+                held.append("".join(line.split()))
+                n += len(held[-1])
+                if n >= size:
+                    flush(size)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
+                out.clear()
+        if where:
+            flush(1)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.mapInArrow(cut, schema)
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(records, chunks) of FASTA files whose records may be larger than a row or a task: records (seq_id, name, description,
+    length) and chunks (seq_id, chunk, start, sequence) of size letters, the last one of a record shorter.
+
+    File ranges are cut into pieces apart from each other; only how many letters each range has before its first header
+    and behind its last one is added up along a file. Operators that cut sequences into chunks take the chunks as they are."""
+    pieces = _pieces(spark, path, size)
+    length = F.length("letters")
+    blocks = pieces.groupBy("path", "block").agg(F.max("record").alias("headers"), F.sum(F.when(F.col("record") == 0, length).otherwise(0)).alias("lead"), F.max_by(F.col("start") + length, F.struct("record", "start", length)).alias("tail"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    led = blocks.withColumn("led", F.coalesce(F.sum("lead").over(before), F.lit(0)))
+    begun = F.last(F.when(F.col("headers") > 0, F.struct(F.col("block").alias("block"), F.col("headers").alias("record"), (F.col("tail") - F.col("led") - F.col("lead")).alias("base"))), ignorenulls=True).over(before)
+    carried = led.withColumn("begun", begun).select("path", "block", "begun.record", (F.col("begun.base") + F.col("led")).alias("base"), F.col("begun.block").alias("of"))
+    carried = broadcast_if_small(carried.toDF("path", "block", "_record", "_base", "_of"))
+    placed = pieces.join(carried, ["path", "block"])
+    first = F.col("record") == 0  # of a file's first block this is text before any header, which is no record
+    seq_id = F.xxhash64("path", F.when(first, F.col("_of")).otherwise(F.col("block")), F.when(first, F.col("_record")).otherwise(F.col("record")))
+    own = placed.where(~first | F.col("_record").isNotNull()).select(seq_id.alias("seq_id"), (F.col("start") + F.when(first, F.col("_base")).otherwise(0)).alias("start"), "header", "letters")
+    told = parse_fasta(own.where("header is not null").withColumn("value", F.col("header")), "seq_id").select("seq_id", "name", "description")
+    sizes = own.groupBy("seq_id").agg(F.sum(F.length("letters")).alias("length"))
+    at = lambda place: F.floor(place / size).cast("int")
+    parts = own.where("letters <> ''").select("seq_id", "start", "letters", F.explode(F.sequence(at(F.col("start")), at(F.col("start") + F.length("letters") - 1))).alias("chunk"))
+    lo = F.greatest(F.col("start"), F.col("chunk").cast("long") * size)
+    hi = F.least(F.col("start") + F.length("letters"), (F.col("chunk").cast("long") + 1) * size)
+    cut = parts.select("seq_id", "chunk", F.struct(lo.alias("at"), F.substr("letters", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("text")).alias("part"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["text"]), "")
+    chunks = cut.groupBy("seq_id", "chunk").agg(joined.alias("sequence")).select("seq_id", "chunk", (F.col("chunk").cast("long") * size).alias("start"), "sequence")
+    return told.join(sizes, "seq_id"), chunks
+
+
 def parse_genbank(records: DataFrame) -> DataFrame:
     """(name, description, type, sequence, features, format) of rows (value): one record's text.
 

@@ -340,15 +340,20 @@ def test_curves_of_scores_that_all_differ(spark):
     assert metrics.roc_curve(spark.createDataFrame([], "id long, y_proba double, y_true int")).count() == 0
 
 
-def test_nearest_in_a_growing_grid(spark):
+@pytest.mark.parametrize("far", [1.0, 1e6, 1e15])
+def test_nearest_of_uneven_points(spark, far):
     rng = random.Random(18)
-    rows = [("a", i, *(rng.gauss(0, 1) * (1 if i % 7 else 40) for _ in range(3))) for i in range(150)] + [("b", 0, 1.0, 2.0, 3.0), ("c", 0, 1.0, 1.0, 1.0), ("c", 1, 1.0, 1.0, 1.0), ("c", 2, 2.0, 1.0, 1.0)]
+    rows = [("d", i, *(rng.gauss(0, 1) + (far if i % 2 else 0) for _ in range(3))) for i in range(60)] + [("d", 60, -far, far, 0.0)] + [("e", i, 2.0, 2.0, float(i // 50)) for i in range(150)]
+    rows += [("a", i, *(rng.gauss(0, 1) * (1 if i % 7 else 40) for _ in range(3))) for i in range(150)] + [("b", 0, 1.0, 2.0, 3.0), ("c", 0, 1.0, 1.0, 1.0), ("c", 1, 1.0, 1.0, 1.0), ("c", 2, 2.0, 1.0, 1.0)]
     points = spark.createDataFrame(rows, "structure_id string, idx int, x double, y double, z double")
     want = set()
     for s, i, *p in rows:
         near = sorted((sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) ** 0.5, j) for t, j, *q in rows if t == s and j != i)
         want |= {(s, i, j) for _, j in near[:4]}
     assert {(r.structure_id, r.src, r.dst) for r in structure.knn_edges(points, 4).collect()} == want
+    some = [(s, i, *p) for s, i, *p in rows if i % 3 == 0]
+    want = {(s, i, j) for s, i, *p in rows for _, j in sorted((sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) ** 0.5, j) for t, j, *q in some if t == s)[:2]}
+    assert {tuple(r)[:3] for r in structure.nearest(points, points.where("idx % 3 = 0"), 2).collect()} == want
 
 
 def full_matrix(a, b, scores, local):

@@ -1,8 +1,11 @@
 """Odd sequence files, in batches and in a stream."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.operators import windows
 from strandlake.sources import sequences
 from strandlake.streaming.sequences import annotate_stream, stream_sequences
 
@@ -42,6 +45,33 @@ def test_files_over_several_splits(spark, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("split, size", [(1 << 20, 4096), (3000, 700), (400, 64)])
+def test_records_over_many_splits_in_chunks(spark, tmp_path, split, size):
+    """A record is read in pieces of file ranges, with the same letters and names as a whole one."""
+    rng = random.Random(split)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    lines = lambda s: "".join(f"{s[k : k + 60]}\n" for k in range(0, len(s), 60))
+    long = letters(20_001)
+    texts = ["before\nACGT\n>a one\n" + lines(long) + ">b\n>c two three\n" + lines(letters(61)) + "  >d\n AC GT \r\n", FASTA, ">only\n" + lines(letters(5000)), "", "no header\n"]
+    for k, t in enumerate(texts):
+        (tmp_path / f"{k}.fa").write_text(t, newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        records, chunks = sequences.read_fasta_chunks(spark, str(tmp_path), size)
+        named = {r.seq_id: (r.name, r.description, r.length) for r in records.collect()}
+        found = chunks.orderBy("seq_id", "chunk").collect()
+        own = windows.window_gc(chunks, 50).count() if size == 4096 else None
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    text = {k: "" for k in named}
+    for r in found:
+        assert r.start == len(text[r.seq_id]) == r.chunk * size and 0 < len(r.sequence) <= size
+        text[r.seq_id] += r.sequence
+    want = [x for t in texts for x in slow_fasta(t)]
+    assert sorted((*named[k][:2], text[k]) for k in named) == sorted(want) and all(named[k][2] == len(text[k]) for k in named)
+    assert own is None or own == sum(max(0, len(x[2]) - 49) for x in want)
+
+
 GENBANK = 'LOCUS       NC1 30 bp\nDEFINITION  made\nFEATURES             Location/Qualifiers\n     gene            3..9\n                     /gene="g"\nORIGIN\n        1 taatacgact cactataggg acgt\n//\n'
 
 
