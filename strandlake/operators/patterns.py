@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import product
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from strandlake.functions import columns as C
 from strandlake.functions import refdata
 from strandlake.functions.sizes import broadcast_if_small
 from strandlake.functions.tables import local_table
+from strandlake.operators import chunks
 
 
 def pattern_of(motif: str, mode: str = "exact") -> str:
@@ -16,8 +22,6 @@ def pattern_of(motif: str, mode: str = "exact") -> str:
 
     Letters are upper-cased, but not those of an escape; a pattern that matches nothing at all is refused.
     """
-    import re
-
     if mode == "exact":
         out = re.escape(motif.upper())
     elif mode == "iupac":
@@ -29,15 +33,87 @@ def pattern_of(motif: str, mode: str = "exact") -> str:
     return out
 
 
+#: Letters of a motif that it is found by, of what its places are compared with at once, and how many words ambiguous
+#: bases may be written out as. None changes a result.
+KEY, BEGIN, MAX_WORDS = 8, 16, 64
+#: Which letters are read as a base on the opposite strand.
+READ_AS = {"A": "TU", "T": "A", "C": "G", "G": "C", "U": ""}
+_WAYS = "array<struct<strand:string,size:int,keys:array<string>,begin:string,whole:string>>"
+
+
+def _pattern(sets: list[str]) -> str:
+    return "".join(re.escape(s) if len(s) == 1 else f"[{s}]" for s in sets)
+
+
+def _ways(motif: str, mode: str) -> list[tuple] | None:
+    """(strand, size, keys, begin, whole) of a motif of fixed length, as it stands on the given strand; None for a regex. keys
+    are all words of its first letters, begin and whole patterns of the first BEGIN and of all its letters."""
+    if mode == "regex":
+        return None
+    plus = [refdata.AMBIGUOUS.get(c, c) if mode == "iupac" else c for c in motif.upper()]
+    minus = ["".join(READ_AS.get(c, c) for c in s) for s in reversed(plus)]
+    out = []
+    for strand, sets in (("+", plus), ("-", minus)):
+        n = size = 1
+        while size < min(KEY, len(sets)) and n * len(sets[0]) * len(sets[size]) <= MAX_WORDS:
+            n, size = n * len(sets[size]), size + 1
+        if all(sets):
+            out.append((strand, len(sets), ["".join(p) for p in product(*sets[:size])], f"^{_pattern(sets[:BEGIN])}", _pattern(sets)))
+    return out
+
+
 def motif_table(spark, motifs: list[tuple[str, str]], mode: str = "exact") -> DataFrame:
-    """(motif, pattern) from (name, motif) pairs."""
-    return local_table(spark, [(name, pattern_of(m, mode)) for name, m in motifs], "motif string, pattern string")
+    """(motif, pattern, ways) from (name, motif) pairs; ways are null for regexes."""
+    return local_table(spark, [(name, pattern_of(m, mode), _ways(m, mode)) for name, m in motifs], f"motif string, pattern string, ways {_WAYS}")
 
 
 def find_motifs(seqs: DataFrame, motifs: DataFrame, both_strands: bool = True) -> DataFrame:
-    """(seq_id, motif, strand, pos, match): hits of every pattern of motifs (a small table); those on the
-    opposite strand are placed on the given one, with the match as read there. A column type, if any,
-    keeps proteins to one strand."""
+    """(seq_id, motif, strand, pos, match): hits of every motif of a motif_table; those on the opposite strand are placed on
+    the given one, with the match as read there. A column type, if any, keeps proteins to one strand.
+
+    Motifs of fixed length, however many, are found together, in chunks; regexes one by one in whole sequences."""
+    fixed = _find_fixed(seqs, motifs.where("ways is not null"), both_strands)
+    return fixed.unionByName(_find_regexes(seqs, motifs.where("ways is null"), both_strands))
+
+
+def _find_fixed(seqs: DataFrame, motifs: DataFrame, both_strands: bool) -> DataFrame:
+    """Letters at every place are joined with the motifs' first ones, so sequences and motifs make no product; hits are
+    compared with the rest, and of each motif those stay that begin behind the one before."""
+    ways = motifs.select("motif", F.inline("ways"))
+    if not both_strands:
+        ways = ways.where("strand = '+'")
+    words = ways.select("motif", "strand", "size", "begin", "whole", F.explode("keys").alias("key"))
+    sizes = [r.n for r in words.select(F.length("key").alias("n")).distinct().collect()]  # KEY at most
+    keys = F.array(*[F.left("word", F.lit(n)) for n in sizes]) if sizes else F.array().cast("array<string>")
+    places = chunks.positioned_words(seqs, BEGIN, "\0").select("seq_id", "pos", "word", F.explode(keys).alias("key"))
+    met = places.join(broadcast_if_small(words), "key").where(F.expr("word rlike begin"))
+    if "type" in seqs.columns:
+        met = met.join(seqs.where("type = 'protein'").select("seq_id", F.lit("-").alias("strand")), ["seq_id", "strand"], "left_anti")
+    columns = ["seq_id", "motif", "strand", "pos", "size"]
+    short = met.where(F.col("size") <= BEGIN).select(*columns, F.expr("left(word, size)").alias("text"))
+    spans = met.where(F.col("size") > BEGIN).select(*columns, "whole", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end"))
+    long = chunks.cut_out(seqs, spans, "text").where((F.length("text") == F.col("size")) & F.expr("text rlike concat('^', whole, '$')")).select(*columns, "text")
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of hits in the order in which their strand is read those that do not overlap the one taken before."""
+        last, end = None, 0
+        for batch in batches:
+            own = []
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)):
+                key, at, size = row[:3], row[3] if row[2] == "+" else -row[3] - row[4], row[4]
+                if key != last or at >= end:
+                    own.append(k)
+                    last, end = key, at + size
+            yield batch.take(pa.array(own, pa.int64()))
+
+    every = short.unionByName(long)
+    order = F.when(F.col("strand") == "+", F.col("pos")).otherwise(-F.col("pos") - F.col("size"))
+    ordered = every.repartition("seq_id", "motif", "strand").sortWithinPartitions("seq_id", "motif", "strand", order)
+    taken = ordered.mapInArrow(apart, every.schema)
+    return taken.select("seq_id", "motif", "strand", "pos", F.when(F.col("strand") == "+", F.col("text")).otherwise(C.reverse_complement(F.col("text"))).alias("match"))
+
+
+def _find_regexes(seqs: DataFrame, motifs: DataFrame, both_strands: bool) -> DataFrame:
     s = F.upper("sequence")
     nucleic = F.col("type") != "protein" if "type" in seqs.columns else F.lit(True)
     strands = F.array(F.struct(F.lit("+").alias("strand"), s.alias("s")), *([F.struct(F.lit("-").alias("strand"), F.when(nucleic, C.reverse_complement(s)).alias("s"))] if both_strands else []))

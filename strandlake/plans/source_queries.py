@@ -20,6 +20,18 @@ def _fasta(t: Tables, rows: DataFrame) -> str:
 register("io_1_read_fasta", lambda t: out(sequences.read_fasta(t.spark, _fasta(t, t.dna)), "name", "description", "sequence"), "SELECT name, 'from ' || organism AS description, sequence FROM $dna")
 
 
+def _chunks(t: Tables):
+    records, chunks = sequences.read_fasta_chunks(t.spark, _fasta(t, t.dna))
+    return chunks.join(records.select("seq_id", "name", "length"), "seq_id")
+
+
+register(
+    "io_1_fasta_chunks", lambda t: out(_chunks(t), "name", "length", "chunk", "start", "sequence"),
+    """SELECT name, length(sequence) AS length, c AS chunk, c * 4096 AS start, substr(sequence, (c * 4096 + 1)::int, 4096) AS sequence
+       FROM (SELECT name, sequence, unnest(range(0, (length(sequence) + 4095) // 4096)) AS c FROM $dna)""",
+)
+
+
 def _genbank(t: Tables) -> str:
     path = f"{t.shared}/x.gb"
     text = F.concat(F.lit("LOCUS       "), "name", F.lit("  DNA\nDEFINITION  from "), "organism", F.lit(" http://x.org//y\nFEATURES             Location/Qualifiers\n     gene            complement(5..20)\n                     /gene=\"g1\"\n                     /db_xref=\"GI:1\"\n                     /codon_start=1\n                     /note=\"first line\n                     second line\"\n                     /db_xref=\"GeneID:2\"\n     CDS             join(1..4,8..12)\n                     /product=\"lost\"\n     promoter        30..45\nORIGIN\n        1 "), F.lower("sequence"), F.lit("\n//"))

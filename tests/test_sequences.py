@@ -1,6 +1,7 @@
 """Hand-made values and properties of the sequence operators."""
 
 import random
+import re
 import tracemalloc
 
 import pytest
@@ -48,6 +49,40 @@ def test_matches_overlap_only_where_they_should(spark, seqs):
         patterns.pattern_of("A*", "regex")
 
 
+@pytest.mark.parametrize("chunk", [7, 64, 4096])
+def test_motifs_of_fixed_length_are_those_of_their_patterns(spark, monkeypatch, chunk):
+    """Against Python's search of both strands, whatever the chunks, also for motifs that are longer."""
+    monkeypatch.setattr(chunks, "CHUNK", chunk)
+    monkeypatch.setattr(chunks.with_halo, "__defaults__", (chunk, 0))
+    rng = random.Random(chunk)
+    made = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))
+    texts = [made(rng.randrange(300)) for _ in range(8)] + ["A" * 50, made(200, "AC"), made(90, "ACGTUNX"), ""]
+    long = texts[7][3:60]
+    exact = ["A", "AA", "ACA", "GAT", "CACACACACA", long, long[:20], "UG", "NX"] + [made(4) for _ in range(60)]
+    iupac = ["N", "NN", "RY", "AWS", "NNNNNNNNNNNNNNNNNNNNNNNNNA", "ANNNNNNNNNNT"]
+    own = spark.createDataFrame([(i, t.lower(), ["dna", "protein"][i == 2]) for i, t in enumerate(texts)], "seq_id long, sequence string, type string")
+    table = patterns.motif_table(spark, [(f"e{m}", m) for m in exact], "exact").union(patterns.motif_table(spark, [(f"i{m}", m) for m in iupac], "iupac"))
+    opposite = lambda t: t.translate(str.maketrans("ATCGU", "TAGCA"))[::-1]
+    want = set()
+    for i, t in enumerate(texts):
+        for mode, motifs in (("exact", exact), ("iupac", iupac)):
+            for m in set(motifs):
+                for strand, s in (("+", t), *([("-", opposite(t))] if i != 2 else [])):
+                    want |= {(i, f"{mode[0]}{m}", strand, x.start() if strand == "+" else len(t) - x.end(), x[0]) for x in re.finditer(patterns.pattern_of(m, mode), s)}
+    got = [tuple(r) for r in patterns.find_motifs(own, table).collect()]
+    assert len(want) > 2000 and set(got) == want
+
+
+def test_many_motifs_make_no_product(spark, seqs):
+    rng = random.Random(9)
+    motifs = ["".join(rng.choice("ACGT") for _ in range(12)) for _ in range(10_000)]
+    text = "".join(rng.choice("ACGT") for _ in range(100_000)) + motifs[17]
+    found = patterns.find_motifs(seqs(text, text), patterns.motif_table(spark, [(m, m) for m in motifs]), both_strands=False)
+    want = sorted((m, x.start()) for m in set(motifs) for x in re.finditer(m, text))
+    assert sorted((r.motif, r.pos) for r in found.where("seq_id = 1").dropDuplicates().collect()) == want and len(want) > 1
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in patterns._find_fixed(seqs(text), patterns.motif_table(spark, [("m", text[:12])]), True)._jdf.queryExecution().toString()
+
+
 def test_digest(spark, seqs):
     sites = restriction.restriction_sites(seqs("GAATTC"), refdata.enzymes(spark).where("name = 'EcoRI'"))
     pieces = restriction.digest(seqs("GAATTC"), sites)
