@@ -11,17 +11,43 @@ from strandlake.operators import chunks
 STOPS = ("TAA", "TAG", "TGA")
 
 
+#: Starts and stops as they are read on the given strand, and on the opposite one.
+CODONS = {"+": (["ATG"], list(STOPS)), "-": (["CAT", "CAU"], ["TTA", "UTA", "TUA", "UUA", "CTA", "CUA", "TCA", "UCA"])}
+#: Places of a range in which the stop before a codon is looked for at once. Never changes a result.
+RANGE = 1 << 20
+
+
+def _lengths(seqs: DataFrame) -> DataFrame:
+    """(seq_id, n): the letters of sequences, or of those that chunks belong to."""
+    n = F.length("sequence").cast("long")
+    return seqs.groupBy("seq_id").agg(F.sum(n).alias("n")) if "chunk" in seqs.columns else seqs.select("seq_id", n.alias("n"))
+
+
+def _open_frames(seqs: DataFrame, strands: str, max_len: int | None = None) -> DataFrame:
+    """(seq_id, strand, f, n, first, last): in each frame f (from 0) of a strand, from the first start behind a stop to the
+    next stop; places are those of the two codons as counted along the strand.
+
+    Only starts and stops leave the chunks. The stop before each of them is looked for in its own range of places, and
+    that of earlier ranges is carried over, so a sequence is shared out over tasks."""
+    words = [w for strand in strands for kinds in CODONS[strand] for w in kinds]
+    found = chunks.positioned_words(seqs, 3).where(F.col("word").isin(words)).join(_lengths(seqs), "seq_id")
+    read = [F.when(F.col("word").isin(a + b), F.struct(F.lit(k).alias("strand"), (F.col("pos") if k == "+" else F.col("n") - F.col("pos") - 3).cast("long").alias("at"), F.col("word").isin(b).alias("stop"))) for k, (a, b) in CODONS.items() if k in strands]
+    codons = found.select("seq_id", "n", F.explode(F.array(*read)).alias("c")).where("c is not null").select("seq_id", "n", "c.*", (F.col("c.at") % 3).cast("int").alias("f"), F.floor(F.col("c.at") / RANGE).alias("range"))
+    if max_len is not None:
+        codons = codons.where(F.col("at") + 3 <= max_len)
+    frame, stop = ["seq_id", "strand", "f"], F.when(F.col("stop"), F.col("at"))
+    so_far = lambda *keys: Window.partitionBy(*frame, *keys).orderBy("range" if not keys else "at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = codons.groupBy(*frame, "range").agg(F.max(stop).alias("held")).withColumn("carried", F.max("held").over(so_far())).drop("held")
+    runs = codons.withColumn("near", F.max(stop).over(so_far("range"))).join(carried, [*frame, "range"]).withColumn("run", F.coalesce("near", "carried", F.lit(-1)))
+    both = runs.groupBy(*frame, "run", "n").agg(F.min(F.when(~F.col("stop"), F.col("at"))).alias("first"), F.max(stop).alias("last"))
+    return both.where("first < last").drop("run")
+
+
 def find_orfs(seqs: DataFrame, min_length: int = 30) -> DataFrame:
     """(seq_id, frame, start, end, length, protein) of forward frames: from the first ATG after the last
-    stop to the next stop, with it; open-ended ones are left out."""
-    at = chunks.positioned_words(seqs, 3).where(F.col("word").isin("ATG", *STOPS))
-    codons = at.select("seq_id", "pos", (F.col("pos") % 3).alias("f"), F.col("word").alias("codon"))
-    stop = F.col("codon").isin(*STOPS)
-    before = Window.partitionBy("seq_id", "f").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    runs = codons.withColumn("run", F.coalesce(F.sum(stop.cast("int")).over(before), F.lit(0)))
-    found = runs.groupBy("seq_id", "f", "run").agg(F.min(F.when(F.col("codon") == "ATG", F.col("pos"))).alias("start"), (F.max(F.when(stop, F.col("pos"))) + 3).alias("end"))
-    long = found.where((F.col("start") < F.col("end") - 3) & (F.col("end") - F.col("start") >= min_length))
-    named = chunks.cut_out(seqs, long, "text")
+    stop to the next stop, with it; open-ended ones are left out. seqs are sequences or chunks of them."""
+    found = _open_frames(seqs, "+").select("seq_id", "f", F.col("first").cast("int").alias("start"), (F.col("last") + 3).cast("int").alias("end"))
+    named = chunks.cut_out(seqs, found.where(F.col("end") - F.col("start") >= min_length), "text")
     protein = C.translate_codons(F.col("text"))
     return named.select("seq_id", (F.col("f") + 1).alias("frame"), "start", "end", (F.col("end") - F.col("start")).alias("length"), protein.alias("protein"))
 
@@ -35,17 +61,35 @@ def six_frame_translation(seqs: DataFrame, max_len: int | None = None) -> DataFr
     return strands.select("seq_id", F.inline(F.array(*rows)))
 
 
+def six_frame_parts(seqs: DataFrame) -> DataFrame:
+    """(seq_id, frame, frame_order, at, protein): six_frame_translation in parts of a chunk, at telling how many residues of
+    the frame stand before each. seqs are sequences or chunks of them; no row is larger than a chunk."""
+    own = chunks.with_halo(seqs.withColumn("sequence", F.upper("sequence")), chunks.CHUNK, 2).join(_lengths(seqs), "seq_id")
+    parts = []
+    for order in range(6):
+        sign, k = "+-"[order // 3], order % 3
+        # the first place of the chunk at which a codon of this frame starts, and how many start in the chunk and are whole
+        skip = F.pmod((F.lit(k) if sign == "+" else F.col("n") - k) - F.col("start"), F.lit(3)).cast("int")
+        count = F.greatest(F.floor((F.least(F.col("core") + 2, F.length("sequence")) - skip) / 3), F.lit(0)).cast("int")
+        text = F.substr("sequence", skip + 1, count * 3)
+        first = F.col("start") + skip
+        at = (first - k if sign == "+" else F.col("n") - k - first - 3 * count) / 3
+        parts.append(F.struct(F.lit(f"{sign}{k + 1}").alias("frame"), F.lit(order).alias("frame_order"), at.cast("long").alias("at"), C.translate_codons(text if sign == "+" else C.reverse_complement(text)).alias("protein")))
+    return own.select("seq_id", F.inline(F.array(*parts))).where("protein <> ''")
+
+
 def six_frame_orfs(seqs: DataFrame, min_aa: int = 10, max_len: int | None = None) -> DataFrame:
     """(seq_id, frame, frame_order, start, end, length, protein): in each frame's protein from the first M
-    after a stop to the next stop; positions in residues, length without the stop, protein with it."""
-    frames = six_frame_translation(seqs, max_len).where(F.contains("protein", F.lit("*")))
-    pieces = frames.select("seq_id", "frame", "frame_order", F.posexplode(F.split("protein", r"\*")).alias("k", "piece"), F.size(F.split("protein", r"\*")).alias("n"))
-    order = Window.partitionBy("seq_id", "frame").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("offset", F.coalesce(F.sum(F.length("piece") + 1).over(order), F.lit(0))).where("k < n - 1")
-    m = F.instr("piece", "M")
-    orf = placed.where(m > 0).select("seq_id", "frame", "frame_order", (F.col("offset") + m - 1).alias("start"), F.expr("substr(piece, instr(piece, 'M'))").alias("body"))
-    size = F.length("body")
-    return orf.where(size >= min_aa).select("seq_id", "frame", "frame_order", "start", (F.col("start") + size).alias("end"), size.alias("length"), F.concat("body", F.lit("*")).alias("protein"))
+    after a stop to the next stop; positions in residues, length without the stop, protein with it; max_len cuts each
+    strand. seqs are sequences or chunks of them; only reading frames are cut out of them."""
+    size, plus = F.col("last") - F.col("first"), F.col("strand") == "+"
+    start = F.when(plus, F.col("first")).otherwise(F.col("n") - F.col("last") - 3)
+    long = _open_frames(seqs, "+-", max_len).where(size >= 3 * min_aa).withColumns({"start": start, "end": start + size + 3})
+    text = chunks.cut_out(seqs, long, "text")
+    own = F.when(plus, F.col("text")).otherwise(C.reverse_complement(F.col("text")))
+    at = F.floor(F.col("first") / 3).cast("int")
+    aa = (size / 3).cast("int")
+    return text.select("seq_id", F.concat("strand", (F.col("f") + 1).cast("string")).alias("frame"), (F.when(plus, 0).otherwise(3) + F.col("f")).cast("int").alias("frame_order"), at.alias("start"), (at + aa).alias("end"), aa.alias("length"), C.translate_codons(own).alias("protein"))
 
 
 def orf_summary(orfs: DataFrame) -> DataFrame:

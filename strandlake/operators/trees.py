@@ -134,22 +134,22 @@ def read_newick(trees: DataFrame) -> DataFrame:
 
 
 def tree_summary(nodes: DataFrame) -> DataFrame:
-    """(tree_id, leaves, max_depth): a branch without length counts 0.1; one join a level of depth."""
+    """(tree_id, leaves, max_depth): a branch without length counts 0.1.
+
+    Every node knows an ancestor and the way up to it; in a round it takes that ancestor's ancestor, so ways double
+    and a tree of n levels takes log n joins."""
     step = F.when(F.coalesce("length", F.lit(0.0)) == 0, 0.1).otherwise(F.col("length"))
     own = nodes.select("tree_id", "node_id", "parent_id", step.alias("step"))
     inner = own.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id")).distinct()
-    leaves = own.join(inner, ["tree_id", "node_id"], "left_anti")
-    up = leaves.select("tree_id", F.col("node_id").alias("leaf"), F.col("parent_id").alias("at"), F.when(F.col("parent_id").isNotNull(), F.col("step")).otherwise(0.0).alias("depth"))
-    parents = own.select("tree_id", F.col("node_id").alias("at"), F.col("parent_id").alias("next"), F.col("step").alias("more"))
     shared_dir(nodes.sparkSession)
+    up = own.select("tree_id", "node_id", F.col("parent_id").alias("above"), F.when(F.col("parent_id").isNotNull(), F.col("step")).otherwise(0.0).alias("depth"))
     most = own.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    done = None
-    for _ in range(most + 1):
-        top = up.where("at is null")
-        done = top if done is None else done.union(top)
-        up = up.where("at is not null").join(parents, ["tree_id", "at"]).select("tree_id", "leaf", F.col("next").alias("at"), (F.col("depth") + F.when(F.col("next").isNotNull(), F.col("more")).otherwise(0.0)).alias("depth")).checkpoint()
-        if up.isEmpty():
+    for _ in range(most.bit_length() + 1):
+        if up.where("above is not null").isEmpty():
             break
+        higher = up.select("tree_id", F.col("node_id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
+        joined = up.join(higher, ["tree_id", "above"], "left").where("above is null or more is not null")
+        up = joined.select("tree_id", "node_id", F.col("next").alias("above"), (F.col("depth") + F.coalesce("more", F.lit(0.0))).alias("depth")).checkpoint()
     else:
         raise ValueError("the parents of a tree go round in a circle")
-    return done.groupBy("tree_id").agg(F.count("*").alias("leaves"), F.max("depth").alias("max_depth"))
+    return up.join(inner, ["tree_id", "node_id"], "left_anti").groupBy("tree_id").agg(F.count("*").alias("leaves"), F.max("depth").alias("max_depth"))

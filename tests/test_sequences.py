@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import tracemalloc
 
 import pytest
@@ -313,6 +314,40 @@ def test_a_circle_of_parents_is_an_error(spark):
         trees.tree_summary(spark.createDataFrame([(1, 1, 2, 1.0), (1, 2, 1, 1.0), (1, 3, 1, 1.0)], "tree_id long, node_id long, parent_id long, length double"))
 
 
+def test_deep_trees_take_few_joins(spark):
+    """A comb of 3000 leaves: the k-th leaf hangs k levels deep."""
+    n = 3000
+    rows = [(1, k, k + 1 if k < n - 2 else None, 0.0 if k % 2 else 0.5) for k in range(n - 1)] + [(1, n + k, min(k, n - 2), 0.25) for k in range(n)]
+    began = time.time()
+    r = trees.tree_summary(spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, length double")).first()
+    depth = [0.0]
+    for k in range(n - 3, -1, -1):
+        depth.append(depth[-1] + (0.1 if k % 2 else 0.5))
+    assert (r.leaves, r.max_depth) == (n, pytest.approx(max(depth) + 0.25)) and time.time() - began < 90
+
+
+@pytest.mark.parametrize("step", [5, 1 << 20])
+def test_frames_of_chunks_are_those_of_whole_sequences(spark, monkeypatch, step):
+    monkeypatch.setattr(orfs, "RANGE", step * 3)
+    monkeypatch.setattr(chunks, "CHUNK", 64 if step == 5 else 4096)
+    rng = random.Random(step)
+    texts = ["".join(rng.choice("ACGT" + "TAG" * (i % 2)) for _ in range(rng.randrange(900))) for i in range(6)] + ["", "AT", "ACGUN" * 30, "ATGTTATGAUAACAU" * 9]
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq_id long, sequence string")
+    size = chunks.CHUNK
+    cut = spark.createDataFrame([(i, k, k * size, t[k * size : (k + 1) * size]) for i, t in enumerate(texts) for k in range(-(-len(t) // size))], "seq_id long, chunk int, start long, sequence string")
+    frames = {(r.seq_id, r.frame): r.protein for r in orfs.six_frame_translation(own).collect()}
+    want = {(i, f, sum(len(x) + 1 for x in p.split("*")[:k]) + x.index("M"), x[x.index("M") :] + "*") for (i, f), p in frames.items() for k, x in enumerate(p.split("*")[:-1]) if len(x) - x.find("M") >= 4 and "M" in x}
+    for rows in (own, cut):
+        assert {(r.seq_id, r.frame, r.start, r.protein) for r in orfs.six_frame_orfs(rows, 4).collect()} == want
+        parts = {}
+        for r in sorted(orfs.six_frame_parts(rows).collect(), key=lambda r: r["at"]):
+            before = parts.get((r.seq_id, r.frame), "")
+            assert len(before) == r["at"]
+            parts[r.seq_id, r.frame] = before + r.protein
+        assert parts == {k: v for k, v in frames.items() if v}
+    assert len(want) > 30 and orfs.find_orfs(own, 9).collect() and sorted(orfs.find_orfs(own, 9).collect()) == sorted(orfs.find_orfs(cut, 9).collect())
+
+
 def test_ranks_of_similar_sequences(spark):
     queries, targets = made_group(4, 13), made_group(25, 13)
     q = spark.createDataFrame([(i, t) for i, t in enumerate(queries)], "seq_id long, sequence string")
