@@ -37,7 +37,9 @@ def codons(seq: Column, frame: Column | int = 0) -> Column:
 
 def translate_codons(seq: Column, frame: Column | int = 0) -> Column:
     """Residues of the upper-cased seq in a frame; X for unknown codons, * for stops; the tail is dropped."""
-    return F.array_join(F.transform(codons(F.upper(seq), frame), lambda c: refdata.lookup(refdata.codon_table(), c, "X")), "")
+    residues = lambda s: F.array_join(F.transform(codons(s, frame), lambda c: refdata.lookup(refdata.codon_table(), c, "X")), "")
+    # seq may be a long expression: as an element it is made once, not anew for each codon
+    return F.get(F.transform(F.array(F.upper(seq)), residues), F.lit(0))
 
 
 def gc_percent(seq: Column) -> Column:

@@ -30,17 +30,22 @@ def _open_frames(seqs: DataFrame, strands: str, max_len: int | None = None) -> D
     Only starts and stops leave the chunks. The stop before each of them is looked for in its own range of places, and
     that of earlier ranges is carried over, so a sequence is shared out over tasks."""
     words = [w for strand in strands for kinds in CODONS[strand] for w in kinds]
-    found = chunks.positioned_words(seqs, 3).where(F.col("word").isin(words)).join(_lengths(seqs), "seq_id")
-    read = [F.when(F.col("word").isin(a + b), F.struct(F.lit(k).alias("strand"), (F.col("pos") if k == "+" else F.col("n") - F.col("pos") - 3).cast("long").alias("at"), F.col("word").isin(b).alias("stop"))) for k, (a, b) in CODONS.items() if k in strands]
-    codons = found.select("seq_id", "n", F.explode(F.array(*read)).alias("c")).where("c is not null").select("seq_id", "n", "c.*", (F.col("c.at") % 3).cast("int").alias("f"), F.floor(F.col("c.at") / RANGE).alias("range"))
+    found = chunks.positioned_words(seqs, 3).where(F.col("word").isin(words))
+    # no codon is one on both strands; on the opposite one places are counted backwards, from the end once that is known
+    minus = F.col("word").isin(sum(CODONS["-"], []))
+    codons = found.select("seq_id", F.when(minus, "-").otherwise("+").alias("strand"), F.when(minus, -F.col("pos") - 3).otherwise(F.col("pos")).cast("long").alias("at"), F.col("word").isin(CODONS["+"][1] + CODONS["-"][1]).alias("stop"))
+    codons = codons.withColumns({"f": F.pmod("at", F.lit(3)).cast("int"), "range": F.floor(F.col("at") / RANGE)})
+    place = lambda c: F.when(F.col("strand") == "-", F.col("n") + F.col(c)).otherwise(F.col(c))
     if max_len is not None:
-        codons = codons.where(F.col("at") + 3 <= max_len)
+        codons = codons.join(_lengths(seqs), "seq_id").where(place("at") + 3 <= max_len).drop("n")
     frame, stop = ["seq_id", "strand", "f"], F.when(F.col("stop"), F.col("at"))
+    codons = codons.repartition(*frame, "range")  # dealt out once for both of what follows
     so_far = lambda *keys: Window.partitionBy(*frame, *keys).orderBy("range" if not keys else "at").rowsBetween(Window.unboundedPreceding, -1)
     carried = codons.groupBy(*frame, "range").agg(F.max(stop).alias("held")).withColumn("carried", F.max("held").over(so_far())).drop("held")
-    runs = codons.withColumn("near", F.max(stop).over(so_far("range"))).join(carried, [*frame, "range"]).withColumn("run", F.coalesce("near", "carried", F.lit(-1)))
-    both = runs.groupBy(*frame, "run", "n").agg(F.min(F.when(~F.col("stop"), F.col("at"))).alias("first"), F.max(stop).alias("last"))
-    return both.where("first < last").drop("run")
+    runs = codons.withColumn("near", F.max(stop).over(so_far("range"))).join(carried, [*frame, "range"]).withColumn("run", F.coalesce("near", "carried"))
+    both = runs.groupBy(*frame, "run").agg(F.min(F.when(~F.col("stop"), F.col("at"))).alias("first"), F.max(stop).alias("last")).where("first < last").drop("run", "f")
+    named = both.join(_lengths(seqs), "seq_id") if "-" in strands else both.withColumn("n", F.lit(None).cast("long"))
+    return named.withColumns({"first": place("first"), "last": place("last")}).withColumn("f", (F.col("first") % 3).cast("int"))
 
 
 def find_orfs(seqs: DataFrame, min_length: int = 30) -> DataFrame:
