@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.storage import shared_dir
 
+_C = ctypes.CDLL(None)
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -145,3 +147,5 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 2_5
         if lo < batch.num_rows:
             yield batch.slice(lo)
     pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)  # a worker that waits for the next stage holds no freed memory

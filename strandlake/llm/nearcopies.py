@@ -11,15 +11,13 @@ their counts over BINS hash values allow, which leaves out most unlike pairs; ea
 partner of which it meets most shingles, and after that only pairs that are not yet connected are compared.
 
 A shingle that many sets share would give all pairs of its group. There every member is first compared
-with a few leaders of the group. Members that then are connected need no comparison, and Jaccard distance
-obeys the triangle inequality, so two members whose distances to some leader differ by more than the
-allowed distance cannot be similar; all other pairs are compared.
+with a few leaders of the group, which connects most of them. Groups with the same largest component are a family; only
+members outside that component are compared with the whole family, block against block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE_ROWS, FREQUENT = 40_000, 500_000
 #: Sets under one shingle up to which all pairs are compared, and leaders of a larger group.
 DIRECT_GROUP, LEADERS = 32, 4
+#: Shingles of a block of sets that is compared with another one.
+BLOCK = 200_000
 #: Hash values by which a set's shingles are counted.
 BINS = 128
 LOCAL_WORDS = 100_000
@@ -183,6 +183,51 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-9
 
 
+def _compared(block: pa.Table) -> pa.Table:
+    """(a, b) of one block of strays and one of members of a family (row, label, side, shingles) that are similar and of
+    different components: the shingles of all members are one sorted list in which each stray's are looked up."""
+    row, label, side = (block.column(c).to_numpy() for c in ("row", "label", "side"))
+    lists = block.column("shingles").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    of = lambda k: flat[ends[k] : ends[k + 1]]
+    strays, members = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a, b = [], []
+    if len(strays) and len(members):
+        sizes = np.array([ends[k + 1] - ends[k] for k in members])
+        every, owner = np.concatenate([of(k) for k in members]), np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        for k in strays:
+            own = of(k)
+            lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            times = hi - lo
+            place = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(times) else times
+            both = np.bincount(owner[place], minlength=len(members))
+            near = members[(both >= SIMILARITY * (len(own) + sizes - both) - 1e-9) & (label[members] != label[k])]
+            a += [row[k]] * len(near)
+            b += row[near].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _links_of_families(family: DataFrame, whole: DataFrame) -> DataFrame:
+    """(a, b), a < b: all similar pairs of different components in families (main, row, n, label), of which one lies outside
+    the family's largest component (main).
+
+    Strays and members are dealt out in blocks of about BLOCK shingles, and each block of the ones meets each of the
+    others in a task of its own: sets travel by block, and no pairs are made but those that are similar."""
+    stray = F.col("label") != F.col("main")
+    deals = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = family.groupBy("main").agg(deals(F.sum(F.when(stray, F.col("n")).otherwise(0))).alias("stray_blocks"), deals(F.sum("n")).alias("member_blocks"), F.count_if(stray).alias("strays")).where("strays > 0").drop("strays")
+    rows = family.join(small_or_shuffled(sizes), "main").join(whole, "row")
+    own = lambda blocks: F.pmod(F.xxhash64("row"), F.greatest(F.col(blocks), F.lit(1))).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.greatest(F.col(blocks), F.lit(1)) - 1))
+    columns = ["main", "row", "label", "shingles"]
+    strays = rows.where(stray).select(*columns, F.lit(0).alias("side"), own("stray_blocks").alias("x"), every("member_blocks").alias("y"))
+    members = rows.select(*columns, F.lit(1).alias("side"), every("stray_blocks").alias("x"), own("member_blocks").alias("y"))
+    met = strays.union(members).groupBy("main", "x", "y").applyInArrow(_compared, "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b), a < b: enough pairs of rows similar by SIMILARITY or more to connect all that are, from sets
     (row, n, bins, prefix), one row a distinct set, and texts (row, text)."""
@@ -218,23 +263,13 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     of = lambda k: label.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
     apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
     rest = cold.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b").join(first, ["a", "b"], "left_anti")
+    found = linked
     if not hot.isEmpty():
-        placed = led.join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        both = first.select("a", "b", "similarity").union(first.select("b", "a", "similarity"))
-        for k in range(LEADERS):
-            known = both.select(F.col("a").alias("row"), F.col("b").alias(f"l{k}"), (1 - F.col("similarity")).alias(f"d{k}"))
-            placed = placed.join(known, ["row", f"l{k}"], "left").withColumn(f"d{k}", F.coalesce(f"d{k}", F.lit(0.0)))
-        placed = stored(placed.select("key", "row", "n", "label", *[f"d{k}" for k in range(LEADERS)]))
-        # Of each group only members outside its largest component are compared, with all members of other components.
-        parts = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
-        main = parts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-        marked = placed.join(small_or_shuffled(main), "key").join(sets.select("row", "bins"), "row")
-        near = reduce(lambda x, k: x & (F.abs(F.col(f"d{k}_a") - F.col(f"d{k}_b")) <= 1 - SIMILARITY + 1e-9), range(LEADERS), F.col("label_a") != F.col("label_b"))
-        columns = ["label", "bins", *[f"d{k}" for k in range(LEADERS)]]
-        more = one(marked.where("label <> main"), "a", *columns).join(one(marked, "b", *columns), "key").where(near & fit).where(like)
-        more = more.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
-        rest = rest.union(more).distinct()
-    return stored(linked.union(_verified(stored(rest), whole).where(similar).select("a", "b")).distinct())
+        placed = led.select("key", "row", "n").join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        main = placed.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+        family = stored(placed.join(small_or_shuffled(main), "key").select("main", "row", "n", "label").distinct())
+        found = linked.union(_links_of_families(family, whole))
+    return stored(found.union(_verified(stored(rest), whole).where(similar).select("a", "b")).distinct())
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
