@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -19,3 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """path, which is deleted when the process ends."""
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before the process
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(remove)
+    return path

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.storage import shared_dir
+from strandlake.functions.storage import removed_at_exit, shared_dir
 
 INPUTS = {
     "dna": """SELECT doc_id AS seq_id, concat('doc_', CAST(doc_id AS {string})) AS name, source AS organism, lang AS grp,
@@ -46,7 +46,7 @@ INPUTS = {
         FROM embeddings WHERE vec_id % 10 = 0""",
     "scores": """SELECT vec_id AS id, concat('S', CAST(label AS {string})) AS grp, vec_id % 5 AS fold,
         CASE WHEN embedding[{i0}] + embedding[{i1}] > 0.15 THEN 1 ELSE 0 END AS y_true,
-        round(least(greatest((CAST(embedding[{i0}] AS DOUBLE) + 1) / 2, 0), 1), 2) AS y_proba FROM embeddings""",
+        round(least(greatest((CAST(embedding[{i0}] AS DOUBLE) + 1) / 2, 0), 1), 6) AS y_proba FROM embeddings""",
     "logits": """SELECT vec_id AS id, CASE WHEN embedding[{i0}] + embedding[{i1}] > 0.15 THEN 1 ELSE 0 END AS y_true, 4 * CAST(embedding[{i0}] AS DOUBLE) AS logit FROM embeddings""",
 }
 _SPARK = {"all": "", "string": "STRING", "i0": "0", "i1": "1", "i2": "2"}
@@ -74,8 +74,8 @@ class Tables:
 
     @cached_property
     def shared(self) -> str:
-        """A new folder under the session's checkpoint folder, for queries that write and read files."""
-        return f"{shared_dir(self.spark)}/strandlake-files/{uuid.uuid4().hex}"
+        """A new folder under the session's checkpoint folder, for queries that write and read files; it goes with the process."""
+        return removed_at_exit(self.spark, f"{shared_dir(self.spark)}/strandlake-files/{uuid.uuid4().hex}")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
