@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,10 +49,35 @@ def add_annotations(features: DataFrame, rows: DataFrame) -> DataFrame:
     return features.unionByName(new, allowMissingColumns=True)
 
 
+#: Places of a range in which features are looked through at once. Never changes a result.
+RANGE = 100_000
+
+
+def _clusters(features: DataFrame) -> DataFrame:
+    """features plus _cluster: the start of the stretch of overlapping features that each belongs to.
+
+    A stretch starts where no earlier feature reaches beyond the start. How far features reach is looked up in ranges of
+    places side by side, and what earlier ranges reach is carried over."""
+    keys = ["seq_id", "_range"]
+    rows = features.withColumn("_range", F.floor(F.col("start") / RANGE)).repartition(*keys)
+    here = Window.partitionBy(*keys).orderBy("start")
+    earlier = Window.partitionBy("seq_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(df: DataFrame, value: Column) -> DataFrame:
+        """df plus _carried: the largest value of the sequence's earlier ranges."""
+        return df.join(df.groupBy(*keys).agg(F.max(value).alias("_most")).withColumn("_carried", F.max("_most").over(earlier)).drop("_most"), keys)
+
+    reach = F.greatest(F.max("end_pos").over(here.rangeBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    begun = carried(rows, F.col("end_pos")).withColumn("_new", F.when(F.coalesce(F.col("start") >= reach, F.lit(True)), F.col("start"))).drop("_carried")
+    own = F.max("_new").over(here.rangeBetween(Window.unboundedPreceding, 0))
+    return carried(begun, F.col("_new")).withColumn("_cluster", F.coalesce(own, "_carried")).select(*features.columns, "_cluster")
+
+
 def assign_tracks(features: DataFrame) -> DataFrame:
     """features (seq_id, start, end_pos, ...) plus track: the first whose last feature ends at or before.
 
-    Greedy in order of start, so a sequence's features are read in order by one task; the ends of tracks in
+    Greedy in order of start within a stretch of overlapping features; where no feature is open all tracks are free, so
+    stretches are numbered apart, and a sequence's features are shared out over tasks. The ends of tracks in
     use and the numbers of free ones are kept in heaps. Rows equal in seq_id and start go by their other columns.
     """
     at = features.columns
@@ -62,9 +87,9 @@ def assign_tracks(features: DataFrame) -> DataFrame:
         current, busy, free, used = None, [], [], 0
         for batch in batches:
             tracks = []
-            for seq, start, end in zip(batch["seq_id"], batch["start"], batch["end_pos"], strict=True):
-                if seq != current:
-                    current, busy, free, used = seq, [], [], 0
+            for seq, cluster, start, end in zip(batch["seq_id"], batch["_cluster"], batch["start"], batch["end_pos"], strict=True):
+                if (seq, cluster) != current:
+                    current, busy, free, used = (seq, cluster), [], [], 0
                 while busy and busy[0][0] <= start:
                     heappush(free, heappop(busy)[1])
                 if not free:
@@ -73,16 +98,14 @@ def assign_tracks(features: DataFrame) -> DataFrame:
                 k = heappop(free)
                 heappush(busy, (end, k))
                 tracks.append(k)
-            yield batch.assign(track=tracks)
+            yield batch.drop(columns="_cluster").assign(track=tracks)
 
-    ordered = features.repartition("seq_id").sortWithinPartitions("seq_id", "start", *[c for c in at if c not in ("seq_id", "start")])
+    ordered = _clusters(features).repartition("seq_id", "_cluster").sortWithinPartitions("seq_id", "_cluster", "start", *[c for c in at if c not in ("seq_id", "start")])
     return ordered.mapInPandas(run, schema)
 
 
 def track_count(features: DataFrame) -> DataFrame:
     """(seq_id, tracks): the greatest number of features that overlap in a place."""
-    from pyspark.sql import Window
-
     edges = features.select("seq_id", F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end_pos").alias("at"), F.lit(-1).alias("step")))))
     depth = F.sum("step").over(Window.partitionBy("seq_id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0))
     return edges.withColumn("depth", depth).groupBy("seq_id").agg(F.max("depth").alias("tracks"))

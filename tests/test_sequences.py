@@ -385,9 +385,11 @@ def test_dot_plot_finds_every_window(spark, window, threshold):
     assert {tuple(r) for r in align.dot_plot(frame, window, threshold).collect()} == want
 
 
-def test_first_free_tracks(spark):
+@pytest.mark.parametrize("span", [3, 17, 100_000])
+def test_first_free_tracks(spark, monkeypatch, span):
+    monkeypatch.setattr(annotate, "RANGE", span)
     rng = random.Random(16)
-    rows = [(s, a, a + rng.randrange(1, 12), f"f{s}-{k}") for s in range(3) for k in range(40) for a in [rng.randrange(50)]]
+    rows = [(s, a, a + rng.randrange(12), f"f{s}-{k}") for s in range(3) for k in range(40) for a in [rng.randrange(50 * (1 + s * s))]] + [(2, 5, 190, "wide")]
     got = {r.name: r.track for r in annotate.assign_tracks(spark.createDataFrame(rows, "seq_id long, start int, end_pos int, name string")).collect()}
     for s in range(3):
         ends = []
