@@ -74,29 +74,33 @@ def _own_tables(spark: SparkSession) -> list[str]:
 
 
 @contextlib.contextmanager
-def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
-    """Lets a query's shuffle files go when it ends; what it wrote is all that is read later."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    if not spark.conf.isModifiable(name):
-        yield
-        return
-    was = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings changed as long as a query runs; those that cannot be changed stay."""
+    was = {name: spark.conf.get(name) for name in values if spark.conf.isModifiable(name)}
+    for name in was:
+        spark.conf.set(name, values[name])
     try:
         yield
     finally:
-        spark.conf.set(name, was)
+        for name, value in was.items():
+            spark.conf.set(name, value)
+
+
+#: A query's shuffle files go when it ends; what it wrote is all that is read later.
+_SHUFFLES_CLEANED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Rows of some MB each are read and handed to Python one by one.
+_ROW_BY_ROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "1"}
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, large_rows: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts the lineage.
 
     Lost executors cost nothing already written; later reads prune columns. The table lasts as long as the
-    process, or in a pipeline until the next stage.
+    process, or in a pipeline until the next stage. large_rows: the rows that df reads have some MB each.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}"
-    with _shuffles_cleaned(spark):
+    with _settings(spark, _SHUFFLES_CLEANED | (_ROW_BY_ROW if large_rows else {})):
         df.write.parquet(path)
     _own_tables(spark).append(path)
     table = spark.read.schema(df.schema).parquet(path)
