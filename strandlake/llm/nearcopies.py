@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.llm import simhash
-from strandlake.llm.common import masked, slices, small_or_shuffled, stored, tokens_of
+from strandlake.llm.common import discard, masked, slices, small_or_shuffled, stored, tokens_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Rows of the sample that tells frequent shingles, and how many of those, and of shared ones, are ordered last.
@@ -244,12 +244,14 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     counts = lambda k: sets.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(f"bins_{k}"))
     like = _counts_fit(F.col("n_a"), F.col("n_b"), F.col("bins_a"), F.col("bins_b"))
     cold = stored(pairs.join(counts("a"), "a").join(counts("b"), "b").where(like).select("a", "b", "shared"))
+    discard(pairs)
     partner = F.max_by("other", F.struct("shared", -F.col("other"))).alias("other")
     best = cold.select("a", F.col("b").alias("other"), "shared").union(cold.select("b", "a", "shared")).groupBy("a").agg(partner)
     # of shingles that the same rows share, one is kept
     crowd = shared.where(F.col("size") > DIRECT_GROUP)
     same = crowd.groupBy("key").agg(F.count("*").alias("rows"), F.min("row").alias("first"), F.max("row").alias("last"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
     hot = stored(crowd.join(small_or_shuffled(same.groupBy("rows", "first", "last", "x", "y").agg(F.min("key").alias("key")).select("key")), "key").select("key", "row", "n"))
+    discard(shared)  # both halves of it are stored by now, as pairs and as hot groups
     leader = [F.min_by("row", F.xxhash64("row", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
     led = stored(hot.join(small_or_shuffled(hot.groupBy("key").agg(*leader)), "key"))
     stars = led.select(F.col("row").alias("a"), F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("other")).where("a <> other")
