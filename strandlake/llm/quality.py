@@ -18,7 +18,7 @@ from strandlake.llm.common import stored
 
 SPACE = r"\x20\x09-\x0D"
 #: Character classes, commonest first: each is taken out of what those before it left.
-CLASSES = {
+CLASSES = {  # lower and space come first: measured() takes them out together
     "lower": "[a-z]+", "space": r"\x20+", "upper": "[A-Z]+", "mark": "[.,;:!?'\"()-]+", "symbol": "[#*$%&|<>]+", "break": r"[\x09-\x0D]+",
     "digit": "[0-9]+", "wide": r"[^\x00-\x7F]+",
 }
@@ -32,6 +32,8 @@ COMMON_WORDS = 50
 MIN_WORDS, MIN_REFERENCE = 50, 20
 #: Largest distance by length: (limit of a long text, what is added for one word and falls with the square root).
 CLASS_LIMIT, WORD_LIMIT = (0.13, 1.5), (0.20, 2.0)
+#: Lists that a language's common words are dealt to by hash, so that a word is compared with about one. Never changes a result.
+SLOTS = 256
 #: Languages up to which the references are broadcast.
 BROADCAST_LANGUAGES = 1000
 #: What the classes of one document add up to in the reference, about: every document weighs the same.
@@ -52,11 +54,13 @@ def words(text: Column) -> Column:
 def repeated_words(own: Column, hashes: Column) -> Column:
     """Words in windows that occur twice or more, from the words and the hash of the window from each of them on.
 
-    Windows are sorted by their hash (and a second one), so equal ones are neighbours: no pairs are compared."""
-    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.hash(F.slice(own, i + 1, WINDOW)).alias("g"), i.alias("i"))))
+    Windows are sorted by their hash, and those that have an equal one by a second hash too, so equal ones are
+    neighbours: no pairs are compared."""
     same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["g"] == y["g"]), F.lit(False))
     twice = lambda p: F.filter(p, lambda x, k: same(x, F.get(p, k - 1)) | same(x, F.get(p, k + 1)))
-    starts = _bound(placed, lambda p: F.sort_array(F.transform(twice(p), lambda x: x["i"])))
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.lit(0).alias("g"), i.alias("i"))))
+    surer = lambda p: F.sort_array(F.transform(twice(p), lambda x: F.struct(x["h"].alias("h"), F.hash(F.slice(own, x["i"] + 1, WINDOW)).alias("g"), x["i"].alias("i"))))
+    starts = _bound(_bound(placed, surer), lambda p: F.sort_array(F.transform(twice(p), lambda x: x["i"])))
     covered = lambda s: F.aggregate(F.transform(s, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(s, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b)
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _bound(starts, covered)).otherwise(0)
 
@@ -73,16 +77,28 @@ def _shares(counts: Column) -> Column:
 
 
 def word_reference(docs: DataFrame, top: int = COMMON_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(lang, common, longest, word_counts): hashes of the top words of every language, the bytes of the longest of them,
-    and their counts with that of all others last; equal counts by word. From documents of min_words or more."""
-    own = docs.select("lang", words(F.col("text")).alias("w")).where(F.size("w") >= min_words)
-    counts = own.select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    """(lang, common, slots, word_counts): hashes of the top words of every language in ascending order, the same dealt to
+    SLOTS lists, and their counts with that of all others last; equal counts by word. From documents of min_words or more."""
+    # the length is looked at inside the value, as a filter would split every text once more
+    long_enough = _bound(words(F.col("text")), lambda w: F.when(F.size(w) >= min_words, w))
+    counts = docs.select("lang", F.explode(long_enough).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = stored(counts)
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= top)
-    listed = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("t"), F.max(F.octet_length("word")).alias("longest"), F.sum("n").alias("held"))
-    return listed.join(total, "lang").select("lang", F.transform("t", lambda x: F.xxhash64(x["word"])).alias("common"), "longest", F.concat(F.transform("t", lambda x: x["n"]), F.array(F.col("total") - F.col("held"))).alias("word_counts"))
+    listed = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("word").alias("h"), "n"))).alias("t"), F.sum("n").alias("held"))
+    own = listed.join(total, "lang").withColumn("common", F.transform("t", lambda x: x["h"]))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.filter("common", lambda h: F.pmod(h, F.lit(SLOTS)) == s))
+    return own.select("lang", "common", slots.alias("slots"), F.concat(F.transform("t", lambda x: x["n"]), F.array(F.col("total") - F.col("held"))).alias("word_counts"))
+
+
+def _counted(common: Column, found: Column) -> Column:
+    """How often each of common (ascending) is in found, which holds nothing else.
+
+    Sorted together with one of each, equal hashes are runs, and every one of common has a run."""
+    last = lambda s: F.filter(F.transform(s, lambda x, i: F.when(~F.coalesce(F.get(s, i + 1) == x, F.lit(False)), i + 1)), lambda e: e.isNotNull())
+    ends = _bound(F.sort_array(F.concat(found, common)), last)
+    return _bound(ends, lambda e: F.transform(e, lambda x, k: (x - F.coalesce(F.get(e, k - 1), F.lit(0)) - 1).cast("long")))
 
 
 def measured(docs: DataFrame, reference: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -93,24 +109,29 @@ def measured(docs: DataFrame, reference: DataFrame, min_words: int = MIN_WORDS)
     own = docs.select("doc_id", "lang", F.col("text").alias("left0"), words(F.col("text")).alias("w"))
     lines = F.filter(F.split("left0", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     own = own.withColumn("lines", lines).withColumn("n_dup_lines", F.size("lines") - F.size(F.array_distinct("lines"))).drop("lines")
-    for k, pattern in enumerate(CLASSES.values()):
+    # letters and the spaces between them go together, as runs of both are far longer than words
+    own = own.withColumn("spaces", F.length("left0") - F.length(F.replace("left0", F.lit(" "), F.lit("")))).withColumn("left2", F.regexp_replace("left0", "[a-z\\x20]+", ""))
+    for k, pattern in list(enumerate(CLASSES.values()))[2:]:
         own = own.withColumn(f"left{k + 1}", F.regexp_replace(f"left{k}", pattern, ""))
-    sizes = [F.length(f"left{k}") for k in range(len(CLASSES) + 1)]
-    classes = F.array(*[(a - b).cast("long") for a, b in zip(sizes, sizes[1:], strict=False)], sizes[-1].cast("long"))
+    sizes = [F.length(f"left{k}") for k in (0, *range(2, len(CLASSES) + 1))]
+    taken = [a - b for a, b in zip(sizes, sizes[1:], strict=False)]
+    classes = F.array(*[c.cast("long") for c in (taken[0] - F.col("spaces"), F.col("spaces"), *taken[1:], sizes[-1])])
     own = own.select("doc_id", "lang", "w", "n_dup_lines", classes.alias("classes"))
 
     n = F.coalesce(F.size("w"), F.lit(0))
-    # a window's hash from those of its halves, theirs from those of theirs
-    windows, step = F.transform("w", lambda x: F.xxhash64(x)), 1
+    own = own.withColumn("one", F.transform("w", lambda x: F.xxhash64(x))).join(broadcast_if_small(reference, BROADCAST_LANGUAGES), "lang", "left")
+    # a window's hash from those of its halves, theirs from those of theirs; texts that repeat fewer pairs than a window
+    # holds repeat no window
+    pairs = lambda c, step: F.zip_with(c, F.slice(c, step + 1, F.greatest(n - step, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    own = own.withColumn("hashes", F.when(n > WINDOW, F.slice(pairs("one", 1), 1, n - 1)))
+    own = own.withColumn("hashes", F.when(F.size("hashes") - F.size(F.array_distinct("hashes")) >= WINDOW - 1, F.col("hashes")))
+    step = 2
     while step < WINDOW:
-        own = own.withColumn("hashes", windows)
-        windows, step = F.zip_with("hashes", F.slice("hashes", step + 1, F.greatest(n - step, F.lit(0))), lambda x, y: F.xxhash64(x, y)), 2 * step
-    own = own.withColumn("hashes", F.when(n > WINDOW, F.slice(windows, 1, n - (WINDOW - 1)))).join(broadcast_if_small(reference, BROADCAST_LANGUAGES), "lang", "left")
-    short = F.filter("w", lambda x: F.octet_length(x) <= F.col("longest"))
-    at = F.filter(F.transform(short, lambda x: F.array_position("common", F.xxhash64(x))), lambda k: k > 0)
+        own, step = own.withColumn("hashes", pairs("hashes", step)), 2 * step
+    own = own.withColumn("hashes", F.slice("hashes", 1, n - (WINDOW - 1)))
+    at = F.filter("one", lambda h: F.array_contains(F.get("slots", F.pmod(h, F.lit(SLOTS)).cast("int")), h))
     own = own.withColumn("at", F.when((n >= min_words) & F.col("common").isNotNull(), at))
-    counts = F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: (F.size("at") - F.size(F.array_remove("at", k))).cast("long"))
-    counts = F.concat(counts, F.array((n - F.size("at")).cast("long")))
+    counts = F.concat(_counted(F.col("common"), F.col("at")), F.array((n - F.size("at")).cast("long")))
     own = own.withColumn("counts", F.when(F.col("at").isNotNull(), counts))
     return own.select(
         "doc_id", "lang", n.cast("long").alias("n_words"), F.coalesce(F.length(F.array_join("w", "")), F.lit(0)).cast("long").alias("word_chars"), F.col("classes")[list(CLASSES).index("symbol")].alias("n_symbols"),
