@@ -6,57 +6,148 @@ builds a whole tree, so a group is bounded by MAX_LEAVES; the number of groups i
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.storage import shared_dir
+from strandlake.functions.storage import removed_at_exit, shared_dir
 
-MAX_LEAVES = 3000
+#: Leaves of one tree: their matrix of distances (800 MB) is what its task holds.
+MAX_LEAVES = 10_000
+#: Below so many nodes every pair is looked at; above, rows whose bound says that they may hold the best pair.
+WHOLE_MATRIX = 256
 NODES = "tree_id long, node_id long, parent_id long, name string, length double, rank int"
 
 
-def _join_group(rows: pd.DataFrame) -> pd.DataFrame:
-    tree = rows["tree_id"].iloc[0]
-    names = sorted(set(rows["id_a"]) | set(rows["id_b"].dropna()))
-    n = len(names)
-    if n > MAX_LEAVES:
-        raise ValueError(f"{n} leaves are over MAX_LEAVES")
-    place = {x: i for i, x in enumerate(names)}
-    d = np.zeros((n, n))
-    for a, b, v in zip(rows["id_a"], rows["id_b"], rows["distance"], strict=True):
-        if b == b:
-            d[place[a], place[b]] = d[place[b], place[a]] = v
-    out = [[tree, i, None, str(x), 0.0, 0] for i, x in enumerate(names)]
-    live = list(range(n))
-
-    def parent(children: list[tuple[int, float]]) -> int:
-        out.append([tree, len(out), None, "", 0.0, 0])
+class _Tree:
+    """Nodes of one tree while it is made: parents, lengths and ranks by node."""
+
+    def __init__(self, leaves: int):
+        self.parent = np.full(2 * leaves, -1)
+        self.length, self.rank, self.size = np.zeros(2 * leaves), np.zeros(2 * leaves, dtype=np.int32), leaves
+
+    def join(self, children: list[tuple[int, float]]) -> int:
         for rank, (child, length) in enumerate(children):
-            out[child][2], out[child][4], out[child][5] = len(out) - 1, length, rank
-        return len(out) - 1
+            self.parent[child], self.length[child], self.rank[child] = self.size, length, rank
+        self.size += 1
+        return self.size - 1
 
+
+def _join_whole(tree: _Tree, d: np.ndarray, live: list[int]) -> None:
+    """Joins the live nodes, whose distances are d in their order; of equal pairs the first."""
     while len(live) > 2:
         size, r = len(live), d.sum(axis=1)
         q = (size - 2) * d - r[:, None] - r[None, :]
         q[np.tril_indices(size)] = np.inf
         i, j = divmod(int(q.argmin()), size)
         left = d[i, j] / 2 + (r[i] - r[j]) / (2 * (size - 2))
-        node = parent([(live[i], max(0.0, left)), (live[j], max(0.0, d[i, j] - left))])
+        node = tree.join([(live[i], max(0.0, left)), (live[j], max(0.0, d[i, j] - left))])
         rest = [k for k in range(size) if k not in (i, j)]
         far = (d[rest, i] + d[rest, j] - d[i, j]) / 2
         d = np.block([[d[np.ix_(rest, rest)], far[:, None]], [far[None, :], np.zeros((1, 1))]])
         live = [live[k] for k in rest] + [node]
     if len(live) == 2:
-        parent([(live[0], d[0, 1] / 2), (live[1], d[0, 1] / 2)])
-    return pd.DataFrame(out, columns=["tree_id", "node_id", "parent_id", "name", "length", "rank"]).astype({"parent_id": "Int64"})
+        tree.join([(live[0], d[0, 1] / 2), (live[1], d[0, 1] / 2)])
+
+
+def _join_bounded(tree: _Tree, d: np.ndarray, down_to: int) -> tuple[np.ndarray, list[int]]:
+    """Joins leaves until down_to nodes are left; their distances and they, in order.
+
+    With u = r / (nodes - 2), r a row's sum, the best pair has the least d - u - u. Each row keeps the least d - u to a
+    later node of when it was last looked at; since then it can have fallen by what any u has risen, which drift adds
+    up. Rows are looked at in the order of that bound, and none whose bound is over the best pair yet. Joined nodes
+    keep their places in the matrix (a new node takes the first one's) until half of the places are free. d is overwritten."""
+    ids, r, left_over, drift = np.arange(len(d)), d.sum(axis=1), len(d), 0.0
+    u = r / (left_over - 2)
+    least = np.array([(d[i, i + 1 :] - u[i + 1 :]).min(initial=np.inf) for i in range(len(d))])
+    while left_over > max(down_to, 3):
+        if 2 * left_over <= len(d):
+            kept = np.flatnonzero(ids >= 0)
+            kept = kept[np.argsort(ids[kept])]
+            d, ids, least, r, u = d[np.ix_(kept, kept)], ids[kept], least[kept], r[kept], u[kept]
+        bound = np.where(ids >= 0, (left_over - 2) * (least - drift - u), np.inf)
+        slack = 1e-11 * (left_over * abs(u[ids >= 0]).max() + 1)
+        best, near = (np.inf, -1, -1, -1, -1), 8
+        while True:  # the rows of the lowest bounds, then of the next ones, until none can be better
+            open_ = np.flatnonzero((bound <= best[0] + slack) & (bound < np.inf))
+            if not len(open_):
+                break
+            if len(open_) > near:
+                open_ = open_[np.argpartition(bound[open_], near)[:near]]
+            for i in open_:
+                later = ids > ids[i]
+                low = np.where(later, d[i] - u, np.inf).min()
+                least[i], bound[i] = low + drift, np.inf
+                if low < np.inf and (left_over - 2) * (low - u[i]) <= best[0] + slack:
+                    q = np.where(later, (left_over - 2) * d[i] - r[i] - r, np.inf)
+                    j = np.flatnonzero(q == q.min())
+                    j = j[ids[j].argmin()]
+                    best = min(best, (q[j], ids[i], ids[j], i, j))
+            near *= 2
+        i, j = best[3:]
+        left = d[i, j] / 2 + (r[i] - r[j]) / (2 * (left_over - 2))
+        node = tree.join([(ids[i], max(0.0, left)), (ids[j], max(0.0, d[i, j] - left))])
+        rest = np.flatnonzero(ids >= 0)
+        rest = rest[(rest != i) & (rest != j)]
+        far = (d[rest, i] + d[rest, j] - d[i, j]) / 2
+        r[rest] += far - d[rest, i] - d[rest, j]
+        left_over -= 1
+        ids[i], ids[j], r[i], least[i] = node, -1, far.sum(), np.inf
+        drift += (r[rest] / (left_over - 2) - u[rest]).max()
+        u[rest], u[i] = r[rest] / (left_over - 2), r[i] / (left_over - 2)
+        d[rest, i] = d[i, rest] = far
+        least[rest] = np.minimum(least[rest], far - u[i] + drift)
+    kept = np.flatnonzero(ids >= 0)
+    kept = kept[np.argsort(ids[kept])]
+    return d[np.ix_(kept, kept)], ids[kept].tolist()
+
+
+def _join_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    d = names = key = None
+    for rows in batches:
+        if d is None:
+            key, n = rows["tree_id"].iloc[0], int(rows["n"].iloc[0])
+            if n > MAX_LEAVES:
+                raise ValueError(f"{n} leaves are over MAX_LEAVES")
+            d, names = np.zeros((n, n)), [""] * (2 * n)
+        leaf = rows["b"].isna()
+        for place, name in zip(rows["a"][leaf], rows["name"][leaf], strict=True):
+            names[place] = name
+        i, j = rows["a"][~leaf].to_numpy(), rows["b"][~leaf].to_numpy().astype(int)
+        d[i, j] = d[j, i] = rows["distance"][~leaf]
+    if d is None:
+        return
+    tree, live = _Tree(len(d)), list(range(len(d)))
+    if len(live) > WHOLE_MATRIX:
+        d, live = _join_bounded(tree, d, WHOLE_MATRIX)
+    _join_whole(tree, d, live)
+    k = tree.size
+    parents = pd.Series(tree.parent[:k]).astype("Int64").where(tree.parent[:k] >= 0)
+    yield pd.DataFrame({"tree_id": key, "node_id": np.arange(k), "parent_id": parents, "name": names[:k], "length": tree.length[:k], "rank": tree.rank[:k]})
 
 
 def neighbor_joining(distances: DataFrame) -> DataFrame:
-    """Nodes of one tree for each grp of rows (grp, id_a, id_b, distance); id_b null for a lone leaf."""
-    own = distances.select(F.col("grp").cast("long").alias("tree_id"), "id_a", "id_b", "distance")
-    return own.groupBy("tree_id").applyInPandas(_join_group, NODES)
+    """Nodes of one tree for each grp of rows (grp, id_a, id_b, distance); id_b null for a lone leaf.
+
+    Leaves are numbered in Spark, so a task takes a tree's distances batch by batch into its matrix. Distances are
+    stored once, since numbers and pairs both read them."""
+    spark = distances.sparkSession
+    path = removed_at_exit(spark, f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}")
+    distances.select(F.col("grp").cast("long").alias("tree_id"), "id_a", "id_b", "distance").write.parquet(path)
+    own = spark.read.parquet(path)
+    leaves = own.select("tree_id", F.explode(F.array("id_a", "id_b")).alias("id")).where("id is not null").distinct()
+    place = (F.row_number().over(Window.partitionBy("tree_id").orderBy("id")) - 1).alias("place")
+    leaves = leaves.select("tree_id", "id", place, F.count("*").over(Window.partitionBy("tree_id")).cast("int").alias("n"))
+    first, second = (leaves.select("tree_id", F.col("id").alias(f"id_{x}"), F.col("place").alias(x), "n") for x in "ab")
+    pairs = own.where("id_b is not null").join(first, ["tree_id", "id_a"]).join(second.drop("n"), ["tree_id", "id_b"])
+    rows = pairs.select("tree_id", "a", "b", "distance", F.lit(None).cast("string").alias("name"), "n").unionByName(
+        leaves.select("tree_id", F.col("place").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(None).cast("double").alias("distance"), F.col("id").cast("string").alias("name"), "n")
+    )
+    return rows.groupBy("tree_id").applyInPandas(_join_group, NODES)
 
 
 def _write(rows: pd.DataFrame) -> pd.DataFrame:
@@ -84,7 +175,6 @@ def to_newick(nodes: DataFrame) -> DataFrame:
 
 def read_newick(trees: DataFrame) -> DataFrame:
     """Nodes of rows (tree_id, newick), numbered in order of their end in the text; bad lengths are 0."""
-    from collections.abc import Iterator
 
     def parse(tree: int, text: str) -> list[list]:
         out: list[list] = []

@@ -5,6 +5,7 @@ import re
 import time
 import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,6 +295,27 @@ def slow_tree(names, d):
     return out
 
 
+def test_neighbor_joining_by_bounds_gives_the_tree_of_the_whole_matrix():
+    rng = np.random.default_rng(5)
+    for n, ties in [(60, True), (60, False), (300, False), (40, True)]:
+        d = rng.integers(1, 6 if ties else 1 << 30, (n, n)).astype(float)
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        whole, bounded = trees._Tree(n), trees._Tree(n)
+        trees._join_whole(whole, d.copy(), list(range(n)))
+        trees._join_whole(bounded, *trees._join_bounded(bounded, d.copy(), n // 2 if ties else 3))
+        assert (whole.parent == bounded.parent).all() and (whole.rank == bounded.rank).all()
+        assert np.allclose(whole.length, bounded.length)
+
+
+def test_neighbor_joining_of_a_lone_leaf_names_as_text_and_no_rows(spark):
+    schema = "grp int, id_a string, id_b string, distance double"
+    rows = [(1, "x", None, None), (2, "q", "b", 0.4), (2, "a", "q", 0.6), (2, "a", "b", 0.2)]
+    nodes = trees.neighbor_joining(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.node_id, r.parent_id, r.name) for r in nodes if r.tree_id == 1] == [(0, None, "x")]
+    assert [r.name for r in sorted(nodes, key=lambda r: r.node_id) if r.tree_id == 2] == ["a", "b", "q", "", ""]
+    assert trees.neighbor_joining(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_neighbor_joining_and_its_text(spark):
     rng = random.Random(12)
     d = {(a, b): round(rng.uniform(0.1, 1), 3) for a in range(6) for b in range(6) if a < b}
