@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake import plans
 from strandlake.operators import windows
-from strandlake.sources import sequences
+from strandlake.sources import sequences, structures
 from strandlake.streaming.sequences import annotate_stream, stream_sequences
 
 FASTA = "junk line\nACGT\n>a one two\nACGT\n\n  AC GT  \n  >b\tfour \nGG>GG\n>\nTTTT\n> spaced name\nCC\n\t> \n>last\n"
@@ -102,3 +103,26 @@ def test_all_kinds_in_batches_and_in_a_stream(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out/sequences")
     assert sorted((r.name, r.format, r.sequence) for r in got.collect()) == want
     assert spark.read.parquet(f"{tmp_path}/out/features").where(F.col("name") == "T7 promoter").count() == 2
+
+
+@pytest.mark.parametrize("numbers", [[0, 9999, 10_000, 10_035, 99_999, 1_223_055, 1_223_056, 2_436_111]])
+def test_numbers_wider_than_their_columns(spark, numbers):
+    rows = spark.createDataFrame([(n,) for n in numbers], "n int")
+    text = rows.select("n", structures.to_hybrid_36(F.col("n"), 4).alias("v"), structures.to_hybrid_36(F.col("n"), 5).alias("w"))
+    told = {r.n: r.v for r in text.collect()}
+    assert told[9999] == "9999" and told[10_000] == "A000" and told[1_223_055] == "ZZZZ" and told[1_223_056] == "a000" and told[2_436_111] == "zzzz"
+    back = text.select("n", structures.from_hybrid_36(F.trim("v"), 4).alias("v"), structures.from_hybrid_36(F.trim("w"), 5).alias("w"))
+    assert all(r.n == r.v == r.w for r in back.collect())
+    with pytest.raises(Exception, match="no place in 4 columns for 2436112"):
+        spark.range(1).select(structures.to_hybrid_36(F.col("id") + 2_436_112, 4)).collect()
+    odd = spark.createDataFrame([("A0",), ("aB00",), ("",), ("-3",)], "v string").select("v", structures.from_hybrid_36(F.col("v"), 4).alias("n"))
+    assert {r.v: r.n for r in odd.collect()} == {"A0": None, "aB00": None, "": None, "-3": -3}
+
+
+def test_structures_of_more_residues_than_columns_hold(spark, tmp_path):
+    rows = spark.createDataFrame([(k, [0.01, 0.02, 0.03], 0) for k in (1, 9999, 10_001, 100_011)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, column in (("io_13_read_structures", "resi"), ("st_2_residues", "resi")):
+        found = plans.QUERIES[name](spark, str(tmp_path)).select(column).distinct().collect()
+        assert sorted(r[0] for r in found) == [1, 9999, 10_001, 100_011]
+    assert plans.QUERIES["st_1_structure_summary"](spark, str(tmp_path)).first().residues == 4
