@@ -57,11 +57,17 @@ def melting_temperature(seq: Column) -> Column:
 
 
 def weighted_sum(seq: Column, weights: dict[str, float]) -> Column:
-    """Sum of the letters' weights, one count a letter."""
-    total = F.lit(0.0)
-    for letter, w in weights.items():
-        total = total + w * count_of(seq, letter)
-    return total
+    """Sum of the letters' weights, one count a letter; added up as whole numbers of a weight's last place."""
+    unit = 10 ** max((len(repr(float(w)).partition(".")[2]) for w in weights.values()), default=0)
+
+    def total(s: Column) -> Column:
+        held, n = F.lit(0).cast("long"), F.length(s)
+        for letter, w in weights.items():
+            held = held + F.lit(round(w * unit)).cast("long") * (n - F.length(F.replace(s, F.lit(letter), F.lit(""))))
+        return held / F.lit(float(unit))
+
+    # seq may be a long expression: as an element it is made once, not anew for each letter
+    return F.get(F.transform(F.array(seq), total), F.lit(0))
 
 
 def molecular_weight(seq: Column, kind: Column) -> Column:

@@ -93,10 +93,13 @@ def global_dna_properties(seqs: DataFrame) -> DataFrame:
 def global_protein_properties(seqs: DataFrame) -> DataFrame:
     """Net charge, its class, weight (unknown residues 110) and mean residue weight."""
     s, scales = F.upper("sequence"), refdata.residue_scales()
-    n = F.length(s)
-    charge = C.weighted_sum(s, {k: v for k, v in scales["charge"].items() if v})
-    weight = C.weighted_sum(s, scales["mass"]) + 110.0 * (n - C.count_of(s, refdata.RESIDUE_ORDER))
-    return seqs.select(
-        "seq_id", charge.alias("charge"), F.when(charge > 0, "basic").when(charge < 0, "acidic").otherwise("neutral").alias("charge_class"),
-        weight.alias("weight"), F.when(n > 0, weight / n).otherwise(0.0).alias("mean_weight"),
+    n, charge, weight = F.col("n"), F.col("charge"), F.col("weight")
+    # values that are used more than once are columns first
+    sums = seqs.select(
+        "seq_id", F.length(s).alias("n"), C.weighted_sum(s, {k: v for k, v in scales["charge"].items() if v}).alias("charge"),
+        (C.weighted_sum(s, scales["mass"]) + 110.0 * (F.length(s) - C.count_of(s, refdata.RESIDUE_ORDER))).alias("weight"),
+    )
+    return sums.select(
+        "seq_id", "charge", F.when(charge > 0, "basic").when(charge < 0, "acidic").otherwise("neutral").alias("charge_class"),
+        "weight", F.when(n > 0, weight / n).otherwise(0.0).alias("mean_weight"),
     )

@@ -533,3 +533,11 @@ def test_seeds_of_a_common_word_do_not_grow_with_its_square(spark, monkeypatch):
     own = spark.createDataFrame(list(enumerate([*texts, texts[7]])), "seq_id long, sequence string")
     found = align._seeds(own, own, 11).where("id_a <> id_b")
     assert found.count() < 20 * 401 and found.where("id_a = 7 and id_b = 400").count() > 0
+
+
+def test_weights_are_counted_once_and_exactly(spark, seqs):
+    """The text is made once, however many letters and columns need it, and sums are exact."""
+    text = seqs("GGG").select("seq_id", F.regexp_replace("sequence", "[^A-Z]", "").alias("sequence"))
+    assert text.select(C.weighted_sum(F.col("sequence"), {"G": 0.1}).alias("w")).first().w == 0.3
+    plan = composition.global_protein_properties(text)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 2
