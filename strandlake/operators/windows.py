@@ -11,12 +11,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import refdata
 from strandlake.operators import chunks
 
+#: Letters whose windows are made side by side; a batch of more is gone through in parts. Never changes a result.
+LETTERS = 200_000
+
 #: Fractions of a residue scale are kept as whole numbers of this part, which sums of them add up exactly.
 PART = 10_000
 
@@ -26,9 +30,15 @@ def _windows(seqs: DataFrame, width: int, value: Callable[[np.ndarray], np.ndarr
     sequences (seq_id, sequence) or chunks of them."""
     own = chunks.with_halo(seqs.withColumn("sequence", F.upper("sequence")), chunks.CHUNK, width - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # a chunk ends with letters that no window covers, so all chunks of a batch are one text
+            part = np.cumsum(pc.utf8_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)) // LETTERS
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), batch.num_rows]
+            yield from (batch.slice(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            # a chunk ends with letters that no window covers, so all chunks of a part are one text
             texts, starts = batch.column(2).to_pylist(), batch.column(1).to_numpy()
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)

@@ -541,3 +541,14 @@ def test_weights_are_counted_once_and_exactly(spark, seqs):
     assert text.select(C.weighted_sum(F.col("sequence"), {"G": 0.1}).alias("w")).first().w == 0.3
     plan = composition.global_protein_properties(text)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") <= 2
+
+
+def test_windows_of_a_batch_are_made_in_parts(spark, monkeypatch):
+    """A task's memory does not grow with the letters of a batch."""
+    own = spark.range(40, numPartitions=1).select(F.col("id").alias("seq_id"), F.repeat(F.lit("ACGTTGCA"), 400).alias("sequence"))
+    want = sorted(map(tuple, windows.window_cpg(own, 20).collect()))
+    largest = []
+    monkeypatch.setattr(windows, "LETTERS", 10_000)
+    monkeypatch.setattr(type(own), "mapInArrow", lambda self, run, schema: largest.append([b.num_rows for b in run(iter(self.toArrow().to_batches()))]))
+    windows.window_cpg(own, 20)
+    assert sum(largest[0]) == len(want) == 40 * 3181 and max(largest[0]) <= 4 * 3200
