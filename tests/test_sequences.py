@@ -552,3 +552,38 @@ def test_windows_of_a_batch_are_made_in_parts(spark, monkeypatch):
     monkeypatch.setattr(type(own), "mapInArrow", lambda self, run, schema: largest.append([b.num_rows for b in run(iter(self.toArrow().to_batches()))]))
     windows.window_cpg(own, 20)
     assert sum(largest[0]) == len(want) == 40 * 3181 and max(largest[0]) <= 4 * 3200
+
+
+def test_words_of_every_place(spark):
+    """Words are those of slicing, over the edges of the pieces too."""
+    texts = ["", "A", "ACGTACGTACG", "ACGTTGCAAA" * 30, "é\n€" * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for k in (1, 11, 70):
+        found = {r.t: r.w for r in rows.select("t", chunks.words_at(F.col("t"), k).alias("w")).collect()}
+        assert found == {t: [t[i : i + k] for i in range(len(t) - k + 1)] for t in texts}
+
+
+def test_scores_side_by_side_are_those_of_alignments():
+    rng, scores = random.Random(5), align.substitution()
+    text = lambda n: "".join(rng.choice("ACGTn~é") for _ in range(rng.randint(0, n)))
+    pairs = [(text(40), text(300)) for _ in range(200)]
+    assert align.local_scores(pairs, scores).tolist() == [align.align(a, b, scores, True)[0] for a, b in pairs]
+
+
+def test_search_shuffles_only_words_of_the_queries(spark, monkeypatch):
+    """Pairs are the same whether few or many queries are searched, and few queries' words go to the targets."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(12)]
+    every = spark.createDataFrame([(k, texts[k % 12] if k < 24 else texts[k % 12][:30] + texts[k % 7]) for k in range(60)], "seq_id long, sequence string")
+    queries = every.where("seq_id < 12")
+    few = align.candidate_pairs(queries, every)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "strategy=broadcast" in plan
+    found, best = sorted(map(tuple, few.collect())), sorted(map(tuple, align.search_similar(queries, every, top=3).collect()))
+    monkeypatch.setattr(align, "SMALL_ROWS", 0)
+    assert found == sorted(map(tuple, align.candidate_pairs(queries, every).collect()))
+    slow = {}
+    for a, b, _ in found:
+        x, y = texts[a], texts[b % 12] if b < 24 else texts[b % 12][:30] + texts[b % 7]
+        slow.setdefault(a, []).append((-align.align(x, y, align.substitution(), True)[0], b))
+    assert sorted((r[0], r[1], r[3]) for r in best) == sorted((a, b, -s) for a, v in slow.items() for s, b in sorted(v)[:3])
