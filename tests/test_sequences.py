@@ -587,3 +587,11 @@ def test_search_shuffles_only_words_of_the_queries(spark, monkeypatch):
         x, y = texts[a], texts[b % 12] if b < 24 else texts[b % 12][:30] + texts[b % 7]
         slow.setdefault(a, []).append((-align.align(x, y, align.substitution(), True)[0], b))
     assert sorted((r[0], r[1], r[3]) for r in best) == sorted((a, b, -s) for a, v in slow.items() for s, b in sorted(v)[:3])
+
+
+def test_seeds_are_looked_up_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(align, "SEED_LENGTHS", (1,))
+    own = spark.createDataFrame([(1, "ACGTTGCAAACCGT"), (2, "ACGTTGCAAACCGTA"), (3, "T" * 40)], "seq_id long, sequence string")
+    seeds = align._seeds(own.where("seq_id = 1"), own, 11)
+    assert "LeftSemi" in seeds._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id_b, r.at_a, r.at_b) for r in seeds.collect()) == [(b, k, k) for b in (1, 2) for k in range(4)]
