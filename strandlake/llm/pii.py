@@ -2,9 +2,9 @@
 
 High-recall generators propose spans, which may overlap: the four base kinds by their patterns, and
 runs of digits and of mixed letters and digits. Base spans that pass their kind's check are certain.
-They also teach: boosted trees learn from a bounded sample of candidates (valid base spans and values
+They also teach: boosted trees learn from all candidates (valid base spans and values
 assigned to a credential word against the rest) which format and context make a candidate personal,
-and a threshold for each kind, calibrated on the sample's other half, selects further spans from the
+and a threshold for each kind, calibrated on their other half, selects further spans from the
 generic generators where no certain span lies.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import groupby
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -23,8 +24,6 @@ from strandlake.functions.tables import local_table
 from strandlake.llm.common import masked, small_or_shuffled, stored
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Candidates that the trees are fitted and their threshold calibrated on, at most (smallest hashes).
-TRAIN_CANDIDATES = 20_000
 #: Share of selected candidates that must be positive in the calibration half.
 PRECISION = 0.95
 BEFORE, AFTER = 24, 12
@@ -148,24 +147,24 @@ def with_evidence(featured: DataFrame) -> DataFrame:
     return featured.withColumn("evidence", told).withColumn("label", (told | ((F.col("kind") == "number") & over)).cast("double"))
 
 
-def fit(found: DataFrame, train_candidates: int = TRAIN_CANDIDATES):
-    """(model, thresholds by kind) from candidates with_evidence; a kind of which no threshold is precise enough has none."""
+def fit(found: DataFrame):
+    """(model, thresholds by kind) from all candidates with_evidence; a kind of which no threshold is precise enough has none.
+
+    Candidates that look alike to the trees are one row, weighted by their number."""
     generic = found.where(F.col("kind").isin("number", "secret")).withColumn("key", F.xxhash64("value", "before", "after"))
-    different = stored(generic.groupBy("kind", "key").agg(F.max("label").alias("label"), *[F.first(c).alias(c) for c in FORMAT]))
-    sizes = {(r.kind, r.label): r.n for r in different.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}
-    # Of each kind and label an equal share of the sample, or all; weights give the true proportions back.
-    weight = F.lit(1.0)
-    for (kind, y), n in sizes.items():
-        weight = F.when((F.col("kind") == kind) & (F.col("label") == y), max(1.0, 4 * n / train_candidates)).otherwise(weight)
-    drawn = different.withColumn("weight", weight).where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)) * F.col("weight") < (1 << 30))
-    columns = ["kind", "label", "weight", (F.pmod("key", F.lit(2)) == 0).alias("fit"), *FORMAT]
-    prior = local_table(found.sparkSession, _prior(), "kind string, value string, label double").withColumns({"before": F.lit(" "), "after": F.lit(" "), "weight": F.lit(1.0)})
-    sample = stored(drawn.select(*columns).union(with_features(prior).withColumn("key", F.xxhash64("value")).select(*columns)))
-    assembled = VectorAssembler(inputCols=FORMAT, outputCol="features").transform(sample)
-    trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=8, maxDepth=3, stepSize=0.3, seed=11, maxBins=32, checkpointInterval=-1)
+    different = generic.groupBy("kind", "key").agg(F.max("label").alias("label"), *[F.first(c).alias(c) for c in FORMAT])
+    prior = local_table(found.sparkSession, _prior(), "kind string, value string, label double").withColumns({"before": F.lit(" "), "after": F.lit(" ")})
+    columns = ["kind", "label", (F.pmod("key", F.lit(2)) == 0).alias("fit"), *FORMAT]
+    every = different.select(*columns).union(with_features(prior).withColumn("key", F.xxhash64("value")).select(*columns))
+    alike = stored(every.groupBy("kind", "label", "fit", *FORMAT).agg(F.count("*").cast("double").alias("weight")))
+    assembled = VectorAssembler(inputCols=FORMAT, outputCol="features").transform(alike)
+    # of more rows than the square of its bins and 10 000 Spark would look for splits in a sample alone
+    rows = alike.where("fit").count()
+    bins = 32 if rows <= 10_000 else isqrt(rows) + 1
+    trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=8, maxDepth=3, stepSize=0.3, seed=11, maxBins=bins, checkpointInterval=-1)
     model = trees.fit(assembled.where("fit"))
     scored = model.transform(assembled.where(~F.col("fit"))).select("kind", "label", "weight", F.round(vector_to_array("probability")[1], 4).alias("p"))
-    by_score = scored.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n")).orderBy("kind", F.desc("p")).collect()  # of a bounded sample
+    by_score = scored.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n")).orderBy("kind", F.desc("p")).collect()  # 10 001 scores a kind at most
     thresholds: dict[str, float] = {}
     for kind, rows in groupby(by_score, key=lambda r: r.kind):
         hits, n = 0.0, 1.0  # one miss is assumed
