@@ -19,14 +19,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import masked, remainder, slices, stored, tokens_of, words_of
+from strandlake.llm.common import masked, remainder, slices, small_or_shuffled, stored, tokens_of, words_of
 
-#: Labelled rows that the lexicon and the model are fitted on, at most (those of the smallest hashes).
-TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
 #: Words on either side of a match that its context window holds.
 CONTEXT = 4
@@ -265,28 +266,19 @@ def choose_entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n
     return sorted(set(entries), key=lambda e: (e.text, e.stem))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Weights (none negative) and bias of a penalised logistic model."""
-    n, d = x.shape
-    use = np.ones(d, bool)
-    while True:
-        a = np.hstack([x * use, np.ones((n, 1))])
-        w = np.zeros(d + 1)
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            gradient = a.T @ (p - y) + penalty * np.append(w[:d], 0)
-            hessian = (a * (p * (1 - p))[:, None]).T @ a + np.diag([penalty] * d + [1e-9])
-            step = np.linalg.solve(hessian + 1e-9 * np.eye(d + 1), gradient)
-            w -= np.clip(step, -4, 4)
-            if np.abs(step).max() < 1e-6:
-                break
-        if (w[:d] >= -1e-9).all():
-            return np.where(use, w[:d], 0.0), float(w[d])
-        use &= w[:d] >= -1e-9
-
-
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Learns from at most train_rows labelled rows whose crc32(doc_id as text) mod 3 is not 1.
+def _logistic(rows: DataFrame, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Weights (none negative) and bias of a penalised logistic model of rows (x, y, n: how many rows are alike)."""
+    assembled = rows.select(array_to_vector("x").alias("x"), F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n"))
+    total = rows.agg(F.sum("n")).first()[0]
+    model = LogisticRegression(
+        featuresCol="x", labelCol="y", weightCol="n", regParam=penalty / total, standardization=False, maxIter=200, tol=1e-9,
+        lowerBoundsOnCoefficients=DenseMatrix(1, len(FEATURES), [0.0] * len(FEATURES)),
+    ).fit(assembled)
+    return model.coefficients.toArray(), float(model.intercept)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Learns from all labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     Near copies among them count once for the lexicon. Rows without a 0/1 label, labels of absent
     documents and null ids are not used. Without both labels the model gives the share of label 1
@@ -294,14 +286,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     """
     own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
     once = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
-    sample = F.broadcast(once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
+    taught = small_or_shuffled(once)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             first = [_first_shingle(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int64())], names=["text", "_toxic", "_first"])
 
-    texts = stored(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "_toxic").mapInArrow(mark, "text string, _toxic int, _first long"))
+    texts = stored(docs.select("doc_id", "text").join(taught, "doc_id").select("text", "_toxic").mapInArrow(mark, "text string, _toxic int, _first long"))
     different = stored(texts.dropDuplicates(["_first", "_toxic"]))
     sizes = {r["_toxic"]: r.n for r in different.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -327,8 +319,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
             x = [features(t, matches) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    rows = texts.select("text", "_toxic").mapInArrow(measure, "x array<double>, y int").collect()
-    weights, bias = _logistic(np.array([r.x for r in rows], float), np.array([r.y for r in rows], float))
+    rows = texts.select("text", "_toxic").mapInArrow(measure, "x array<double>, y int")
+    weights, bias = _logistic(stored(rows.groupBy("x", "y").agg(F.count("*").alias("n"))))
     return ToxicityModel(entries, innocent, weights, bias)
 
 
