@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ def pattern_of(motif: str, mode: str = "exact") -> str:
 #: Letters of a motif that it is found by, of what its places are compared with at once, and how many words ambiguous
 #: bases may be written out as. None changes a result.
 KEY, BEGIN, MAX_WORDS = 8, 16, 64
+#: Words up to which a place is asked for each of them before its letters are joined with them. Never changes a result.
+ASKED_WORDS = 64
 #: Which letters are read as a base on the opposite strand.
 READ_AS = {"A": "TU", "T": "A", "C": "G", "G": "C", "U": ""}
 _WAYS = "array<struct<strand:string,size:int,keys:array<string>,begin:string,whole:string>>"
@@ -84,8 +89,13 @@ def _find_fixed(seqs: DataFrame, motifs: DataFrame, both_strands: bool) -> DataF
         ways = ways.where("strand = '+'")
     words = ways.select("motif", "strand", "size", "begin", "whole", F.explode("keys").alias("key"))
     sizes = [r.n for r in words.select(F.length("key").alias("n")).distinct().collect()]  # KEY at most
+    width = min(BEGIN, words.agg(F.max("size")).first()[0] or 1)  # letters of a place that any motif needs
+    asked = [r.key for r in words.select("key").distinct().limit(ASKED_WORDS + 1).collect()]
     keys = F.array(*[F.left("word", F.lit(n)) for n in sizes]) if sizes else F.array().cast("array<string>")
-    places = chunks.positioned_words(seqs, BEGIN, "\0").select("seq_id", "pos", "word", F.explode(keys).alias("key"))
+    places = chunks.positioned_words(seqs, width, "\0")
+    if 0 < len(asked) <= ASKED_WORDS:
+        places = places.where(reduce(lambda a, b: a | b, [F.col("word").startswith(k) for k in asked]))
+    places = places.select("seq_id", "pos", "word", F.explode(keys).alias("key"))
     met = places.join(broadcast_if_small(words), "key").where(F.expr("word rlike begin"))
     if "type" in seqs.columns:
         met = met.join(seqs.where("type = 'protein'").select("seq_id", F.lit("-").alias("strand")), ["seq_id", "strand"], "left_anti")
@@ -95,16 +105,29 @@ def _find_fixed(seqs: DataFrame, motifs: DataFrame, both_strands: bool) -> DataF
     long = chunks.cut_out(seqs, spans, "text").where((F.length("text") == F.col("size")) & F.expr("text rlike concat('^', whole, '$')")).select(*columns, "text")
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of hits in the order in which their strand is read those that do not overlap the one taken before."""
-        last, end = None, 0
+        """Of hits in the order in which their strand is read those that do not overlap the one taken before. One that is
+        as far behind the hit before it as any hit is long is taken at once; only the others are gone through."""
+        last, end, widest = None, 0, 0
         for batch in batches:
-            own = []
-            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)):
-                key, at, size = row[:3], row[3] if row[2] == "+" else -row[3] - row[4], row[4]
-                if key != last or at >= end:
-                    own.append(k)
-                    last, end = key, at + size
-            yield batch.take(pa.array(own, pa.int64()))
+            if not batch.num_rows:
+                continue
+            pos, size = (batch.column(c).to_numpy().astype(np.int64) for c in ("pos", "size"))
+            plus = pc.equal(batch.column("strand"), "+").to_numpy(zero_copy_only=False)
+            at, widest = np.where(plus, pos, -pos - size), max(widest, int(size.max()))
+            clear = np.ones(len(at), bool)
+            clear[1:] = np.diff(at) >= widest
+            for c in columns[:3]:
+                clear[1:] |= np.diff(batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()) != 0
+            key = lambda k: tuple(batch.column(c)[k].as_py() for c in columns[:3])  # noqa: B023, E731
+            clear[0] = key(0) != last
+            for k in np.flatnonzero(~clear).tolist():
+                if k and clear[k - 1]:
+                    end = at[k - 1] + size[k - 1]
+                if at[k] >= end:
+                    clear[k], end = True, at[k] + size[k]
+            own = np.flatnonzero(clear)
+            last, end = key(len(at) - 1), int(at[own[-1]] + size[own[-1]]) if len(own) else end
+            yield batch.take(pa.array(own))
 
     every = short.unionByName(long)
     order = F.when(F.col("strand") == "+", F.col("pos")).otherwise(-F.col("pos") - F.col("size"))
