@@ -13,7 +13,7 @@ STOPS = ("TAA", "TAG", "TGA")
 
 #: Starts and stops as they are read on the given strand, and on the opposite one.
 CODONS = {"+": (["ATG"], list(STOPS)), "-": (["CAT", "CAU"], ["TTA", "UTA", "TUA", "UUA", "CTA", "CUA", "TCA", "UCA"])}
-#: Places of a range in which the stop before a codon is looked for at once. Never changes a result.
+#: Places of a range in which frames are looked for at once. Never changes a result.
 RANGE = 1 << 20
 
 
@@ -23,12 +23,20 @@ def _lengths(seqs: DataFrame) -> DataFrame:
     return seqs.groupBy("seq_id").agg(F.sum(n).alias("n")) if "chunk" in seqs.columns else seqs.select("seq_id", n.alias("n"))
 
 
+def _turns(codons: DataFrame, keys: list[str]) -> DataFrame:
+    """codons (keys, at, stop) that are starts behind a stop or stops behind a start, the first of all too, with their number
+    (turn, from 1) and the place of the next such one: a start's next one is its stop."""
+    along = Window.partitionBy(*keys).orderBy("at")
+    kept = codons.withColumn("_before", F.lag("stop").over(along)).where(F.col("_before").isNull() | (F.col("_before") != F.col("stop"))).drop("_before")
+    return kept.withColumns({"turn": F.row_number().over(along), "next": F.lead("at").over(along)})
+
+
 def _open_frames(seqs: DataFrame, strands: str, max_len: int | None = None) -> DataFrame:
     """(seq_id, strand, f, n, first, last): in each frame f (from 0) of a strand, from the first start behind a stop to the
     next stop; places are those of the two codons as counted along the strand.
 
-    Only starts and stops leave the chunks. The stop before each of them is looked for in its own range of places, and
-    that of earlier ranges is carried over, so a sequence is shared out over tasks."""
+    Only starts and stops leave the chunks. Frames are found in ranges of places, so a sequence is shared out over tasks;
+    between ranges only the turns at their edges are gone through once more."""
     words = [w for strand in strands for kinds in CODONS[strand] for w in kinds]
     found = chunks.positioned_words(seqs, 3).where(F.col("word").isin(words))
     # no codon is one on both strands; on the opposite one places are counted backwards, from the end once that is known
@@ -38,12 +46,13 @@ def _open_frames(seqs: DataFrame, strands: str, max_len: int | None = None) -> D
     place = lambda c: F.when(F.col("strand") == "-", F.col("n") + F.col(c)).otherwise(F.col(c))
     if max_len is not None:
         codons = codons.join(_lengths(seqs), "seq_id").where(place("at") + 3 <= max_len).drop("n")
-    frame, stop = ["seq_id", "strand", "f"], F.when(F.col("stop"), F.col("at"))
-    codons = codons.repartition(*frame, "range")  # dealt out once for both of what follows
-    so_far = lambda *keys: Window.partitionBy(*frame, *keys).orderBy("range" if not keys else "at").rowsBetween(Window.unboundedPreceding, -1)
-    carried = codons.groupBy(*frame, "range").agg(F.max(stop).alias("held")).withColumn("carried", F.max("held").over(so_far())).drop("held")
-    runs = codons.withColumn("near", F.max(stop).over(so_far("range"))).join(carried, [*frame, "range"]).withColumn("run", F.coalesce("near", "carried"))
-    both = runs.groupBy(*frame, "run").agg(F.min(F.when(~F.col("stop"), F.col("at"))).alias("first"), F.max(stop).alias("last")).where("first < last").drop("run", "f")
+    frame = ["seq_id", "strand", "f"]
+    turns = _turns(codons.repartition(*frame, "range"), [*frame, "range"])
+    # what other ranges can change: a range's first turn, the stop that ends it, and the last turn
+    edge = (F.col("turn") == 1) | ((F.col("turn") == 2) & F.col("stop")) | F.col("next").isNull()
+    across = _turns(turns.where(edge).select(*frame, "at", "stop"), frame)
+    spans = lambda t: t.where(~F.col("stop") & F.col("next").isNotNull()).select("seq_id", "strand", F.col("at").alias("first"), F.col("next").alias("last"))
+    both = spans(turns.where("turn > 1")).union(spans(across))
     named = both.join(_lengths(seqs), "seq_id") if "-" in strands else both.withColumn("n", F.lit(None).cast("long"))
     return named.withColumns({"first": place("first"), "last": place("last")}).withColumn("f", (F.col("first") % 3).cast("int"))
 
