@@ -5,11 +5,14 @@ Curves first count by distinct score, so running totals go over distinct scores,
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.tables import local_table
-from strandlake.operators.structure import nearest
+from strandlake.operators.structure import distance, nearest
 
 
 def top_sites(scores: DataFrame, threshold: float = 0.5, top_n: int = 0) -> DataFrame:
@@ -116,10 +119,17 @@ def topk_accuracy(scores: DataFrame, k: int = 10) -> DataFrame:
 
 def distance_to_center(predicted: DataFrame, true: DataFrame, threshold: float = 4.0) -> DataFrame:
     """Per structure the mean distance from a prediction to the nearest true place, and the share within the
-    threshold; infinite and 0 if the structure lacks either."""
-    place = lambda rows, *name: rows.select("structure_id", *name, "x", "y", "z")
-    near = nearest(place(predicted, F.col("id").alias("idx")), place(true, F.xxhash64("x", "y", "z").alias("idx")), 1).groupBy("structure_id", "idx").agg(F.min("distance").alias("d"))
-    found = near.groupBy("structure_id").agg(F.avg("d").alias("mean"), F.avg((F.col("d") <= threshold).cast("double")).alias("within"))
+    threshold; infinite and 0 if the structure lacks either. A place without a coordinate is at no distance, one with NaN
+    is farther than any other, as in SQL; so is one at infinity, but from places that are not."""
+    place = lambda rows, *name: rows.select("structure_id", *name, "x", "y", "z").where("x is not null and y is not null and z is not null")
+    finite = reduce(and_, [F.abs(F.col(c)) < float("inf") for c in "xyz"])  # NaN is greater than infinity
+    asked, known = place(predicted, F.col("id").alias("idx")), place(true, F.xxhash64("x", "y", "z").alias("idx"))
+    near = nearest(asked.where(finite), known.where(finite), 1).select("structure_id", "idx", F.col("distance").alias("d"))
+    # a distance that is not finite depends only on which coordinates are not, so few kinds of true places are met
+    kinds = known.select("structure_id", *[F.when(F.abs(F.col(c)) < float("inf"), 0.0).otherwise(F.col(c)).alias(f"r_{c}") for c in "xyz"]).distinct()
+    far = asked.join(kinds, "structure_id").withColumn("d", distance()).where(~finite | ~(F.col("d") < float("inf"))).select("structure_id", "idx", "d")
+    each = near.union(far).groupBy("structure_id", "idx").agg(F.min("d").alias("d"))
+    found = each.groupBy("structure_id").agg(F.avg("d").alias("mean"), F.avg((F.col("d") <= threshold).cast("double")).alias("within"))
     every = predicted.select("structure_id").union(true.select("structure_id")).distinct()
     return every.join(found, "structure_id", "left").select("structure_id", F.coalesce("mean", F.lit(float("inf"))).alias("mean"), F.coalesce("within", F.lit(0.0)).alias("within"))
 
